@@ -130,11 +130,11 @@ def full_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
                 yield pd.DataFrame({"id": batch["doc_id"].iloc[a:b], "shingles": [s.tobytes() for s in shingle_sets(texts[a:b], k, hashes)]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wanted = ids.select(F.col("id").alias("doc_id")).distinct()
+    wanted = ids.select(F.col("id").alias("doc_id")).distinct().hint("merge")  # the ids grow with the documents
     return staged(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInPandas(made, "id long, shingles binary"), "none")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
     def compared(batches):
@@ -148,12 +148,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.loc[keep, ["a", "b"]]
 
-    sets = full_sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, k)
     of = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
     return pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a").select("a", "b", "sa", "sb").mapInPandas(compared, "a long, b long")
 
 
-def links_in_blocks(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def links_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that connect components within large groups (pivot, id, part, main, whole, main_s).
 
     Members outside the main component, dealt to blocks, meet all members,
@@ -190,7 +189,7 @@ def links_in_blocks(members: DataFrame, docs: DataFrame, k: int, percent: int) -
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     blocks, chunks = F.ceil((F.col("whole") - F.col("main_s")) / BLOCK).cast("int"), F.ceil(F.col("whole") / CHUNK).cast("int")
-    dealt = members.join(full_sets(members, docs, k), "id").withColumns({"blocks": blocks, "chunks": chunks})
+    dealt = members.join(sets, "id").withColumns({"blocks": blocks, "chunks": chunks})
     deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     x = dealt.filter("part != main").withColumn("block", deal("blocks", 1)).withColumn("chunk", each("chunks"))
@@ -249,13 +248,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     classes = staged(linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     members = classes.select("id", "n", F.explode("bands").alias("bucket"))
     several = staged(members.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot != last").select("bucket", "pivot"))
-    buckets = staged(members.join(several, "bucket"))
+    buckets = staged(members.join(several.hint("merge"), "bucket"))
+    sets = full_sets(buckets, docs, shingle_words)
 
     like = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  sizes further apart can't reach the similarity
     pivots = classes.select(F.col("id").alias("pivot"), F.col("n").alias("pivot_n"))
     stars = buckets.filter("id != pivot").select("pivot", "id", "n").distinct().join(pivots, "pivot").filter(like(F.col("n"), F.col("pivot_n")))
     tested = staged(stars.select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-    links = staged(confirmed(tested, docs, shingle_words, percent))
+    links = staged(confirmed(tested, sets, percent))
 
     parts = connected_components(links)
     grouped = buckets.select("pivot", "id", "n").distinct().join(parts, F.col("id") == F.col("node"), "left").select("pivot", "id", "n", F.coalesce("component", "id").alias("part"))
@@ -269,8 +269,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     y = few.select("pivot", F.col("id").alias("yi"), F.col("n").alias("yn"), F.col("part").alias("yp"), (F.col("part") == F.col("main")).alias("y_main"))
     across = x.join(y, "pivot").filter((F.col("xp") != F.col("yp")) & (F.col("y_main") | (F.col("xi") < F.col("yi"))) & like(F.col("xn"), F.col("yn")))
     across = across.select(F.least("xi", "yi").alias("a"), F.greatest("xi", "yi").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    links = links.union(staged(confirmed(staged(across), docs, shingle_words, percent)))
-    links = links.union(staged(links_in_blocks(undecided.filter(F.col("members") > FEW), docs, shingle_words, percent)))
+    links = links.union(staged(confirmed(staged(across), sets, percent)))
+    links = links.union(staged(links_in_blocks(undecided.filter(F.col("members") > FEW), sets, percent)))
     parts = connected_components(links)
 
     found = classes.select("d1", "d2", "id").join(parts, F.col("id") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "id").alias("class_part"))
