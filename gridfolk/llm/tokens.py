@@ -14,11 +14,14 @@ import unicodedata
 import numpy as np
 
 #: A piece takes about 200 bytes; beyond so many the memory starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
 #: White space that isn't a single character between two others needs the careful cut.
 _UNEVEN = re.compile(r"\s\s|\A\s|\s\Z")
 _CAREFUL = re.compile(r"(?= \S)")
+#: Texts of letters (whose lower case is plain), digits, single spaces and line breaks, and full stops and commas right
+#: after something else have nothing that this finds. Their stops and commas are pieces, and case can go first.
+_UNUSUAL = re.compile(r"[^A-Za-z0-9À-ÖØ-öø-ÿŒœ .,\n]|[ \n][ \n.,]|[.,][.,]|\A[ \n]|[ \n]\Z")
 
 
 def _all_letters(stem: str) -> bool:
@@ -38,6 +41,10 @@ class PieceEncoder:
         self.known: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
+        if not _UNUSUAL.search(text):
+            if self.kind == "words":
+                return text.lower().replace(".", " . ").replace(",", " , ").split()
+            return text.replace("\n", "\0\n\0").replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").split("\0")
         if self.kind == "words":  # normal form, case and word ends don't reach across a space
             return text.replace("\n", " ").split(" ")
         if _UNEVEN.search(text):
