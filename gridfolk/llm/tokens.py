@@ -10,8 +10,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-
-import numpy as np
+from array import array
 
 #: A piece takes about 200 bytes; beyond so many the memory starts anew.
 REMEMBERED = 400_000
@@ -19,9 +18,16 @@ _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
 #: White space that isn't a single character between two others needs the careful cut.
 _UNEVEN = re.compile(r"\s\s|\A\s|\s\Z")
 _CAREFUL = re.compile(r"(?= \S)")
-#: Texts of letters (whose lower case is plain), digits, single spaces and line breaks, and full stops and commas right
-#: after something else have nothing that this finds. Their stops and commas are pieces, and case can go first.
-_UNUSUAL = re.compile(r"[^A-Za-z0-9À-ÖØ-öø-ÿŒœ .,\n]|[ \n][ \n.,]|[.,][.,]|\A[ \n]|[ \n]\Z")
+#: Letters whose lower case is plain, digits, spaces and line breaks, full stops and commas.
+_USUAL = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿŒœ .,\n]*")
+#: White space and marks that don't stand right after something else.
+_PAIRS = tuple(a + b for a in " \n" for b in " \n.,") + tuple(a + b for a in ".," for b in ".,")
+_WHITE = (" ", "\n")
+
+
+def _usual(text: str) -> bool:
+    """A text whose stops and commas are pieces, and whose case can go first where case is dropped."""
+    return _USUAL.match(text).end() == len(text) and not any(p in text for p in _PAIRS) and not text.startswith(_WHITE) and not text.endswith(_WHITE)
 
 
 def _all_letters(stem: str) -> bool:
@@ -41,7 +47,7 @@ class PieceEncoder:
         self.known: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
-        if not _UNUSUAL.search(text):
+        if _usual(text):
             if self.kind == "words":
                 return text.lower().replace(".", " . ").replace(",", " , ").split()
             return text.replace("\n", "\0\n\0").replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").split("\0")
@@ -59,27 +65,20 @@ class PieceEncoder:
         return out
 
     def _learn(self, pieces: set[str]) -> None:
-        """Pieces that differ in a full stop or comma at the end, or for words in case, share one call."""
-        asked: dict[str, tuple[str, str]] = {}
-        for piece in pieces:
-            stem, end = piece, ""
-            if piece[-1:] in (".", ",") and _all_letters(piece[:-1]):
-                stem, end = piece[:-1], piece[-1]
-            if self.kind == "words" and stem.isascii():
-                stem = stem.lower()
-            asked[piece] = (stem, end)
-        new = list(({s for s, _ in asked.values()} | {e for _, e in asked.values()}) - self.known.keys())
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(found.ids, "<u4").tobytes()
-        for piece, (stem, end) in asked.items():
-            self.known[piece] = self.known[stem] + self.known[end]
+        """Pieces that only differ in a full stop or comma at the end share one call."""
+        ended = [p for p in pieces if p[-1:] in (".", ",") and _all_letters(p[:-1])]
+        new = list((pieces.difference(ended) | {p[:-1] for p in ended} | {p[-1] for p in ended}) - self.known.keys())
+        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        self.known.update(zip(new, (array("I", x.ids).tobytes() for x in found), strict=True))
+        for piece in ended:
+            self.known[piece] = self.known[piece[:-1]] + self.known[piece[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.pieces(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = {p for pieces in cut for p in pieces} - self.known.keys()
+        new = set().union(*cut) - self.known.keys()
         if new:
             self._learn(new)
         return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
