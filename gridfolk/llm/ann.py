@@ -131,7 +131,7 @@ def index_vectors(rows: DataFrame, shard_size: int = SHARD) -> DataFrame:
     sizes = {x["_dim"]: x["count"] for x in nodes.groupBy("_dim").count().collect()}  # a row for each dimension
     shards = F.coalesce(F.create_map(*(F.lit(x) for d, n in sizes.items() for x in (d, max(1, round(n / shard_size)))))[F.col("_dim")], F.lit(1)) if sizes else F.lit(1)
 
-    def built(key, group: pd.DataFrame) -> pd.DataFrame:
+    def built(key, group):
         group = group.sort_values("_node")
         points = np.stack(group["_v"].to_numpy()).astype(np.float32)
         edges, entry = build_graph(points)
@@ -144,7 +144,7 @@ def index_vectors(rows: DataFrame, shard_size: int = SHARD) -> DataFrame:
 def search(index: DataFrame, queries: DataFrame, found: int, beam: int = BEAM) -> DataFrame:
     """``_query``, ``_node`` and ``_far`` (distance in double precision): the best ``found`` nodes of each shard for each query (_id, _dim, _v)."""
 
-    def searched(_, shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def searched(_, shard, asked):
         if not len(shard) or not len(asked):
             return pd.DataFrame({"_query": [], "_node": [], "_far": []})
         row = shard.iloc[0]

@@ -161,7 +161,7 @@ def links_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     only links that connect what its earlier links have not.
     """
 
-    def linked(_, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+    def linked(_, x, y):
         sets = [np.frombuffer(s, np.uint64) for s in y["y_shingles"]]
         if not len(x) or not sets:
             return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
