@@ -44,7 +44,8 @@ def hashed_units(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``_key``, ``_text`` (a hash, to tell rows of one key apart), ``_h`` and ``_w``: the units' hashes and words."""
     facts = F.transform(units_of(F.col(text)), lambda u: let(F.btrim(u, F.lit(WHITE)), lambda t: F.struct(F.xxhash64(t).alias("h"), word_count(t).alias("w"))))
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.xxhash64(text).alias("_text"), facts.alias("_units"))
-    return rows.select("_key", "_text", F.col("_units.h").alias("_h"), F.col("_units.w").alias("_w"))
+    # Not "_units.h": Spark takes that for cheap and would extract it anew for every element that is looked up.
+    return rows.select("_key", "_text", F.transform("_units", lambda u: u["h"]).alias("_h"), F.transform("_units", lambda u: u["w"]).alias("_w"))
 
 
 def fingerprints(units: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def repeated_runs(units: DataFrame) -> DataFrame:
 
     Earlier means a smaller key (null first), or in the same row a smaller place.
     """
-    prints = fingerprints(units)
+    prints = fingerprints(staged(units))  # read twice, and far smaller than the texts
     shared = prints.groupBy("print").count().filter("count > 1").select("print")
     windows = prints.join(shared, "print", "left_semi").select("_key", "_text", "_start", "_size", F.posexplode("_windows").alias("_k", "_window"))
     windows = staged(windows.select("_window", "_size", "_key", "_text", (F.col("_start") + F.col("_k")).alias("_start")))
