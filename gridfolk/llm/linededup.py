@@ -46,37 +46,56 @@ def word_count(unit: Column) -> Column:
     return F.when(unit == "", 0).otherwise(F.length(unit) - F.length(F.replace(unit, F.lit(" "), F.lit(""))) + 1)
 
 
+def trimmed_units(text: Column) -> Column:
+    """Units without the white space around them, one for each of :func:`units_of`.
+
+    Trimming other characters than spaces is slow. In a text whose only other
+    white space is the line break, leaving out what ends a unit does most of it.
+    """
+    marked = F.replace(text, F.lit("\n"), F.lit(MARK))
+    for end in (". ", "! ", "? "):
+        marked = F.replace(marked, F.lit(end), F.lit(end[0] + MARK))
+    last_is_empty = (marked == "") | F.endswith(marked, F.lit(MARK))  # no other piece is without an end
+    plain = let(F.split(marked, MARK, -1), lambda p: F.when(last_is_empty, F.slice(p, 1, F.size(p) - 1)).otherwise(p))
+    uneven = F.lit(False)
+    for mark in (MARK, "\t", "\x0b", "\f", "\r"):
+        uneven = uneven | F.contains(text, F.lit(mark))
+    return F.when(uneven, F.transform(units_of(text), lambda u: F.btrim(u, F.lit(WHITE)))).otherwise(F.transform(plain, lambda u: F.btrim(u)))
+
+
 def hashed_units(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``_key``, ``_text`` (a hash, to tell rows of one key apart), ``_h`` and ``_w``: the units' hashes and words."""
-    facts = F.transform(units_of(F.col(text)), lambda u: let(F.btrim(u, F.lit(WHITE)), lambda t: F.struct(F.xxhash64(t).alias("h"), word_count(t).alias("w"))))
-    rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.xxhash64(text).alias("_text"), facts.alias("_units"))
-    # Not "_units.h": Spark takes that for cheap and would extract it anew for every element that is looked up.
-    return rows.select("_key", "_text", F.transform("_units", lambda u: u["h"]).alias("_h"), F.transform("_units", lambda u: u["w"]).alias("_w"))
+    """``_key``, ``_text`` (a hash, to tell rows of one key apart), ``_h`` (the units' hashes) and ``_long`` (places of units of ``LONG`` or more words)."""
+    rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.xxhash64(text).alias("_text"), trimmed_units(F.col(text)).alias("_units"))
+    large = lambda u: (F.octet_length(u) >= 2 * LONG - 1) & (word_count(u) >= LONG)  # noqa: E731  fewer bytes can't hold so many words
+    places = F.filter(F.transform("_units", lambda u, i: F.when(large(u), i)), lambda i: i.isNotNull())
+    none = F.array().cast("array<int>")
+    return rows.select("_key", "_text", F.transform("_units", lambda u: F.xxhash64(u)).alias("_h"), F.when(F.exists("_units", large), places).otherwise(none).alias("_long"))
 
 
 def fingerprints(units: DataFrame) -> DataFrame:
-    """``print`` and the windows it stands for: the first start and the hashes of ``_size`` units from there on."""
+    """``print`` and the windows it stands for: the first start and the hashes of ``_size`` units from there on.
+
+    Every window is a row first, so that its hashes are compiled code and not
+    functions called for each element of an array.
+    """
     n = F.size("_h")
-    grams = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.xxhash64(F.get("_h", i), F.get("_h", i + 1)))
-    rows = units.filter(n >= RUN).withColumn("_g", grams)
+    rows = units.filter(n >= RUN).withColumn("_start", F.explode(F.sequence(F.lit(0), n - RUN)))
+    at = lambda k: F.get("_h", F.col("_start") + k)
+    rows = rows.withColumns({f"_g{k}": F.xxhash64(at(k - 1), at(k)) for k in range(2 * GRAMS)})  # _g1 is the gram at the start
 
-    def chosen(i: Column) -> Column:  # the rightmost smallest gram of the window
-        a, b, c = F.get("_g", i), F.get("_g", i + 1), F.get("_g", i + 2)
-        return F.when((c <= a) & (c <= b), i + 2).when(b <= a, i + 1).otherwise(i)
+    def chosen(k: int) -> Column:
+        """Which gram the window ``k`` after the start takes: the rightmost smallest. Null past the last window."""
+        a, b, c = (F.col(f"_g{k + j}") for j in (1, 2, 3))
+        return F.when(F.col("_start") + k <= n - RUN, F.when((c <= a) & (c <= b), k + 2).when(b <= a, k + 1).otherwise(k))
 
-    rows = rows.withColumn("_chosen", F.transform(F.sequence(F.lit(0), n - RUN), chosen))
-    window = lambda i: F.xxhash64(*(F.get("_h", i + k) for k in range(RUN)))
     # A fingerprint's windows are neighbours: a gram begins them where the window before chose another.
-    begins = F.filter(F.sequence(F.lit(0), n - RUN), lambda i: (i == 0) | (F.get("_chosen", i) != F.get("_chosen", i - 1)))
-    rows = rows.withColumn("_start", F.explode(begins))
-    upto = F.filter(F.sequence(F.lit(0), F.lit(GRAMS - 1)), lambda k: F.get("_chosen", F.col("_start") + k) == F.get("_chosen", F.col("_start")))
-    short = rows.select(
-        F.get("_g", F.get("_chosen", F.col("_start"))).alias("print"), "_key", "_text", F.col("_start").cast("int").alias("_start"), F.lit(RUN).alias("_size"),
-        F.transform(upto, lambda k: window(F.col("_start") + k)).alias("_windows"),
-    )
-    at = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get("_w", i) >= LONG)
-    long = units.filter(n > 0).withColumn("_start", F.explode(at)).withColumn("_one", F.xxhash64(F.get("_h", F.col("_start")), F.lit("one")))
-    return short.unionByName(long.select(F.col("_one").alias("print"), "_key", "_text", F.col("_start").cast("int").alias("_start"), F.lit(1).alias("_size"), F.array("_one").alias("_windows")))
+    rows = rows.filter((F.col("_start") == 0) | (chosen(-1) != chosen(0)))
+    window = lambda k: F.xxhash64(*(at(k + j) for j in range(RUN)))
+    windows = F.when(chosen(2) == chosen(0), F.array(window(0), window(1), window(2))).when(chosen(1) == chosen(0), F.array(window(0), window(1))).otherwise(F.array(window(0)))
+    gram = F.when(chosen(0) == 2, F.col("_g3")).when(chosen(0) == 1, F.col("_g2")).otherwise(F.col("_g1"))
+    short = rows.select(gram.alias("print"), "_key", "_text", "_start", F.lit(RUN).alias("_size"), windows.alias("_windows"))
+    long = units.withColumn("_start", F.explode("_long")).withColumn("_one", F.xxhash64(at(0), F.lit("one")))
+    return short.unionByName(long.select(F.col("_one").alias("print"), "_key", "_text", "_start", F.lit(1).alias("_size"), F.array("_one").alias("_windows")))
 
 
 def repeated_runs(units: DataFrame) -> DataFrame:
@@ -84,13 +103,14 @@ def repeated_runs(units: DataFrame) -> DataFrame:
 
     Earlier means a smaller key (null first), or in the same row a smaller place.
     """
-    prints = fingerprints(staged(units))  # read twice, and far smaller than the texts
+    prints = staged(fingerprints(staged(units)))  # both are read twice, and far smaller than the texts
     shared = prints.groupBy("print").count().filter("count > 1").select("print")
     windows = prints.join(shared, "print", "left_semi").select("_key", "_text", "_start", "_size", F.posexplode("_windows").alias("_k", "_window"))
     windows = staged(windows.select("_window", "_size", "_key", "_text", (F.col("_start") + F.col("_k")).alias("_start")))
     place = F.struct("_key", "_text", "_start")
     firsts = windows.groupBy("_window").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).filter("_first != _last").select("_window", "_first")
-    later = windows.join(firsts, "_window").filter(place != F.col("_first")).select("_key", "_text", "_start", (F.col("_start") + F.col("_size") - 1).alias("_end")).distinct()
+    later = windows.join(firsts, "_window").filter(place != F.col("_first")).select("_key", "_text", "_start", (F.col("_start") + F.col("_size") - 1).alias("_end"))
+    later = later.repartition("_key", "_text").distinct()  # one shuffle for this and all that follows
     in_row = Window.partitionBy("_key", "_text").orderBy("_start", "_end")
     before = F.max("_end").over(in_row.rowsBetween(Window.unboundedPreceding, -1))
     islands = later.withColumn("_new", F.when(F.col("_start") <= before + 1, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(in_row))
