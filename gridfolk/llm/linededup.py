@@ -25,6 +25,8 @@ WHITE = " \t\n\x0b\f\r"
 MARK = "\x01"
 #: Units in a window, grams in a window, words from which a unit is a run by itself, words that a deleted run must have.
 RUN, GRAMS, LONG, LEAST = 4, 3, 50, 25
+#: A value that holds more than one in so many rows is joined apart from the others; fewer values than this can.
+HOT = 256
 
 
 def let(value: Column, body) -> Column:
@@ -98,18 +100,30 @@ def fingerprints(units: DataFrame) -> DataFrame:
     return short.unionByName(long.select(F.col("_one").alias("print"), "_key", "_text", "_start", F.lit(1).alias("_size"), F.array("_one").alias("_windows")))
 
 
+def join_hot_apart(left: DataFrame, right: DataFrame, on: str, how: str) -> DataFrame:
+    """Join with a row for each value of ``on``, of which ``_n`` says how often the (staged) left side has it.
+
+    Values with a large share of the left rows are fewer than ``HOT``, so
+    their rows on the right are broadcast and their left rows stay where they
+    are. The others grow with the data and are always merged by a shuffle.
+    """
+    many = F.col("_n") * HOT > left.count()
+    hot, cold = F.broadcast(right.filter(many).drop("_n")), right.filter(~many).drop("_n").hint("merge")
+    return left.join(hot, on, how).unionByName(left.join(hot, on, "left_anti").join(cold, on, how))
+
+
 def repeated_runs(units: DataFrame) -> DataFrame:
     """``_key``, ``_text`` and ``_runs``, the maximal runs (first and last unit) whose windows occur earlier.
 
     Earlier means a smaller key (null first), or in the same row a smaller place.
     """
     prints = staged(fingerprints(staged(units)))  # both are read twice, and far smaller than the texts
-    shared = prints.groupBy("print").count().filter("count > 1").select("print")
-    windows = prints.join(shared, "print", "left_semi").select("_key", "_text", "_start", "_size", F.posexplode("_windows").alias("_k", "_window"))
+    shared = staged(prints.groupBy("print").agg(F.count("*").alias("_n")).filter("_n > 1"))
+    windows = join_hot_apart(prints, shared, "print", "left_semi").select("_key", "_text", "_start", "_size", F.posexplode("_windows").alias("_k", "_window"))
     windows = staged(windows.select("_window", "_size", "_key", "_text", (F.col("_start") + F.col("_k")).alias("_start")))
     place = F.struct("_key", "_text", "_start")
-    firsts = windows.groupBy("_window").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).filter("_first != _last").select("_window", "_first")
-    later = windows.join(firsts, "_window").filter(place != F.col("_first")).select("_key", "_text", "_start", (F.col("_start") + F.col("_size") - 1).alias("_end"))
+    firsts = windows.groupBy("_window").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), F.count("*").alias("_n")).filter("_first != _last")
+    later = join_hot_apart(windows, staged(firsts.select("_window", "_first", "_n")), "_window", "inner").filter(place != F.col("_first")).select("_key", "_text", "_start", (F.col("_start") + F.col("_size") - 1).alias("_end"))
     later = later.repartition("_key", "_text").distinct()  # one shuffle for this and all that follows
     in_row = Window.partitionBy("_key", "_text").orderBy("_start", "_end")
     before = F.max("_end").over(in_row.rowsBetween(Window.unboundedPreceding, -1))
@@ -130,7 +144,7 @@ def delete_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
     first. Other columns stay; those named like the three are replaced.
     """
     docs = docs.drop("n_units", "n_removed", "removed")
-    runs = staged(repeated_runs(hashed_units(docs, key, text)))
+    runs = staged(repeated_runs(hashed_units(docs, key, text))).hint("merge")  # they grow with the documents
     joined = docs.withColumn("_text_now", F.xxhash64(text)).join(runs, (F.col(key).eqNullSafe(F.col("_key"))) & (F.col("_text_now") == F.col("_text")), "left")
     words = lambda units, r: F.aggregate(F.slice(units, r["first"] + 1, r["last"] - r["first"] + 1), F.lit(0), lambda a, u: a + word_count(F.btrim(u, F.lit(WHITE))))
     joined = joined.withColumn("_units", units_of(F.coalesce(F.col(text), F.lit(""))))
