@@ -11,9 +11,16 @@ import os
 import re
 import unicodedata
 from array import array
+from itertools import pairwise
 
-#: A piece takes about 200 bytes; beyond so many the memory starts anew.
+import numpy as np
+
+#: A piece takes about 200 bytes; beyond so many only those in use stay.
 REMEMBERED = 400_000
+#: Words that are encoded as one line.
+LINE = 5000
+#: Marks that aren't merged with the letters before them.
+MARKS = ".,;:!?#*$%&|<>"
 _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
 #: White space that isn't a single character between two others needs the careful cut.
 _UNEVEN = re.compile(r"\s\s|\A\s|\s\Z")
@@ -45,6 +52,9 @@ class PieceEncoder:
 
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(1 + max(vocabulary.values()), bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def pieces(self, text: str) -> list[str]:
         if _usual(text):
@@ -64,21 +74,44 @@ class PieceEncoder:
             out.extend([" " + w for w in words[1:]])
         return out
 
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Words of letters only, encoded as lines of many and cut after the ids that end a word."""
+        out: list[bytes] = []
+        for begin in range(0, len(words), LINE):
+            line = words[begin : begin + LINE]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(line)], add_special_tokens=False)[0].ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+            octets = ids.tobytes()
+            out += [octets[x:y] for x, y in pairwise([0, *ends.tolist()])] if len(ends) == len(line) else self._each(line)
+        return out
+
     def _learn(self, pieces: set[str]) -> None:
-        """Pieces that only differ in a full stop or comma at the end share one call."""
-        ended = [p for p in pieces if p[-1:] in (".", ",") and _all_letters(p[:-1])]
-        new = list((pieces.difference(ended) | {p[:-1] for p in ended} | {p[-1] for p in ended}) - self.known.keys())
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.known.update(zip(new, (array("I", x.ids).tobytes() for x in found), strict=True))
-        for piece in ended:
-            self.known[piece] = self.known[piece[:-1]] + self.known[piece[-1]]
+        """Pieces that only differ in the marks at their end share what is learned of their letters."""
+        ended = {}
+        for p in pieces:
+            stem = p.rstrip(MARKS)
+            if len(stem) < len(p) and _all_letters(stem):
+                ended[p] = stem, p[len(stem) :]
+        new = pieces.difference(ended).union(*ended.values()) - self.known.keys()
+        if self.kind == "words":
+            words = [p for p in new if p[:1] != " " and _all_letters(p)]
+            self.known.update(zip(words, self._words(words), strict=True))
+            new.difference_update(words)
+        others = list(new)
+        self.known.update(zip(others, self._each(others), strict=True))
+        for piece, (stem, tail) in ended.items():
+            self.known[piece] = self.known[stem] + self.known[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.pieces(t) for t in texts]
+        used = set().union(*cut)
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = set().union(*cut) - self.known.keys()
+            self.known = {p: self.known[p] for p in used & self.known.keys()}
+        new = used - self.known.keys()
         if new:
             self._learn(new)
         return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
