@@ -2,7 +2,9 @@
 
 For every language two references are summed over all documents that pass
 the base rules: how often each class of characters occurs, and how often each
-of the language's most common words does. A document is judged by the
+of the language's most common words does. Words are whole, of any script and
+length, without the punctuation around them and in lower case; only for the
+fixed SQL of ``op6_quality_rules`` they are short pieces of ASCII letters. A document is judged by the
 Jensen-Shannon distance (square root of the divergence to base 2, 0 to 1)
 between its own histograms and the references.
 
@@ -19,12 +21,14 @@ from .staging import staged
 
 #: Classes of characters; what fits none is the last class.
 CLASSES = ("[a-z]+", "[A-Z]+", "[0-9]+", "[ \\t\\n\\x0B\\f\\r]+", "[.,;:!?'\"()-]+", "[#*$%&|<>]+")
-#: Common words kept for each language, and the most letters such a word has.
+#: Common words kept for each language, and the most letters such a word has if words are pieces.
 COMMON, COMMON_LETTERS = 20, 5
 #: By default a document farther than this from its reference is rejected, if it has so many words.
 CLASS_DISTANCE, CLASS_WORDS = 0.30, 50
 WORD_DISTANCE, WORD_WORDS = 0.27, 100
 SYMBOLS = "#*$%&|<>"
+#: What is trimmed off both ends of a whole word.
+EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»‹›„“”‚‘’…–—·、。，！？；：（）「」『』【】《》"
 
 
 def words_of(text: Column) -> Column:
@@ -32,6 +36,11 @@ def words_of(text: Column) -> Column:
     return let(F.btrim(text, F.lit(WHITE)), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "[ \\t\\n\\x0B\\f\\r]+")))
 
 
+def folded_words(words: Column) -> Column:
+    """Words without the punctuation around them, in lower case; what is punctuation only becomes empty."""
+    return F.transform(words, lambda w: F.lower(F.btrim(w, F.lit(EDGES))))
+
+
 def repeated_words(words: Column) -> Column:
     """Words in windows of three that are found twice or more; each word counts once."""
 
@@ -57,9 +66,13 @@ def removed(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def common_words(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """``_lang`` and ``_common``, the most frequent short words of all texts of each language (ties by word)."""
-    word = docs.select(F.col(lang).alias("_lang"), F.explode(F.filter(F.split(F.col(text), "[^a-z]+"), lambda w: F.length(w).between(1, COMMON_LETTERS))).alias("_word"))
+def common_words(docs: DataFrame, text: str, lang: str, pieces: bool = False) -> DataFrame:
+    """``_lang`` and ``_common``, the most frequent words (or short pieces of words) of all texts of each language (ties by word)."""
+    if pieces:
+        words = F.filter(F.split(F.col(text), "[^a-z]+"), lambda w: F.length(w).between(1, COMMON_LETTERS))
+    else:
+        words = F.filter(folded_words(words_of(F.col(text))), lambda w: w != "")
+    word = docs.select(F.col(lang).alias("_lang"), F.explode(words).alias("_word"))
     counts = word.groupBy("_lang", "_word").count()
     ranked = counts.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("count"), "_word"))).filter(F.col("_rank") <= COMMON)
     return ranked.groupBy("_lang").agg(F.array_sort(F.collect_list("_word")).alias("_common"))
@@ -80,14 +93,14 @@ def distance(own: Column, reference: Column) -> Column:
     return F.when(filled(own) & filled(reference), F.sqrt(F.greatest(F.lit(0.0), divergence)))
 
 
-def measured(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
+def measured(docs: DataFrame, key: str, text: str, lang: str, pieces: bool = False) -> DataFrame:
     """The base counts and both histograms of every row; no text any more."""
-    common = F.broadcast(common_words(docs, text, lang))  # a short row for each language; a language is a code, not a text
+    common = F.broadcast(common_words(docs, text, lang, pieces))  # a short row for each language; a language is a code, not a text
     rows = docs.select(F.col(key).alias("_key"), F.col(lang).alias("_row_lang"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     rows = rows.join(common, F.col("_row_lang").eqNullSafe(F.col("_lang")), "left").withColumn("_words", words_of(F.col("_t")))
     lines = F.filter(F.split("_t", "\n", -1), lambda x: F.btrim(x, F.lit(WHITE)) != "")
     classes = [removed(F.col("_t"), c).cast("double") for c in CLASSES]
-    apart = F.concat(F.lit(" "), F.array_join("_words", "  "), F.lit(" "))
+    apart = F.concat(F.lit(" "), F.array_join(F.col("_words") if pieces else folded_words(F.col("_words")), "  "), F.lit(" "))
     hits = let(apart, lambda t: F.transform("_common", lambda w: (F.length(t) - F.length(F.replace(t, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2.0)))
     rows = rows.select(
         "_key", F.col("_row_lang").alias("_lang"), F.size("_words").cast("long").alias("n_words"),
@@ -115,7 +128,7 @@ def references(rows: DataFrame) -> DataFrame:
     return a.join(b, F.col("_lang").eqNullSafe(F.col("_other"))).drop("_other").withColumnRenamed("_lang", "_reference_lang")
 
 
-def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", class_limit=(CLASS_DISTANCE, CLASS_WORDS), word_limit=(WORD_DISTANCE, WORD_WORDS)) -> DataFrame:
+def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", class_limit=(CLASS_DISTANCE, CLASS_WORDS), word_limit=(WORD_DISTANCE, WORD_WORDS), pieces: bool = False) -> DataFrame:
     """One row for each document: the key, counts, base_failed, class_distance, word_distance and kept.
 
     Null text counts as empty and fails the base rules. A distance is null,
@@ -123,8 +136,9 @@ def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     document that passes the base rules; each has its own minimum number of
     words. A null language is a language of its own. Repeated rows are judged
     alike; other columns are ignored; an empty table gives an empty table.
+    ``pieces`` ranks and counts pieces of words in place of whole ones.
     """
-    rows = staged(measured(docs, key, text, lang))
+    rows = staged(measured(docs, key, text, lang, pieces))
     found = rows.join(F.broadcast(references(rows)), F.col("_lang").eqNullSafe(F.col("_reference_lang")), "left")  # two short rows for each language
     found = found.withColumns({"class_distance": distance(F.col("_classes"), F.col("_class_reference")), "word_distance": distance(F.col("_hits"), F.col("_word_reference"))})
     (class_most, class_words), (word_most, word_words) = class_limit, word_limit

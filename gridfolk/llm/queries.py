@@ -43,7 +43,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge_quality(table(spark, sf_dir, "documents"))
+    """By pieces of words, as its SQL has it; the pipeline goes by whole words."""
+    judged = judge_quality(table(spark, sf_dir, "documents"), pieces=True)
     return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 

@@ -184,6 +184,22 @@ def test_quality(odd, docs):
     assert quality.judge_quality(odd.limit(0)).count() == 0 and quality.keep_good(docs).columns == docs.columns
 
 
+def test_common_words_are_whole_words(spark, docs):
+    edges = quality.EDGES
+    want = {}
+    for r in docs.collect():
+        words = [w.strip(edges).lower() for w in re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")]
+        want.setdefault(r["lang"], Counter()).update(w for w in words if w)
+    got = {r["_lang"]: r["_common"] for r in quality.common_words(docs, "text", "lang").collect()}
+    assert got == {k: sorted(sorted(c, key=lambda w: (-c[w], w))[: quality.COMMON]) for k, c in want.items()}
+    rows = [(1, "La Nación, «también» la NACIÓN; été. - Ελλάδα", "es"), (2, "nación", "es")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    common = ["ελλάδα", "la", "nación", "también", "été"]
+    assert quality.common_words(table, "text", "lang").first()["_common"] == sorted(common)
+    hits = {r["_key"]: r["_hits"] for r in quality.measured(table, "doc_id", "text", "lang").collect()}
+    assert hits == {1: [2.0, 2.0, 1.0, 1.0, 1.0, 1.0], 2: [0.0, 1.0, 0.0, 0.0, 0.0, 0.0]}  # the last is what is no common word
+
+
 def test_licences(spark):
     cases = ["Copyright (c) 2020 Me\n\n" + licenses.MIT.replace("license", "licence").upper(), None, "...", "Some text.\nReleased under the MIT Licence\n", "SPDX-License-Identifier: MIT", licenses.ISC + " more"]
     got = licenses.scan_licences(spark.createDataFrame([(i, t, "x") for i, t in enumerate(cases)], "doc_id long, text string, licence_id string")).orderBy("doc_id").collect()
