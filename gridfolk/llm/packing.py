@@ -11,7 +11,10 @@ numbered within their length and look up their place in the plan.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -70,107 +73,136 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(m, filling) for fillings in open_.values() for filling, m in fillings.items()]
 
 
+def smeared(bits: int, by: int) -> int:
+    """Each set bit, and the ``by`` bits above it."""
+    done = 0
+    while done < by:
+        step = min(done + 1, by - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
 @dataclass
 class BinCompletion:
     """Branch and bound over fillings of the sequence that holds the largest piece left.
 
-    A filling is dominated if some other, which uses the room at least as
-    well, has pieces that its own could be put into; so a filling to which a
-    piece left still could be added, or which could hold a larger piece
-    instead of one of its own, is not enumerated before that better one. A
-    branch ends as soon as its waste exceeds what a packing better than the
-    incumbent may waste. ``nodes`` bounds the search; the incumbent is always
-    whole.
+    A filling is dominated if a piece left over could be added to it, or could
+    take the place of some of its pieces that together are no larger: by a
+    swap with the sequence that has that piece, any packing becomes one with
+    the better filling, which has less waste or the same in fewer pieces. All
+    undominated fillings are made, of any number of pieces, one at a time as
+    the search asks: least waste first, then largest pieces first. Each is
+    tried for every number of sequences, the most first; those that share the
+    largest piece take later fillings only. A branch ends as soon as its waste
+    exceeds what a packing better than the incumbent may waste.
+
+    A quick search of the first ``tries`` fillings, each as often as it goes,
+    comes before this for a better incumbent. ``nodes`` bounds either search,
+    and ``steps`` the pieces that its fillings are made of; the incumbent is
+    always whole, and ``proved`` says that none is better.
     """
 
     counts: dict[int, int]
     capacity: int
     nodes: int = 4_000
+    steps: int = 200_000
     tries: int = 3
-
-    def fillings(self, left: np.ndarray, room: int) -> list[tuple[tuple[int, int], ...]]:
-        """Undominated fillings of ``room``, least waste first, fewest (so largest) pieces first among equals."""
-        have = np.flatnonzero(left[: room + 1])[::-1]
-        if not len(have):
-            return [()]
-        found: list[tuple[int, int, tuple]] = []
-        present = left[: room + 1] > 0
-        if present[room]:
-            return [((room, 1),)]  # one piece that fills the room dominates all other fillings
-        single = int(have[0])
-        # Two pieces: the best partner of each larger piece.
-        rank_below = np.maximum.accumulate(np.where(present, np.arange(room + 1), 0))
-        for first in have.tolist():
-            rest = room - first
-            second = int(rank_below[min(rest, first)]) if rest > 0 else 0
-            if second == first and left[first] < 2:
-                second = int(rank_below[min(rest, first - 1)])
-            if second:
-                found.append((room - first - second, 2, (first, second)))
-            if rest and 2 * first < room:
-                break
-        found.append((room - single, 1, (single,)))
-        found.sort(key=lambda x: (x[0], x[1], [-y for y in x[2]]))
-        best: list[tuple[int, ...]] = []
-        for waste, _, pieces in found[: self.tries * 4]:
-            if waste:  # fill what is left the same way, until nothing fits
-                pieces = self._more(left, pieces, waste)
-            best.append(pieces)
-        best.sort(key=lambda p: (room - sum(p), len(p)))
-        out = []
-        for pieces in best:
-            listed = tuple(sorted(((n, pieces.count(n)) for n in set(pieces)), reverse=True))
-            if listed not in out:
-                out.append(listed)
-        return out[: self.tries]
-
-    @staticmethod
-    def _more(left: np.ndarray, pieces: tuple[int, ...], room: int) -> tuple[int, ...]:
-        while True:
-            fit = [n for n in np.flatnonzero(left[: room + 1])[::-1].tolist() if left[n] > pieces.count(n)]
-            if not fit:
-                return pieces
-            pieces, room = (*pieces, fit[0]), room - fit[0]
+    proved: bool = False
+    _steps: int = 0
+
+    def fillings(self, left: list[int], room: int, after: tuple | None, slack) -> Iterator[tuple[int, tuple[tuple[int, int], ...]]]:
+        """Waste and undominated filling of ``room`` by pieces of ``left``, in order, later than ``after``; ``slack()`` is the most waste of use."""
+        lengths = [n for n in range(min(room, len(left) - 1), 0, -1) if left[n]]
+        reach = [1]  # sums that the lengths from one on can make, as bits
+        for n in reversed(lengths):
+            sums, more, k = reach[-1], min(left[n], room // n), 1
+            while more:  # as many pieces as there are, by doubling
+                k = min(k, more)
+                sums |= sums << k * n
+                more, k = more - k, 2 * k
+            reach.append(sums & ((2 << room) - 1))
+        reach.reverse()
+        present = sum(1 << n for n in lengths)
+
+        def walk(i: int, goal: int, waste: int, filling: tuple, ones: int, many: int, free: int, bound: tuple | None) -> Iterator[tuple]:
+            """Fillings that go on with lengths from ``i``. ``ones`` and ``many`` are sums of one and of more pieces, ``free`` the lengths with a piece left over."""
+            self._steps -= 1
+            if not goal:
+                if bound is None and not free & ((2 << waste) - 1):  # else it was made before, or a piece could be added
+                    yield waste, filling
+                return
+            for j in range(bisect_left(lengths, -goal, i, key=lambda n: -n), len(lengths)):
+                n = lengths[j]
+                if not reach[j] >> goal & 1 or self._steps < 0:
+                    return
+                one, some = ones, many
+                ends = []
+                for k in range(1, min(left[n], goal // n) + 1):
+                    one, some = one | 1 << n, some | (one | some) << n
+                    spare = free & ~(1 << n) if k == left[n] else free
+                    if spare & (smeared(some, waste) | (smeared(one << 1, waste - 1) if waste else 0)):
+                        break  # dominated, and with more pieces as well: what could take their place is larger than all to come
+                    if reach[j + 1] >> (goal - k * n) & 1:
+                        ends.append((k, one, some, spare))
+                for k, one, some, spare in reversed(ends):
+                    at = bound[0] if bound else None
+                    if at is None or (n, k) <= at:
+                        yield from walk(j + 1, goal - k * n, waste, (*filling, (n, k)), one, some, spare, bound[1:] if (n, k) == at else None)
+
+        for waste in range(after[0] if after else 0, room + 1):
+            if waste > slack() or self._steps < 0:
+                return
+            if reach[0] >> (room - waste) & 1:
+                yield from walk(0, room - waste, waste, (), 0, 0, present, after[1] if after and waste == after[0] else None)
 
     def solve(self) -> list[Pattern]:
         incumbent = best_fit(self.counts, self.capacity)
         most, least = sum(m for m, _ in incumbent), lower_bound(self.counts, self.capacity)
         total = sum(n * c for n, c in self.counts.items())
-        left = np.zeros(self.capacity + 1, np.int64)
-        for n, c in self.counts.items():
-            left[n] = c
-        visited = 0
-        stack: list[tuple[np.ndarray, list[Pattern], int]] = [(left, [], 0)]
-        while stack and most > least and visited < self.nodes:
-            left, plan, used = stack.pop()
-            visited += 1
-            there = np.flatnonzero(left)
-            if not len(there):
-                if used < most:
-                    incumbent, most = plan, used
-                continue
-            largest = int(there[-1])
-            branches = []
-            for filling in self.fillings(self._without(left, largest), self.capacity - largest):
+
+        def branches(left: list[int], todo: int, used: int, after: tuple | None, quick: bool) -> Iterator[tuple]:
+            """The pattern, and what is left after it."""
+            largest = max(n for n, c in enumerate(left) if c)
+            others = list(left)
+            others[largest] -= 1
+            slack = lambda: (most - 1 - used) * self.capacity - todo  # noqa: E731  waste of a packing better than the incumbent
+            for waste, filling in islice(self.fillings(others, self.capacity - largest, after, slack), self.tries if quick else None):
                 pieces = dict(filling)
                 pieces[largest] = pieces.get(largest, 0) + 1
-                times = min(int(left[n]) // k for n, k in pieces.items())
-                rest = left.copy()
-                for n, k in pieces.items():
-                    rest[n] -= times * k
-                todo = int((rest * np.arange(self.capacity + 1)).sum())
-                if used + times - (-todo // self.capacity) < most:  # else its waste is more than a better packing may have
-                    branches.append((rest, [*plan, (times, tuple(sorted(pieces.items(), reverse=True)))], used + times))
-            stack.extend(reversed(branches))  # the filling with the least waste is followed first
+                top = min(left[n] // k for n, k in pieces.items())
+                for times in range(top, top - 1 if quick else 0, -1):
+                    if waste * times > slack():
+                        continue
+                    rest = list(left)
+                    for n, k in pieces.items():
+                        rest[n] -= times * k
+                    pattern = (times, tuple(sorted(pieces.items(), reverse=True)))
+                    yield pattern, rest, todo - times * (self.capacity - waste), used + times, (waste, filling) if rest[largest] and not quick else None
+
+        start = [0] * (self.capacity + 1)
+        for n, c in self.counts.items():
+            start[n] = c
+        for quick in (True, False):
+            visited, self._steps, plan = 0, self.steps, []
+            frames = [branches(start, total, 0, None, quick)] if most > least else []
+            while frames and most > least and visited < self.nodes and self._steps >= 0:
+                found = next(frames[-1], None)
+                if found is None:
+                    frames.pop()
+                    continue
+                visited += 1
+                pattern, left, todo, used, after = found
+                plan = [*plan[: len(frames) - 1], pattern]
+                if not todo:
+                    if used < most:
+                        incumbent, most = plan, used
+                elif used - (-todo // self.capacity) < most:
+                    frames.append(branches(left, todo, used, after, quick))
+            self.proved = most <= least or (not quick and not frames and self._steps >= 0)
         assert sum(m * n * k for m, f in incumbent for n, k in f) == total
         return incumbent
 
-    @staticmethod
-    def _without(left: np.ndarray, largest: int) -> np.ndarray:
-        rest = left.copy()
-        rest[largest] -= 1
-        return rest
-
 
 def placement_table(plan: list[Pattern]) -> pd.DataFrame:
     """For each length, runs of piece numbers: ``first`` number, pieces in each sequence, first sequence, place of the first piece."""

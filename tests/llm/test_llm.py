@@ -309,6 +309,39 @@ def test_plans_are_whole_and_no_worse_than_best_fit(counts):
     assert used == counts and packing.lower_bound(counts, 40) <= bins <= sum(m for m, _ in packing.best_fit(counts, 40))
 
 
+def fewest_bins(pieces, capacity):
+    best = len(pieces)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for room in {r for r in rooms if r >= pieces[i]}:
+            at = rooms.index(room)
+            place(i + 1, rooms[:at] + (room - pieces[i],) + rooms[at + 1 :])
+        place(i + 1, (*rooms, capacity - pieces[i]))
+
+    place(0, ())
+    return best
+
+
+def test_plans_are_best():
+    counts = {522: 600, 276: 600, 266: 600, 236: 1200}
+    assert sum(m for m, _ in packing.BinCompletion(counts, 1024).solve()) == 900 < sum(m for m, _ in packing.best_fit(counts, 1024))
+    rng, better = np.random.default_rng(3), 0
+    for _ in range(400):
+        counts = {int(n): int(c) for n, c in zip(rng.choice(np.arange(3, 20), 5, replace=False), rng.integers(1, 4, 5), strict=True)}
+        search = packing.BinCompletion(counts, 30)
+        plan = search.solve()
+        assert all(sum(n * k for n, k in f) <= 30 for _, f in plan) and Counter({n: sum(m * dict(f).get(n, 0) for m, f in plan) for n in counts}) == counts
+        assert search.proved and sum(m for m, _ in plan) == fewest_bins(sorted(Counter(counts).elements(), reverse=True), 30)
+        better += sum(m for m, _ in plan) < sum(m for m, _ in packing.best_fit(counts, 30))
+    assert better
+
+
 def test_pipeline_stages(spark, docs):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near-duplicates", "mixing", "packing"]
     now = docs
