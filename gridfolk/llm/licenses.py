@@ -1,7 +1,7 @@
 """Licence scan by canonical digests.
 
-A text is brought to a canonical form (case, punctuation, copyright lines and
-spellings that the licences' publishers hold equivalent), and the digest of
+A text is brought to a canonical form (case, punctuation, copyright and title
+lines, and spellings that the licences' publishers hold equivalent), and the digest of
 the whole form is joined to those of known licences. Each line is looked up
 as a text of its own, too, for one-line notices.
 
@@ -11,6 +11,8 @@ form; see ``extra`` in :func:`scan_licences`.
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,23 +35,52 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
+#: Long texts, each in a file of its own, and where the terms of some end; what follows there is how to apply them.
+FILES = (
+    ("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3"),
+    ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("BSD-3-Clause", "BSD"),
+)
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def long_texts() -> list[tuple[str, str]]:
+    """Names and texts of ``FILES``; terms alone, with and without the line that ends them, are texts as well."""
+    out = []
+    for name, file in FILES:
+        text = (files(__package__) / "licence_texts" / f"{file}.txt").read_text(encoding="utf-8")
+        terms, end, _ = text.partition(TERMS_END)
+        out += [(name, text)] + ([(name, terms + end), (name, terms)] if end else [])
+    return out
+
+
 LICENCES = (
     ("MIT", MIT), ("ISC", ISC), ("0BSD", ZERO_BSD), ("BSD-2-Clause", BSD_2), ("BSD-3-Clause", BSD_3), ("Zlib", ZLIB),
     ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."), ("MIT", "SPDX-License-Identifier: MIT"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    *long_texts(),
 )
 #: Spellings held equivalent, after lower-casing: pattern, replacement.
 SPELLINGS = (("licence", "license"), ("acknowledgement", "acknowledgment"), ("non-infringement", "noninfringement"), ("https://", "http://"), ("copyright owner", "copyright holder"), ("merchantibility", "merchantability"), ("per cent", "percent"))
 # --- end of the fixed values ---
 
-#: A line, in lower case, that states who holds the copyright, or that rights are reserved.
-COPYRIGHT_LINE = "^\\s*(?:copyright\\s+(?:\\(c\\)|©|[0-9])|(?:\\(c\\)|©)\\s*(?:copyright|[0-9])|all rights reserved\\.?\\s*$)"
+#: Titles above licence texts, in lower case.
+TITLES = (
+    "(?:mit|expat|x11|mit/x11|isc)(?: licen[cs]e)?(?: \\((?:mit|expat|x11|isc)\\))?",
+    "(?:zlib|zlib/libpng|libpng/zlib)(?: licen[cs]e)?(?: \\(zlib\\))?",
+    "(?:bsd zero[- ]clause|zero[- ]clause bsd|0bsd|bsd[- ]0[- ]clause|0[- ]clause bsd)(?: licen[cs]e)?(?: \\(0bsd\\))?",
+    "[\"'(]*(?:(?:new|modified|revised|simplified|freebsd|two|three|[23])[\"')]*[- ]+)?(?:clause[- ]+)?bsd(?:[- ]+(?:two|three|[23])[- ]clause)?(?: [\"'(]+(?:new|modified|revised|simplified|freebsd|or)(?:[\"' ]|or|new|revised|modified)*[\"')]+)?(?: licen[cs]e)?(?: \\([^()]*\\))?",
+)
+#: A line, in lower case, that is no part of the terms: who holds the copyright, that rights are reserved, or a title.
+COPYRIGHT_LINE = (
+    "^[^\\p{L}\\p{N}(©]*(?:(?:portions\\s+)?copyright[\\s:,]+(?:\\(c\\)|©|&copy;|[0-9]|[\\[<{]|.*\\b(?:19|20)[0-9]{2}\\b)|(?:portions\\s+)?copyright©|spdx-filecopyrighttext:|(?:\\(c\\)|©)\\s*(?:copyright|[0-9])"
+    "|all rights reserved\\.?[^\\p{L}\\p{N}]*$|(?:the )?(?:" + "|".join(TITLES) + ")[^\\p{L}\\p{N}]*$)"
+)
 
 
 def canonical_line(line: Column) -> Column:
-    """Lower case, equivalent spellings; anything but letters and digits becomes one space. Empty for a copyright line."""
+    """Lower case, equivalent spellings; anything but letters and digits becomes one space. Empty for a copyright or title line."""
 
     def spelled(low: Column) -> Column:
         out = low
@@ -82,8 +113,8 @@ def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", extr
 
     ``licence_id`` names the licence that the entire text is, else null;
     ``line_licences`` lists, sorted and joined by commas, those that entire
-    lines are (empty if none). Null, empty and punctuation-only texts have a
-    null digest. Rows of equal key are rows of their own; other columns are
+    lines are (empty if none). Null and empty texts, and those of punctuation,
+    copyright lines and titles only, have a null digest. Rows of equal key are rows of their own; other columns are
     ignored; an empty table gives an empty table. The known digests are a
     fixed list, so they are broadcast; texts aren't shuffled.
     """

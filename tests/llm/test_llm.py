@@ -2,8 +2,10 @@
 
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter
+from importlib.resources import files
 
 import numpy as np
 import pytest
@@ -207,6 +209,26 @@ def test_licences(spark):
     assert got[1]["text_digest"] is None and got[2]["text_digest"] is None
 
 
+def test_licence_files_in_usual_forms(spark):
+    wrap = lambda t: "\n".join(textwrap.fill(x, 72) for x in t.split("\n"))
+    heads = {
+        "MIT": ["MIT License", "The MIT License (MIT)", "# The MIT Licence"], "ISC": ["ISC License", "ISC License (ISC)"], "Zlib": ["zlib License", "The zlib/libpng License"],
+        "BSD-2-Clause": ["BSD 2-Clause License", "Simplified BSD License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License'],
+        "BSD-3-Clause": ["BSD 3-Clause License", "New BSD License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "BSD-3-Clause"], "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    }
+    lines = ["Copyright (c) 2020 X", "Copyright Acme Inc., 2020", "Copyright: 2020-2024, Acme", "Copyright [year] [fullname]", "© 2020 X", "Portions Copyright (C) 1999 Y\nAll rights reserved.", " * Copyright 2020 X", "SPDX-FileCopyrightText: 2020 X"]
+    texts = dict(licenses.LICENCES[5::-1])
+    cases = [(name, f"{h}\n\n{c}\n\n{wrap(texts[name])}\n") for name in heads for h in heads[name] for c in lines]
+    long = [(name, (files("gridfolk.llm") / "licence_texts" / f"{file}.txt").read_text()) for name, file in licenses.FILES]
+    cases += long + [(n, t.partition(licenses.TERMS_END)[0]) for n, t in long if licenses.TERMS_END in t] + [(None, t + "\nOne more term.") for _, t in cases]
+    cases += [("Apache-2.0", dict(long)["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 Acme").replace("http://", "https://"))]
+    got = licenses.scan_licences(spark.createDataFrame(list(enumerate(t for _, t in cases)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["licence_id"] for r in got} == dict(enumerate(n for n, _ in cases))
+    prose = ["The mit of it", "copyright holders be liable for any claim", "BSD is a system", "Copyright law is old.", "Released under the MIT License.", "The new one"]
+    kept = spark.createDataFrame([(x,) for x in prose], "t string").select(licenses.canonical_line(F.col("t"))).collect()
+    assert all(r[0] for r in kept)
+
+
 def exact_nearest(rows, queries, k):
     out = {}
     for q, v in queries:
