@@ -9,6 +9,11 @@ fingerprint that occurs again, the match is extended to the left and right
 over all four-unit windows that chose it; windows with an earlier equal are
 joined into maximal runs, which are deleted.
 
+Passages of one to three units have windows of their own: from each unit, and
+up to each unit, the shortest run of at most three that has ``LEAST`` words.
+These are not winnowed. So every repeat of whole units with ``LEAST`` words in
+all is found; the words of a repeat in units that it only shares a part of stay.
+
 DataFrame functions only; nothing is collected over more than one document.
 """
 
@@ -65,13 +70,32 @@ def trimmed_units(text: Column) -> Column:
     return F.when(uneven, F.transform(units_of(text), lambda u: F.btrim(u, F.lit(WHITE)))).otherwise(F.transform(plain, lambda u: F.btrim(u)))
 
 
-def hashed_units(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``_key``, ``_text`` (a hash, to tell rows of one key apart), ``_h`` (the units' hashes) and ``_long`` (places of units of ``LONG`` or more words)."""
+def hashed_units(docs: DataFrame, key: str, text: str, by_units: bool = False) -> DataFrame:
+    """``_key``, ``_text`` (a hash, to tell rows of one key apart), ``_h`` (the units' hashes) and ``_w`` (their words) or ``_long`` (places of units of ``LONG`` or more words)."""
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.xxhash64(text).alias("_text"), trimmed_units(F.col(text)).alias("_units"))
     large = lambda u: (F.octet_length(u) >= 2 * LONG - 1) & (word_count(u) >= LONG)  # noqa: E731  fewer bytes can't hold so many words
     places = F.filter(F.transform("_units", lambda u, i: F.when(large(u), i)), lambda i: i.isNotNull())
     none = F.array().cast("array<int>")
-    return rows.select("_key", "_text", F.transform("_units", lambda u: F.xxhash64(u)).alias("_h"), F.when(F.exists("_units", large), places).otherwise(none).alias("_long"))
+    hashes = F.transform("_units", lambda u: F.xxhash64(u)).alias("_h")
+    if not by_units:
+        return rows.select("_key", "_text", hashes, F.transform("_units", word_count).alias("_w"))
+    return rows.select("_key", "_text", hashes, F.when(F.exists("_units", large), places).otherwise(none).alias("_long"))
+
+
+def short_windows(units: DataFrame) -> DataFrame:
+    """Windows of one to three units with ``LEAST`` words, the shortest from each unit and the shortest up to each unit, as fingerprints of their own."""
+    rows = units.filter(F.size("_h") > 0).withColumn("_at", F.explode(F.sequence(F.lit(0), F.size("_h") - 1)))
+    words = lambda a, b: sum((F.when(F.col("_at") + k >= 0, F.get("_w", F.col("_at") + k)) for k in range(a + 1, b + 1)), F.when(F.col("_at") + a >= 0, F.get("_w", F.col("_at") + a)))  # noqa: E731  null past an end
+    rows = rows.withColumns({f"_w{a + 2}{b + 2}": words(a, b) for a, b in ((0, 0), (0, 1), (0, 2), (-1, 0), (-2, 0), (-1, -1), (-2, -1))})
+    enough = lambda name: F.coalesce(F.col(name) >= LEAST, F.lit(False))
+    size = F.when(enough("_w22"), 1).when(enough("_w23"), 2).when(enough("_w24"), 3)
+    # Up to this unit, where the same is not the shortest from its own start.
+    back = F.when(enough("_w22"), None).when(enough("_w12"), F.when(enough("_w11"), 2)).when(enough("_w02") & enough("_w01"), 3)
+    spans = F.array(F.struct(F.col("_at").alias("_start"), size.alias("_size")), F.struct((F.col("_at") - back + 1).alias("_start"), back.alias("_size")))
+    rows = rows.select("_key", "_text", "_h", F.inline(F.filter(spans, lambda x: x["_size"].isNotNull())))
+    at = lambda k: F.get("_h", F.col("_start") + k)
+    one = F.when(F.col("_size") == 1, F.xxhash64(at(0), F.lit("one"))).when(F.col("_size") == 2, F.xxhash64(at(0), at(1), F.lit("two"))).otherwise(F.xxhash64(at(0), at(1), at(2), F.lit("three")))
+    return rows.withColumn("_one", one).select(F.col("_one").alias("print"), "_key", "_text", "_start", "_size", F.array("_one").alias("_windows"))
 
 
 def fingerprints(units: DataFrame) -> DataFrame:
@@ -96,6 +120,8 @@ def fingerprints(units: DataFrame) -> DataFrame:
     windows = F.when(chosen(2) == chosen(0), F.array(window(0), window(1), window(2))).when(chosen(1) == chosen(0), F.array(window(0), window(1))).otherwise(F.array(window(0)))
     gram = F.when(chosen(0) == 2, F.col("_g3")).when(chosen(0) == 1, F.col("_g2")).otherwise(F.col("_g1"))
     short = rows.select(gram.alias("print"), "_key", "_text", "_start", F.lit(RUN).alias("_size"), windows.alias("_windows"))
+    if "_w" in units.columns:
+        return short.unionByName(short_windows(units))
     long = units.withColumn("_start", F.explode("_long")).withColumn("_one", F.xxhash64(at(0), F.lit("one")))
     return short.unionByName(long.select(F.col("_one").alias("print"), "_key", "_text", "_start", F.lit(1).alias("_size"), F.array("_one").alias("_windows")))
 
@@ -132,11 +158,12 @@ def repeated_runs(units: DataFrame) -> DataFrame:
     return runs.groupBy("_key", "_text").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_runs"))
 
 
-def delete_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def delete_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", by_units: bool = False) -> DataFrame:
     """All rows, with the cleaned text, ``n_units``, ``n_removed`` (units) and ``removed`` (runs: first, last, in units of the old text).
 
     A run is deleted if it has at least ``LEAST`` words (counted by spaces)
-    and consists of windows that occur earlier: windows of four units, or
+    and consists of windows that occur earlier: windows of four units, or of
+    fewer that have ``LEAST`` words; with ``by_units``, windows of four or
     single units of ``LONG`` or more words. Earlier is what has a smaller
     key, so the first copy always stays; rows of equal key are ordered by a
     hash of their text, and rows of equal key and text are one document.
@@ -144,7 +171,7 @@ def delete_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
     first. Other columns stay; those named like the three are replaced.
     """
     docs = docs.drop("n_units", "n_removed", "removed")
-    runs = staged(repeated_runs(hashed_units(docs, key, text))).hint("merge")  # they grow with the documents
+    runs = staged(repeated_runs(hashed_units(docs, key, text, by_units))).hint("merge")  # they grow with the documents
     joined = docs.withColumn("_text_now", F.xxhash64(text)).join(runs, (F.col(key).eqNullSafe(F.col("_key"))) & (F.col("_text_now") == F.col("_text")), "left")
     words = lambda units, r: F.aggregate(F.slice(units, r["first"] + 1, r["last"] - r["first"] + 1), F.lit(0), lambda a, u: a + word_count(F.btrim(u, F.lit(WHITE))))
     joined = joined.withColumn("_units", units_of(F.coalesce(F.col(text), F.lit(""))))

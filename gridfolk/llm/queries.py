@@ -39,7 +39,8 @@ def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delete_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_units", "n_removed")
+    """By four units or one long one, as its SQL has it; the pipeline finds repeats of one to three units, too."""
+    return delete_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), by_units=True).select("doc_id", "text", "n_units", "n_removed")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

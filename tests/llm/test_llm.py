@@ -169,6 +169,39 @@ def test_line_dedup_of_odd_rows(spark, odd):
     assert len(next(r["text"] for r in cleaned.collect() if r["doc_id"] == 8)) < 300  # it repeats itself
 
 
+def deleted_units(rows):
+    """Units that a run deletes: all windows of one to three units with LEAST words, and all of four."""
+    cut = {i: [u.strip(linededup.WHITE) for u in re.split(linededup.UNIT_BREAK, t) if u] for i, t in rows}
+    words = lambda us: sum(u.count(" ") + 1 for u in us if u)
+    seen, gone = set(), {}
+    for i in sorted(cut):
+        hit = set()
+        for a in range(len(cut[i])):
+            for k in range(1, min(4, len(cut[i]) - a) + 1):
+                w = tuple(cut[i][a : a + k])
+                if k == 4 or words(w) >= linededup.LEAST:
+                    hit |= set(range(a, a + k)) if w in seen else set()
+                    seen.add(w)
+        runs = []
+        for j in sorted(hit):
+            runs = [*runs[:-1], [*runs[-1], j]] if runs and runs[-1][-1] == j - 1 else [*runs, [j]]
+        gone[i] = sum(len(r) for r in runs if words([cut[i][j] for j in r]) >= linededup.LEAST)
+    return gone
+
+
+def test_line_dedup_finds_repeats_of_few_units(spark, docs):
+    line = lambda name, n: " ".join(f"{name}{j}" for j in range(n)) + "\n"
+    parts = [line("a", 20) + line("b", 20) + line("c", 20), line("d", 40) + line("e", 28), line("f", 30), line("g", 13) + line("h", 3) + line("i", 13), line("k", 20) + line("l", 20) + line("m", 3), line("n", 3) + line("o", 30)]
+    rows = [(9 * i + j, f"own {i} {j}\n" * (j > 0) + p + f"end {i} {j}\n" * (j > 1)) for i, p in enumerate(parts) for j in range(3)]
+    rng = np.random.default_rng(7)
+    rows += [(100 + i, "".join(line(f"r{k}_", int(3 + 5 * k)) for k in rng.integers(0, 6, 8))) for i in range(40)]
+    got = {r["doc_id"]: r for r in linededup.delete_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r["n_removed"] for i, r in got.items()} == deleted_units(rows)
+    assert all(got[9 * i]["n_removed"] == 0 and got[9 * i + 1]["text"] == f"own {i} 1\n" and got[9 * i + 2]["text"] == f"own {i} 2\nend {i} 2\n" for i in range(len(parts)))
+    given = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    assert {r["doc_id"]: r["n_removed"] for r in linededup.delete_repeated_lines(docs).collect()} == deleted_units(given)
+
+
 def base_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = Counter(zip(words, words[1:], words[2:], strict=False))
