@@ -281,6 +281,23 @@ def test_nearest_vectors(spark):
     assert hits >= 0.9 * 10 * len(want) and all(len(v) == 10 for v in got.values())
 
 
+@pytest.mark.parametrize("shard_size, n", [(50, None), (None, 2500)])
+def test_recall_of_many_shards_and_of_a_full_one(spark, monkeypatch, shard_size, n):
+    if shard_size:
+        index = ann.index_vectors
+        monkeypatch.setattr(ann, "index_vectors", lambda rows: index(rows, shard_size=shard_size))
+        vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    else:
+        points = np.random.default_rng(1).normal(size=(n, 16))
+        vectors = spark.createDataFrame([(i, [float(a) for a in p]) for i, p in enumerate(points)], "vec_id long, embedding array<float>")
+    rows = [(r["vec_id"], r["embedding"]) for r in vectors.collect()]
+    want = exact_nearest(rows, [r for r in rows if r[0] % 100 == 0], 10)
+    got = {}
+    for r in ann.nearest(vectors, vectors.filter("vec_id % 100 = 0")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert sum(len({i for _, i in want[q]} & got[q]) for q in want) >= 0.9 * 10 * len(want)
+
+
 def test_nearest_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0]), (None, [1.0, 1.0]), (9, [])] + [(200 + i, [5.0, 5.0]) for i in range(30)]
