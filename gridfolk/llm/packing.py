@@ -14,17 +14,19 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import importable, staged
-from .tokens import encoder, public_tokenizer, some_at_a_time
+from .tokens import encoder, public_tokenizer
 
+PIECE_NAMES = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "number"]
 Pattern = tuple[int, tuple[tuple[int, int], ...]]  # sequences, ((length, pieces of it in each), ...)
 
 
@@ -222,33 +224,25 @@ def cut_pieces(docs: DataFrame, path: str, kind: str, end_id: int, capacity: int
     """Every document's pieces: all of ``capacity`` ids but the first, which takes what is over."""
 
     def pieces(batches):
-        enc, end, part, number = encoder(path, kind), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
+        enc, part, number = encoder(path, kind), TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch[text].fillna("").tolist()
-            keys = batch[key].astype("Int64")
-            for a, b in some_at_a_time(texts):
-                at, piece, start, length, crc, ids = [], [], [], [], [], []
-                for k, octets in zip(range(a, b), enc.encode(texts[a:b]), strict=True):
-                    octets += end
-                    n = len(octets) // 4
-                    begin, size = 0, n % capacity or capacity
-                    count = -(-n // capacity)
-                    for p in range(count):
-                        part_of = octets[4 * begin : 4 * (begin + size)]
-                        at.append(k)
-                        piece.append(p)
-                        start.append(begin)
-                        length.append(size)
-                        crc.append(zlib.crc32(part_of))
-                        if with_ids:
-                            ids.append(np.frombuffer(part_of, "<u4").astype(np.int64))
-                        begin, size = begin + size, capacity
-                out = {"doc_id": keys.iloc[at].array, "piece": piece, "start": start, "length": length, "ids_crc32": crc, "part": part, "number": np.arange(number, number + len(at))}
-                number += len(at)
-                yield pd.DataFrame(out | ({"ids": ids} if with_ids else {}))
+            for a, _, ids, n in enc.encode(batch.column(1), end_id):
+                count = -(-n // capacity)
+                row = np.repeat(np.arange(len(n)), count)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                first = (n - 1) % capacity + 1
+                start = np.where(piece == 0, 0, first[row] + (piece - 1) * capacity)
+                length = np.where(piece == 0, first[row], capacity)
+                octets, ends = memoryview(ids.astype("<u4", copy=False)).cast("B"), np.append(0, np.cumsum(length))
+                crc = [zlib.crc32(octets[x:y]) for x, y in pairwise((4 * ends).tolist())]
+                columns = [batch.column(0).take(pa.array(a + row)), *(pa.array(x, t) for x, t in ((piece, pa.int32()), (start, pa.int64()), (length, pa.int64()), (crc, pa.int64()), (np.full(len(row), part), pa.int32()), (np.arange(number, number + len(row)), pa.int64())))]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int64())))
+                number += len(row)
+                yield pa.record_batch(columns, PIECE_NAMES + ["ids"] * with_ids)
 
     kind_ = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, number long" + ", ids array<long>" * with_ids
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInPandas(pieces, kind_)
+    return docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text)).mapInArrow(pieces, kind_)
 
 
 def number_in_length(pieces: DataFrame) -> DataFrame:

@@ -30,12 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has used; :func:`clear_staged` deletes it."""
+    _STAGED.append(f"{shared_dir(spark)}/gridfolk-{uuid.uuid4().hex}")
+    return _STAGED[-1]
+
+
 def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it again with its own schema."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridfolk-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.option("compression", codec).parquet(path)
-    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

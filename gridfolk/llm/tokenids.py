@@ -23,12 +23,13 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import importable, staged
-from .tokens import encoder, public_tokenizer, some_at_a_time
+from .staging import importable, new_path, staged
+from .tokens import encoder, public_tokenizer
 
 #: Ids in a block, unless one document has more.
 BLOCK_IDS = 1 << 19
@@ -36,6 +37,8 @@ BLOCK_IDS = 1 << 19
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
 RAW = "part int, block int, part_start long, doc_ids binary, counts binary, ids binary"
+RAW_NAMES = ["part", "block", "part_start", "doc_ids", "counts", "ids"]
+RANKS = "rank int, id int"
 CODED = "part int, block int, part_start long, doc_ids binary, counts binary, control binary, data binary"
 
 
@@ -66,30 +69,28 @@ def encode_blocks(docs: DataFrame, path: str, kind: str, end_id: int, key: str =
     """Blocks of raw ids in ascending order of the key (nulls are refused), null text as empty."""
 
     def blocks(batches):
-        enc, end = encoder(path, kind), np.array([end_id], "<u4").tobytes()
-        part, block, start = TaskContext.get().partitionId(), 0, 0
-        keys, held, size = [], [], 0
+        enc = encoder(path, kind)
+        part, block, start, size, held = TaskContext.get().partitionId(), 0, 0, 0, []
 
         def row():
-            counts = np.array([len(x) // 4 for x in held], "<u4")
-            return pd.DataFrame([[part, block, start, np.array(keys, "<i8").tobytes(), counts.tobytes(), b"".join(held)]], columns=["part", "block", "part_start", "doc_ids", "counts", "ids"])
+            keys, counts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            octets = [keys.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), ids.astype("<u4").tobytes()]
+            return pa.record_batch([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), *(pa.array([x], pa.binary()) for x in octets)], RAW_NAMES)
 
         for batch in batches:
-            texts = batch[text].fillna("").tolist()
-            for a, b in some_at_a_time(texts):
-                for name, ids in zip(batch[key].iloc[a:b], enc.encode(texts[a:b]), strict=True):
-                    keys.append(name)
-                    held.append(ids + end)
-                    size += len(ids) // 4 + 1
-                    if size >= BLOCK_IDS:
-                        yield row()
-                        block, start, keys, held, size = block + 1, start + size, [], [], 0
-        if keys:
+            names = batch.column(0).to_numpy()
+            for a, b, ids, counts in enc.encode(batch.column(1), end_id):
+                held.append((names[a:b], counts, ids))
+                size += len(ids)
+                if size >= BLOCK_IDS:
+                    yield row()
+                    block, start, size, held = block + 1, start + size, 0, []
+        if held:
             yield row()
 
-    rows = docs.select(F.col(key).cast("long").alias(key), text)
+    rows = docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text))
     rows = rows.withColumn(key, F.when(F.col(key).isNull(), F.raise_error(F.lit("a document without an id can't be ordered")).cast("long")).otherwise(F.col(key)))
-    return rows.repartitionByRange(key).sortWithinPartitions(key, text).mapInPandas(blocks, RAW)
+    return rows.repartitionByRange(key).sortWithinPartitions(key, text).mapInArrow(blocks, RAW)
 
 
 def frequency_ranks(blocks: DataFrame) -> np.ndarray:
@@ -123,29 +124,32 @@ def rank_blocks(blocks: DataFrame, by_rank: np.ndarray) -> DataFrame:
     return blocks.mapInPandas(coded, CODED)
 
 
-def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, kind: str = "words", end_id: int = 1) -> tuple[DataFrame, np.ndarray]:
-    """Encode whole texts, write the format to ``path`` (a new folder in the shared one by default) and open it.
+def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, kind: str = "words", end_id: int = 1) -> str:
+    """Encode whole texts and write the format to ``path`` (a new folder in the shared one by default), which is returned.
 
-    Returns the written table and the ids by rank that its reader needs.
-    Every text is encoded once; raw ids stay in a staged table until the
-    ranks are known. Empty and null texts hold only the end id; repeated rows
-    are documents like any other (equal keys are ordered by text); other
-    columns are ignored; an empty table gives a table without blocks; a null
-    key raises, as it has no place in the order.
+    ``path/blocks`` holds the blocks and ``path/ranks`` the ids by rank, so a
+    reader needs nothing else. Every text is encoded once; raw ids stay in a
+    staged table until the ranks are known. Empty and null texts hold only
+    the end id; repeated rows are documents like any other (equal keys are
+    ordered by text); other columns are ignored; an empty table gives a table
+    without blocks; a null key raises, as it has no place in the order.
     """
-    importable(docs.sparkSession)
-    raw = staged(encode_blocks(docs, tokenizer or public_tokenizer("word_bpe_49k.json"), kind, end_id))
+    spark = docs.sparkSession
+    importable(spark)
+    path = path or new_path(spark)
+    raw = staged(encode_blocks(docs, tokenizer or public_tokenizer("word_bpe_49k.json"), kind, end_id), "lz4")
     by_rank = frequency_ranks(raw)
-    coded = rank_blocks(raw, by_rank)
-    if path is None:
-        return staged(coded, "snappy"), by_rank
-    coded.write.parquet(path)
-    return docs.sparkSession.read.schema(CODED).parquet(path), by_rank
+    spark.createDataFrame(list(enumerate(by_rank.tolist())), RANKS).coalesce(1).write.parquet(f"{path}/ranks")
+    rank_blocks(raw, by_rank).write.option("compression", "snappy").parquet(f"{path}/blocks")
+    return path
 
 
-def read_token_files(files: DataFrame, by_rank: np.ndarray, with_ids: bool = False) -> DataFrame:
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids_crc32 and, if asked for, the ids themselves."""
-    spark = files.sparkSession
+    importable(spark)
+    files = spark.read.schema(CODED).parquet(f"{path}/blocks")
+    # As many rows as the vocabulary has at most.
+    by_rank = np.array([x["id"] for x in spark.read.schema(RANKS).parquet(f"{path}/ranks").orderBy("rank").collect()], np.uint32)
     # One row for each part, which is a shuffle partition of the writer.
     sizes = files.select("part", "part_start", "counts").mapInPandas(_block_totals, "part int, n long")
     ends = sizes.groupBy("part").agg(F.max("n").alias("n"))
@@ -160,7 +164,7 @@ def read_token_files(files: DataFrame, by_rank: np.ndarray, with_ids: bool = Fal
                 counts = np.frombuffer(row.counts, "<u4").astype(np.int64)
                 ids = by_rank[unpack_ranks(row.control, row.data, int(counts.sum()))].astype("<u4")
                 ends = np.cumsum(counts)
-                octets = ids.tobytes()
+                octets = memoryview(ids).cast("B")
                 out = {
                     "doc_id": np.frombuffer(row.doc_ids, "<i8"), "start": row.part_begin + row.part_start + ends - counts, "n_tokens": counts,
                     "ids_crc32": [zlib.crc32(octets[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)],
@@ -182,4 +186,4 @@ def _block_totals(batches):
 
 def token_files(docs: DataFrame, tokenizer: str | None = None, kind: str = "words", end_id: int = 1) -> DataFrame:
     """Write the files and read them back, one row for each document."""
-    return read_token_files(*write_token_files(docs, None, tokenizer, kind, end_id))
+    return read_token_files(docs.sparkSession, write_token_files(docs, None, tokenizer, kind, end_id))

@@ -8,6 +8,7 @@ from collections import Counter
 from importlib.resources import files
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF, rows_of
 from hypothesis import given, settings
@@ -307,11 +308,30 @@ def test_nearest_of_odd_vectors(spark):
     assert ann.nearest(v.limit(0), v.limit(0)).count() == 0
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.text(st.sampled_from("ab É.,'\n\t 1ßİΣ*ñ ́"), max_size=30), st.sampled_from([("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")]))
-def test_pieces_have_the_ids_of_the_whole_text(text, which):
+ENCODERS = [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")]
+BITS = ["a", "B", "the", "Über", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", ".", ",", "'", "'s", "ß", "İ", "Σ", "ñ", "\u0301", "\u00a0", "\u3000", "\u2028", "\x85", "\x1c", "\0", "“", "日本", "12", "3.14", "<|endoftext|>", "<x", "(y)", "a-longer-word-than-sixteen-bytes"]
+
+
+def encoded(enc, texts, end):
+    return [x.tolist() for _, _, ids, counts in enc.encode(pa.array(texts, pa.string()), end) for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(BITS), max_size=14).map("".join), min_size=1, max_size=5), st.sampled_from(ENCODERS))
+def test_pieces_have_the_ids_of_the_whole_text(texts, which):
     enc = tokens.encoder(tokens.public_tokenizer(which[0]), which[1])
-    assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoded(enc, texts, 7) == [[*enc.tokenizer.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+
+
+@pytest.mark.parametrize("which", ENCODERS)
+def test_ids_of_whole_documents(docs, monkeypatch, which):
+    texts = [r["text"] or "" for r in docs.collect()] + [LONG + "end", "", " "]
+    enc = tokens.PieceEncoder(tokens.public_tokenizer(which[0]), which[1])
+    want = [[*x.ids, 1] for x in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoded(enc, texts, 1) == want
+    monkeypatch.setattr(tokens, "SLICE", 5000)  # long texts in parts
+    monkeypatch.setattr(tokens, "REMEMBERED", 3000)  # and a table that is begun anew
+    assert encoded(enc, texts, 1) == want
 
 
 @settings(max_examples=80, deadline=None)
@@ -325,15 +345,15 @@ def ids_of(text, name, end):
     return [*tokens.encoder(tokens.public_tokenizer(name), "words").tokenizer.encode(text or "", add_special_tokens=False).ids, end]
 
 
-def test_token_files(odd, docs):
+def test_token_files(spark, odd, docs):
     for table in (docs, odd.filter("doc_id is not null")):
         rows = sorted((r["doc_id"], r["text"] or "") for r in table.collect())
         ids = [ids_of(t, "word_bpe_49k.json", 1) for _, t in rows]
         starts = np.cumsum([0] + [len(x) for x in ids])
         want = [(d, int(s), len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for (d, _), s, x in zip(rows, starts, ids, strict=False)]
         assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in tokenids.token_files(table).collect()) == want
-    files, ranks = tokenids.write_token_files(docs)
-    got = {r["doc_id"]: r["ids"] for r in tokenids.read_token_files(files, ranks, with_ids=True).collect()}
+    path = tokenids.write_token_files(docs)
+    got = {r["doc_id"]: r["ids"] for r in tokenids.read_token_files(spark.newSession(), path, with_ids=True).collect()}
     assert got == {r["doc_id"]: ids_of(r["text"], "word_bpe_49k.json", 1) for r in docs.collect()}
     with pytest.raises(Exception, match="without an id"):
         tokenids.token_files(odd).count()
