@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from .licenses import COPYRIGHT_LINE, LICENCES, SPELLINGS
 from .linededup import LEAST, LONG
-from .quality import CLASS_DISTANCE, CLASS_WORDS, CLASSES, COMMON, COMMON_LETTERS, WORD_DISTANCE, WORD_WORDS
+from .quality import CLASS_DISTANCE, CLASS_WORDS, CLASSES, COMMON, WORD_DISTANCE, WORD_WORDS
 from .urlrules import GLOBS, LOWER, RULES, UPPER
 
 
@@ -96,7 +96,7 @@ select c.doc_id, case when coalesce(l.n_removed, 0) = 0 then c.text else coalesc
 from cut c left join left_ l on l.doc_id = c.doc_id
 """
 
-_CLASS_COUNTS = ", ".join(f"(length(t) - length(regexp_replace(t, {quoted(c)}, '', 'g')))::double" for c in CLASSES)
+_CLASS_COUNTS = ", ".join(f"(length(t) - length(translate(t, {quoted(c)}, '')))::double" for c in CLASSES)
 OP6 = (
     "with "
     + WORDS.format(text="coalesce(text, '')")
@@ -112,11 +112,13 @@ base as (
     (len(l.l) - len(list_distinct(l.l)))::bigint as n_dup_lines, coalesce(c.n, 0) as n_repeat_words
   from d left join sums s on s.doc_id = d.doc_id left join covered c on c.doc_id = d.doc_id join lines l on l.doc_id = d.doc_id),
 judged as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from base),
-short as (select lang, unnest(regexp_split_to_array(t, '[^a-z]+')) as w from d),
-common as (select lang, w from (select lang, w, row_number() over (partition by lang order by count(*) desc, w) as r from short where length(w) between 1 and {COMMON_LETTERS} group by lang, w) where r <= {COMMON}),
+letters as (select doc_id, lang, unnest(regexp_split_to_array(lower(t), '[^\\p{{L}}]+')) as w from d),
+common as (select lang, w from (select lang, w, row_number() over (partition by lang order by count(*) desc, w) as r from letters where w <> '' group by lang, w) where r <= {COMMON}),
 class as (select doc_id, lang, base_failed, unnest(x) as x, generate_subscripts(x, 1)::varchar as k from (select doc_id, lang, base_failed, list_append(x, greatest(0, length(t) - list_sum(x))) as x from (select *, [{_CLASS_COUNTS}] as x from judged))),
-hits as (select j.doc_id, c.w as k, count(w.w)::double as x from judged j join common c on c.lang is not distinct from j.lang left join words w on w.doc_id = j.doc_id and w.w = c.w group by all),
-rest as (select j.doc_id, '' as k, greatest(0, j.n_words - coalesce(sum(h.x), 0))::double as x from judged j left join hits h on h.doc_id = j.doc_id group by j.doc_id, j.n_words),
+found as (select l.doc_id, l.w, count(*)::double as x from letters l join common c on c.lang is not distinct from l.lang and c.w = l.w group by all),
+hits as (select j.doc_id, c.w as k, coalesce(f.x, 0) as x from judged j join common c on c.lang is not distinct from j.lang left join found f on f.doc_id = j.doc_id and f.w = c.w),
+in_all as (select doc_id, count(*) as n from letters where w <> '' group by doc_id),
+rest as (select j.doc_id, '' as k, (coalesce(a.n, 0) - coalesce(f.x, 0))::double as x from judged j left join in_all a on a.doc_id = j.doc_id left join (select doc_id, sum(x) as x from found group by doc_id) f on f.doc_id = j.doc_id),
 word as (select a.doc_id, j.lang, j.base_failed, a.x, a.k from (select * from hits union all by name select * from rest) a join judged j on j.doc_id = a.doc_id),
 hist as (select 'class' as h, * from class union all by name select 'word' as h, * from word),
 ref as (select h, lang, k, sum(x) as x from hist where not base_failed group by all),

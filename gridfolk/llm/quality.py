@@ -2,9 +2,8 @@
 
 For every language two references are summed over all documents that pass
 the base rules: how often each class of characters occurs, and how often each
-of the language's most common words does. Words are whole, of any script and
-length, without the punctuation around them and in lower case; only for the
-fixed SQL of ``op6_quality_rules`` they are short pieces of ASCII letters. A document is judged by the
+of the language's most common words does, against all its words. Such words
+are runs of letters of any script, in lower case. A document is judged by the
 Jensen-Shannon distance (square root of the divergence to base 2, 0 to 1)
 between its own histograms and the references.
 
@@ -13,66 +12,62 @@ DataFrame functions only; texts are never shuffled.
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linededup import WHITE, let
 from .staging import staged
 
-#: Classes of characters; what fits none is the last class.
-CLASSES = ("[a-z]+", "[A-Z]+", "[0-9]+", "[ \\t\\n\\x0B\\f\\r]+", "[.,;:!?'\"()-]+", "[#*$%&|<>]+")
-#: Common words kept for each language, and the most letters such a word has if words are pieces.
-COMMON, COMMON_LETTERS = 20, 5
+#: Classes of characters, each counted in what the classes before it left; what is in none is the last class.
+CLASSES = ("abcdefghijklmnopqrstuvwxyz", WHITE, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:!?'\"()-", "#*$%&|<>")
+WHITE_CLASS, SYMBOLS_CLASS = 1, 5
+#: Common words kept for each language.
+COMMON = 20
 #: By default a document farther than this from its reference is rejected, if it has so many words.
 CLASS_DISTANCE, CLASS_WORDS = 0.30, 50
 WORD_DISTANCE, WORD_WORDS = 0.27, 100
-SYMBOLS = "#*$%&|<>"
-#: What is trimmed off both ends of a whole word.
-EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»‹›„“”‚‘’…–—·、。，！？；：（）「」『』【】《》"
+NO_LETTERS = "[^\\p{L}]+"
+#: Bits of a packed long that hold the place of a window in its text.
+PLACE_BITS = 24
 
 
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+``; none for null or blank text."""
-    return let(F.btrim(text, F.lit(WHITE)), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "[ \\t\\n\\x0B\\f\\r]+")))
-
-
-def folded_words(words: Column) -> Column:
-    """Words without the punctuation around them, in lower case; what is punctuation only becomes empty."""
-    return F.transform(words, lambda w: F.lower(F.btrim(w, F.lit(EDGES))))
+    plain = F.coalesce(text, F.lit(""))
+    for white in WHITE[1:]:
+        plain = F.replace(plain, F.lit(white), F.lit(" "))
+    return F.array_remove(F.split(plain, " ", -1), "")
 
 
-def repeated_words(words: Column) -> Column:
-    """Words in windows of three that are found twice or more; each word counts once."""
+def repeated_words(words: Column, grams: Column) -> Column:
+    """Words in windows of three that are found twice or more; each word counts once. ``grams``: a hash of each window."""
 
     def covered(at: Column) -> Column:
         steps = F.transform(at, lambda p, j: F.when(j == F.size(at) - 1, 3).otherwise(F.least(F.lit(3), F.get(at, j + 1) - p)))
         return F.aggregate(steps, F.lit(0), lambda a, s: a + s)
 
-    def twice(windows: Column) -> Column:
-        def places(s: Column) -> Column:
-            same = F.filter(s, lambda x, j: (F.get(s, j - 1)["g"] == x["g"]) | (F.get(s, j + 1)["g"] == x["g"]))
-            return F.array_sort(F.transform(same, lambda x: x["i"]))
-
-        placed = F.array_sort(F.transform(windows, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-        return let(let(placed, places), covered)
-
-    windows = let(words, lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
-    found = let(windows, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), 0).otherwise(twice(g)))
-    return F.when(F.size(words) >= 4, found).otherwise(0)
+    def places(s: Column) -> Column:
+        same = F.filter(s, lambda x, j: (F.get(s, j - 1)["g"] == x["g"]) | (F.get(s, j + 1)["g"] == x["g"]))
+        return F.array_sort(F.transform(same, lambda x: x["i"]))
 
+    def maybe(s: Column) -> Column:
+        """Places of windows whose leading bits another window has, too, found by sorting longs of these bits and the place."""
+        near = lambda x, y: F.coalesce(F.shiftrightunsigned(x.bitwiseXOR(y), PLACE_BITS) == 0, F.lit(False))
+        same = F.filter(s, lambda x, j: near(F.get(s, j - 1), x) | near(F.get(s, j + 1), x))
+        return F.transform(same, lambda x: x.bitwiseAND((1 << PLACE_BITS) - 1).cast("int"))
 
-def removed(text: Column, pattern: str) -> Column:
-    """How many characters the pattern's matches have."""
-    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+    packed = F.transform(grams, lambda g, i: F.shiftleft(F.shiftrightunsigned(g, PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("long")))
+    few = let(F.sort_array(packed), maybe)
+    candidates = F.when(F.size(grams) < 1 << PLACE_BITS, few).otherwise(F.sequence(F.lit(0), F.size(grams) - 1))
+    placed = F.sort_array(F.transform(candidates, lambda i: F.struct(F.get(grams, i).alias("g"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(grams)) == F.size(grams), 0).otherwise(let(let(placed, places), covered))
 
 
-def common_words(docs: DataFrame, text: str, lang: str, pieces: bool = False) -> DataFrame:
-    """``_lang`` and ``_common``, the most frequent words (or short pieces of words) of all texts of each language (ties by word)."""
-    if pieces:
-        words = F.filter(F.split(F.col(text), "[^a-z]+"), lambda w: F.length(w).between(1, COMMON_LETTERS))
-    else:
-        words = F.filter(folded_words(words_of(F.col(text))), lambda w: w != "")
-    word = docs.select(F.col(lang).alias("_lang"), F.explode(words).alias("_word"))
+def common_words(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """``_lang`` and ``_common``, the most frequent words of all texts of each language (ties by word)."""
+    word = docs.select(F.col(lang).alias("_lang"), F.explode(F.split(F.lower(text), NO_LETTERS)).alias("_word")).filter("_word != ''")
     counts = word.groupBy("_lang", "_word").count()
     ranked = counts.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("count"), "_word"))).filter(F.col("_rank") <= COMMON)
     return ranked.groupBy("_lang").agg(F.array_sort(F.collect_list("_word")).alias("_common"))
@@ -93,27 +88,40 @@ def distance(own: Column, reference: Column) -> Column:
     return F.when(filled(own) & filled(reference), F.sqrt(F.greatest(F.lit(0.0), divergence)))
 
 
-def measured(docs: DataFrame, key: str, text: str, lang: str, pieces: bool = False) -> DataFrame:
-    """The base counts and both histograms of every row; no text any more."""
-    common = F.broadcast(common_words(docs, text, lang, pieces))  # a short row for each language; a language is a code, not a text
+def measured(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
+    """The base counts and both histograms of every row; no text any more.
+
+    Each step is a column that is used more than once, so that it is computed
+    once and compiled.
+    """
+    common = F.broadcast(common_words(docs, text, lang))  # a short row for each language; a language is a code, not a text
     rows = docs.select(F.col(key).alias("_key"), F.col(lang).alias("_row_lang"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    rows = rows.join(common, F.col("_row_lang").eqNullSafe(F.col("_lang")), "left").withColumn("_words", words_of(F.col("_t")))
-    lines = F.filter(F.split("_t", "\n", -1), lambda x: F.btrim(x, F.lit(WHITE)) != "")
-    classes = [removed(F.col("_t"), c).cast("double") for c in CLASSES]
-    apart = F.concat(F.lit(" "), F.array_join(F.col("_words") if pieces else folded_words(F.col("_words")), "  "), F.lit(" "))
-    hits = let(apart, lambda t: F.transform("_common", lambda w: (F.length(t) - F.length(F.replace(t, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2.0)))
+    rows = rows.join(common, F.col("_row_lang").eqNullSafe(F.col("_lang")), "left").drop("_lang").withColumnRenamed("_row_lang", "_lang")
+    rows = rows.withColumns({"_chars": F.length("_t"), "_left0": F.regexp_replace("_t", f"[{CLASSES[0]}]+", "")})
+    for k, letters in enumerate(CLASSES[1:], 1):  # what is left is short from the first class on
+        rows = rows.withColumn(f"_left{k}", F.translate(f"_left{k - 1}", letters, ""))
+    upto = [F.col("_chars"), *(F.length(f"_left{k}") for k in range(len(CLASSES)))]
+    classes = [*(a - b for a, b in pairwise(upto)), upto[-1]]
+    lines = F.filter(F.split("_t", "\n", -1), lambda x: F.ltrim(x, F.lit(WHITE)) != "")
+    spaced = F.btrim(F.regexp_replace(F.lower("_t"), NO_LETTERS, " "))
+    rows = rows.select(
+        "_key", "_lang", "_common", F.array(*(c.cast("double") for c in classes)).alias("_classes"), words_of(F.col("_t")).alias("_words"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), spaced.alias("_letters"),
+    )
+    window = lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))
+    grams = F.when(F.size("_words") >= 4, F.transform(F.sequence(F.lit(0), F.size("_words") - 3), window)).otherwise(F.array().cast("array<bigint>"))
+    apart = F.concat(F.lit(" "), F.replace("_letters", F.lit(" "), F.lit("  ")), F.lit(" "))
+    rows = rows.withColumns({"_grams": grams, "_apart": apart, "_n_letters": F.when(F.col("_letters") == "", 0).otherwise(F.octet_length(apart) - F.octet_length("_letters") - 1)})
+    hits = F.transform("_common", lambda w: (F.octet_length("_apart") - F.octet_length(F.replace("_apart", F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2.0))
+    rows = rows.withColumn("_hits", F.coalesce(hits, F.array().cast("array<double>")))
+    rest = F.col("_n_letters") - F.aggregate("_hits", F.lit(0.0), lambda a, x: a + x)
+    word_chars = F.aggregate("_classes", F.lit(0.0), lambda a, x: a + x) - F.get("_classes", F.lit(WHITE_CLASS))
     rows = rows.select(
-        "_key", F.col("_row_lang").alias("_lang"), F.size("_words").cast("long").alias("n_words"),
-        F.aggregate("_words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_words")).cast("long").alias("n_repeat_words"),
-        F.array(*classes).alias("_classes"), F.length("_t").cast("double").alias("_chars"), F.coalesce(hits, F.array().cast("array<double>")).alias("_hits"),
+        "_key", "_lang", F.size("_words").cast("long").alias("n_words"), word_chars.cast("long").alias("word_chars"),
+        F.get("_classes", F.lit(SYMBOLS_CLASS)).cast("long").alias("n_symbols"), "n_dup_lines",
+        repeated_words(F.col("_words"), F.col("_grams")).cast("long").alias("n_repeat_words"), "_classes", F.concat("_hits", F.array(rest)).alias("_hits"),
     )
-    rest = lambda listed, whole: F.concat(listed, F.array(F.greatest(F.lit(0.0), whole - F.aggregate(listed, F.lit(0.0), lambda a, x: a + x))))
-    rows = rows.withColumn("_classes", rest(F.col("_classes"), F.col("_chars"))).withColumn("_hits", rest(F.col("_hits"), F.col("n_words").cast("double")))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.drop("_chars").withColumn("base_failed", failed)
+    return rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
 def references(rows: DataFrame) -> DataFrame:
@@ -128,7 +136,7 @@ def references(rows: DataFrame) -> DataFrame:
     return a.join(b, F.col("_lang").eqNullSafe(F.col("_other"))).drop("_other").withColumnRenamed("_lang", "_reference_lang")
 
 
-def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", class_limit=(CLASS_DISTANCE, CLASS_WORDS), word_limit=(WORD_DISTANCE, WORD_WORDS), pieces: bool = False) -> DataFrame:
+def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", class_limit=(CLASS_DISTANCE, CLASS_WORDS), word_limit=(WORD_DISTANCE, WORD_WORDS)) -> DataFrame:
     """One row for each document: the key, counts, base_failed, class_distance, word_distance and kept.
 
     Null text counts as empty and fails the base rules. A distance is null,
@@ -136,9 +144,8 @@ def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     document that passes the base rules; each has its own minimum number of
     words. A null language is a language of its own. Repeated rows are judged
     alike; other columns are ignored; an empty table gives an empty table.
-    ``pieces`` ranks and counts pieces of words in place of whole ones.
     """
-    rows = staged(measured(docs, key, text, lang, pieces))
+    rows = staged(measured(docs, key, text, lang))
     found = rows.join(F.broadcast(references(rows)), F.col("_lang").eqNullSafe(F.col("_reference_lang")), "left")  # two short rows for each language
     found = found.withColumns({"class_distance": distance(F.col("_classes"), F.col("_class_reference")), "word_distance": distance(F.col("_hits"), F.col("_word_reference"))})
     (class_most, class_words), (word_most, word_words) = class_limit, word_limit

@@ -220,20 +220,31 @@ def test_quality(odd, docs):
     assert quality.judge_quality(odd.limit(0)).count() == 0 and quality.keep_good(docs).columns == docs.columns
 
 
+def letter_words(text):
+    return re.findall(r"[^\W\d_]+", (text or "").lower())
+
+
 def test_common_words_are_whole_words(spark, docs):
-    edges = quality.EDGES
     want = {}
     for r in docs.collect():
-        words = [w.strip(edges).lower() for w in re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")]
-        want.setdefault(r["lang"], Counter()).update(w for w in words if w)
+        want.setdefault(r["lang"], Counter()).update(letter_words(r["text"]))
     got = {r["_lang"]: r["_common"] for r in quality.common_words(docs, "text", "lang").collect()}
     assert got == {k: sorted(sorted(c, key=lambda w: (-c[w], w))[: quality.COMMON]) for k, c in want.items()}
-    rows = [(1, "La Nación, «también» la NACIÓN; été. - Ελλάδα", "es"), (2, "nación", "es")]
+    assert "que" in got["es"] and "und" in got["de"] and "les" in got["fr"] and "the" in got["en"]
+    rows = [(1, "La Nación, «también» la NACIÓN; été. - Ελλάδα", "es"), (2, "nación", "es"), (3, None, "es"), (4, "12 - 3", "es")]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     common = ["ελλάδα", "la", "nación", "también", "été"]
     assert quality.common_words(table, "text", "lang").first()["_common"] == sorted(common)
     hits = {r["_key"]: r["_hits"] for r in quality.measured(table, "doc_id", "text", "lang").collect()}
-    assert hits == {1: [2.0, 2.0, 1.0, 1.0, 1.0, 1.0], 2: [0.0, 1.0, 0.0, 0.0, 0.0, 0.0]}  # the last is what is no common word
+    assert hits == {1: [2.0, 2.0, 1.0, 1.0, 1.0, 0.0], 2: [0.0, 1.0, 0.0, 0.0, 0.0, 0.0], 3: [0.0] * 6, 4: [0.0] * 6}  # the last is what is no common word
+
+
+def test_counts_of_random_texts(spark):
+    rng = np.random.default_rng(2)
+    bits = ["a", "b", "cé", "É", "12", "#", "* ", " ", "\n", "\n\n", "\t", ".", "the end ", "\u00a0", "a b c a b c "]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 80))) for _ in range(300)] + ["x " * 300, "p q r " * 2, "a b a b a b a"]
+    got = {r["doc_id"]: r for r in quality.judge_quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))).collect()}
+    assert all(base_counts(t) == tuple(got[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) for i, t in enumerate(texts))
 
 
 def test_licences(spark):
