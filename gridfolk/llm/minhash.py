@@ -28,8 +28,8 @@ from .tokens import some_at_a_time
 BANDS, ROWS = 48, 6
 #: Groups of at most so many members are compared pair by pair; larger ones block by block, in memory.
 FEW = 24
-#: Shingles in a block of the smaller side and in a chunk of the whole group.
-BLOCK, CHUNK = 500_000, 4_000_000
+#: Shingles in a block of the smaller side and in a chunk of the whole group, and members of each, whichever is reached first.
+BLOCK, CHUNK, BLOCK_ROWS, CHUNK_ROWS = 500_000, 4_000_000, 256, 512
 MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 LOW_48 = np.uint64((1 << 48) - 1)
 
@@ -153,7 +153,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def links_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that connect components within large groups (pivot, id, part, main, whole, main_s).
+    """Links that connect components within large groups (pivot, id, part, main, members, main_c, whole, main_s).
 
     Members outside the main component, dealt to blocks, meet all members,
     dealt to chunks; a task holds one block and one chunk of bounded size. It
@@ -188,7 +188,9 @@ def links_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
                     out.append((name, ids[j]))
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    blocks, chunks = F.ceil((F.col("whole") - F.col("main_s")) / BLOCK).cast("int"), F.ceil(F.col("whole") / CHUNK).cast("int")
+    at_most = lambda rows, most, shingles, room: F.ceil(F.greatest(F.col(rows) / most, F.col(shingles) / room)).cast("int")
+    members = members.withColumns({"others": F.col("members") - F.col("main_c"), "others_s": F.col("whole") - F.col("main_s")})
+    blocks, chunks = at_most("others", BLOCK_ROWS, "others_s", BLOCK), at_most("members", CHUNK_ROWS, "whole", CHUNK)
     dealt = members.join(sets, "id").withColumns({"blocks": blocks, "chunks": chunks})
     deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -261,7 +263,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     grouped = buckets.select("pivot", "id", "n").distinct().join(parts, F.col("id") == F.col("node"), "left").select("pivot", "id", "n", F.coalesce("component", "id").alias("part"))
     grouped = staged(grouped)
     counts = grouped.groupBy("pivot", "part").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    facts = counts.groupBy("pivot").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.max_by("s", F.struct("c", "part")).alias("main_s"), F.count("*").alias("parts"), F.sum("c").alias("members"), F.sum("s").alias("whole"))
+    facts = counts.groupBy("pivot").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.max_by("s", F.struct("c", "part")).alias("main_s"), F.max("c").alias("main_c"), F.count("*").alias("parts"), F.sum("c").alias("members"), F.sum("s").alias("whole"))
     undecided = staged(grouped.join(staged(facts.filter("parts > 1")), "pivot"))
 
     few = undecided.filter(F.col("members") <= FEW)
@@ -280,6 +282,6 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with the smallest id of their component, one row for each id, and all rows without an id."""
+    """The documents with the smallest id of their component, one row for each id and text, and all rows without an id."""
     kept = near_duplicates(docs, shingle_words, percent).filter("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    return docs.join(kept, "doc_id", "left_semi").withColumn("_kept_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_kept_text"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
