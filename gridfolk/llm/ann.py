@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .staging import importable, staged
 
 #: Nodes that a shard has about; edges of a node; beam while building and while searching; slack of the pruning.
-SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA = 2500, 28, 56, 64, 1.2
-#: Queries that a search task takes at a time.
-QUERY_BLOCK = 512
+SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA = 10_000, 28, 56, 128, 1.2
+#: Queries that a shard is sent to at a time, and queries that move together.
+QUERY_BLOCK, TOGETHER = 4096, 512
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -53,7 +53,7 @@ def beam_search(points: np.ndarray, edges: np.ndarray, entry: int, queries: np.n
         fresh &= ~visited[active[:, None], near]
         rows, cols = np.nonzero(fresh)
         visited[active[rows], near[rows, cols]] = True
-        gap = np.full(near.shape, np.inf, np.float32)
+        gap = np.full(near.shape, np.inf, points.dtype)
         gap[rows, cols] = ((queries[active[rows]] - points[near[rows, cols]]) ** 2).sum(1)
         nodes[active, beam:] = np.where(fresh, near, -1)
         far[active, beam:] = gap
@@ -115,46 +115,83 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM
             edges[part] = robust_prune(points, part, np.hstack([edges[part], new[some : some + 512]]), degree, alpha)
         at += len(batch)
         size *= 2
-    return edges, entry
+    return with_every_node(points, edges, entry, beam), entry
+
+
+def reachable(edges: np.ndarray, entry: int) -> np.ndarray:
+    """Which nodes a walk from the entry can come to."""
+    seen = np.zeros(len(edges), bool)
+    seen[[entry] if len(edges) else []] = True
+    front = np.flatnonzero(seen)
+    while len(front):
+        near = np.unique(edges[front])
+        front = near[(near >= 0) & ~seen[near]]
+        seen[front] = True
+    return seen
+
+
+def with_every_node(points: np.ndarray, edges: np.ndarray, entry: int, beam: int) -> np.ndarray:
+    """The edges, and an edge to each node that was out of reach, from the nearest node that a search finds."""
+    lost = np.flatnonzero(~reachable(edges, entry))
+    for begin in range(0, len(lost), 512):
+        part = lost[begin : begin + 512]
+        hosts = beam_search(points, edges, entry, points[part], beam)[0][:, 0]
+        more = np.full((len(edges), np.unique(hosts, return_counts=True)[1].max()), -1)
+        by = np.argsort(hosts, kind="stable")
+        at = np.arange(len(part)) - np.searchsorted(hosts[by], hosts[by])
+        more[hosts[by], at] = part[by]
+        edges = np.hstack([edges, more])
+    return edges
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """``_id``, ``_v`` (array of float) and ``_dim`` of vectors with a key that are not null, empty or zero and hold only finite numbers."""
-    rows = vectors.select(F.col(key).cast("long").alias("_id"), F.col(vector).cast("array<float>").alias("_v")).withColumn("_dim", F.size("_v"))
+    """``_id``, ``_v`` (array of float, or of double if it is anything else) and ``_dim`` of vectors with a key that are not null, empty or zero and hold only finite numbers."""
+    kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(key).cast("long").alias("_id"), F.col(vector).cast(kind).alias("_v")).withColumn("_dim", F.size("_v"))
     finite = F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return rows.filter(F.col("_id").isNotNull() & F.col("_v").isNotNull() & (F.col("_dim") > 0) & finite & F.exists("_v", lambda x: x != 0))
 
 
+def number_type(rows: DataFrame) -> str:
+    return "<f4" if rows.schema["_v"].dataType.simpleString() == "array<float>" else "<f8"
+
+
 def index_vectors(rows: DataFrame, shard_size: int = SHARD) -> DataFrame:
     """The staged index: a row for each shard with ``_dim``, its vectors, node keys, edges and entry."""
     nodes = rows.groupBy("_dim", "_v").agg(F.min("_id").alias("_node"))
     sizes = {x["_dim"]: x["count"] for x in nodes.groupBy("_dim").count().collect()}  # a row for each dimension
-    shards = F.coalesce(F.create_map(*(F.lit(x) for d, n in sizes.items() for x in (d, max(1, round(n / shard_size)))))[F.col("_dim")], F.lit(1)) if sizes else F.lit(1)
+    counts = {d: max(1, round(n / shard_size)) for d, n in sizes.items()}
+    shards = F.coalesce(F.create_map(*(F.lit(x) for pair in counts.items() for x in pair))[F.col("_dim")], F.lit(1)) if counts else F.lit(1)
+    kind = number_type(rows)
 
     def built(key, group):
         group = group.sort_values("_node")
-        points = np.stack(group["_v"].to_numpy()).astype(np.float32)
+        points = np.stack(group["_v"].to_numpy()).astype(kind)
         edges, entry = build_graph(points)
         return pd.DataFrame([[key[0], key[1], points.tobytes(), group["_node"].to_numpy("<i8").tobytes(), edges.astype("<i4").tobytes(), entry]], columns=["_dim", "_shard", "_points", "_nodes", "_edges", "_entry"])
 
     dealt = nodes.withColumn("_shard", F.pmod(F.xxhash64("_node"), shards).cast("int"))
+    # Building takes far longer than moving: more tasks than shards, so that few shards share one.
+    dealt = dealt.repartition(min(4 * sum(counts.values()) + 1, 20_000), "_dim", "_shard")
     return staged(dealt.groupBy("_dim", "_shard").applyInPandas(built, "_dim int, _shard int, _points binary, _nodes binary, _edges binary, _entry int"), "none")
 
 
 def search(index: DataFrame, queries: DataFrame, found: int, beam: int = BEAM) -> DataFrame:
     """``_query``, ``_node`` and ``_far`` (distance in double precision): the best ``found`` nodes of each shard for each query (_id, _dim, _v)."""
 
+    kind = number_type(queries)
+
     def searched(_, shard, asked):
         if not len(shard) or not len(asked):
             return pd.DataFrame({"_query": [], "_node": [], "_far": []})
         row = shard.iloc[0]
         nodes = np.frombuffer(row["_nodes"], "<i8")
-        points = np.frombuffer(row["_points"], np.float32).reshape(len(nodes), -1)
+        points = np.frombuffer(row["_points"], kind).reshape(len(nodes), -1)
         edges = np.frombuffer(row["_edges"], "<i4").reshape(len(nodes), -1).astype(np.int64)
-        wanted = np.stack(asked["q_v"].to_numpy()).astype(np.float32)
-        at, _ = beam_search(points, edges, int(row["_entry"]), wanted, beam)
+        wanted = np.stack(asked["q_v"].to_numpy()).astype(kind)
+        at = np.concatenate([beam_search(points, edges, int(row["_entry"]), wanted[k : k + TOGETHER], beam)[0] for k in range(0, len(wanted), TOGETHER)])
         real = at >= 0
-        far = np.sqrt(((wanted[:, None, :].astype(np.float64) - points[np.where(real, at, 0)]) ** 2).sum(-1))
+        far = np.sqrt(((wanted[:, None, :].astype(np.float64) - points[np.where(real, at, 0)].astype(np.float64)) ** 2).sum(-1))
         far[~real] = np.inf
         order = np.lexsort((nodes[at], far), axis=1)[:, :found]
         at, far = np.take_along_axis(at, order, 1), np.take_along_axis(far, order, 1)
@@ -165,7 +202,7 @@ def search(index: DataFrame, queries: DataFrame, found: int, beam: int = BEAM) -
     shards = index.select("_dim", F.col("_shard").alias("q_shard"))
     asked = queries.select(F.col("_id").alias("q_id"), F.col("_v").alias("q_v"), "_dim").withColumn("q_block", F.pmod(F.xxhash64("q_id"), F.lit(blocks)).cast("int"))
     # Every shard of a query's dimension is asked: the stated queries meet the index in blocks.
-    asked = asked.join(F.broadcast(shards) if index.count() <= 100_000 else shards, "_dim").select(F.col("_dim").alias("q_dim"), "q_shard", "q_block", "q_id", "q_v")
+    asked = asked.join(shards, "_dim").select(F.col("_dim").alias("q_dim"), "q_shard", "q_block", "q_id", "q_v")
     spread = index.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     return spread.groupBy("_dim", "_shard", "_block").cogroup(asked.groupBy("q_dim", "q_shard", "q_block")).applyInPandas(searched, "_query long, _node long, _far double")
 
@@ -181,6 +218,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
     """
     importable(vectors.sparkSession)
     rows, asked = usable(vectors, key, vector).distinct(), usable(queries, key, vector).distinct()
+    if number_type(rows) != number_type(asked):
+        rows, asked = (x.withColumn("_v", F.col("_v").cast("array<double>")) for x in (rows, asked))
     best = search(index_vectors(rows), asked, k + 1)
     by_query = Window.partitionBy("_query").orderBy("_far", "_node")
     best = best.withColumn("_n", F.row_number().over(by_query)).filter(F.col("_n") <= k + 1).drop("_n")

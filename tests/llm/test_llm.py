@@ -110,6 +110,18 @@ def test_large_groups_are_compared_in_blocks(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == part
 
 
+def test_large_groups_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(minhash, "CHUNK_ROWS", 11)
+    test_large_groups_are_compared_in_blocks(spark)
+
+
+def test_repeated_ids_lose_no_text(spark):
+    rows = [(1, "one two three four"), (1, "other words stand here"), (1, "one two three four"), (2, "one two three four")]
+    kept = minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, "one two three four"), (1, "other words stand here")]
+
+
 def test_sketches_estimate_similarity_and_fill():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 1000).astype(np.uint64)
@@ -293,23 +305,39 @@ def test_nearest_vectors(spark):
     assert hits >= 0.9 * 10 * len(want) and all(len(v) == 10 for v in got.values())
 
 
-@pytest.mark.parametrize("shard_size, n", [(50, None), (None, 2500)])
-def test_recall_of_many_shards_and_of_a_full_one(spark, monkeypatch, shard_size, n):
-    if shard_size:
-        index = ann.index_vectors
-        monkeypatch.setattr(ann, "index_vectors", lambda rows: index(rows, shard_size=shard_size))
+def clustered(n, seed=1):
+    rng = np.random.default_rng(seed)
+    centres = 20 * rng.normal(size=(12, 16))
+    return (centres[rng.integers(0, 12, n)] + rng.normal(size=(n, 16))).astype(np.float32)
+
+
+@pytest.mark.parametrize("shard_size, points", [(125, None), (600, clustered(2500)), (ann.SHARD, np.random.default_rng(1).normal(size=(2500, 16)))])
+def test_recall_of_many_shards_and_of_one(spark, monkeypatch, shard_size, points):
+    index = ann.index_vectors
+    monkeypatch.setattr(ann, "index_vectors", lambda rows: index(rows, shard_size=shard_size))
+    if points is None:
         vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
     else:
-        points = np.random.default_rng(1).normal(size=(n, 16))
-        vectors = spark.createDataFrame([(i, [float(a) for a in p]) for i, p in enumerate(points)], "vec_id long, embedding array<float>")
+        kind = "float" if points.dtype == np.float32 else "double"
+        vectors = spark.createDataFrame([(i, [float(a) for a in p]) for i, p in enumerate(points)], f"vec_id long, embedding array<{kind}>")
     rows = [(r["vec_id"], r["embedding"]) for r in vectors.collect()]
     want = exact_nearest(rows, [r for r in rows if r[0] % 100 == 0], 10)
-    got = {}
+    got, by_id = {}, dict(rows)
     for r in ann.nearest(vectors, vectors.filter("vec_id % 100 = 0")).collect():
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        assert r["score"] == pytest.approx(math.sqrt(((np.array(by_id[r["query_id"]]) - np.array(by_id[r["vec_id"]])) ** 2).sum()), rel=1e-14)
     assert sum(len({i for _, i in want[q]} & got[q]) for q in want) >= 0.9 * 10 * len(want)
 
 
+def test_graph_reaches_every_node():
+    for points in (clustered(1500), clustered(1500, 5) * np.float32(100)):
+        edges, entry = ann.build_graph(points, degree=6, beam=12)
+        assert ann.reachable(edges, entry).all()
+    edges = np.full((5, 2), -1)
+    edges[0, 0] = 1
+    assert ann.reachable(ann.with_every_node(np.arange(5.0)[:, None], edges, 0, 4), 0).all()
+
+
 def test_nearest_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0]), (None, [1.0, 1.0]), (9, [])] + [(200 + i, [5.0, 5.0]) for i in range(30)]
