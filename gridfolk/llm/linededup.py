@@ -28,8 +28,8 @@ from .staging import staged
 UNIT_BREAK = "(?<=\n)|(?<=[.!?] )"
 WHITE = " \t\n\x0b\f\r"
 MARK = "\x01"
-#: Units in a window, grams in a window, words from which a unit is a run by itself, words that a deleted run must have.
-RUN, GRAMS, LONG, LEAST = 4, 3, 50, 25
+#: Units in a window, grams in a window, words that a deleted run and a window of fewer units must have.
+RUN, GRAMS, LEAST = 4, 3, 25
 #: A value that holds more than one in so many rows is joined apart from the others; fewer values than this can.
 HOT = 256
 
@@ -70,16 +70,10 @@ def trimmed_units(text: Column) -> Column:
     return F.when(uneven, F.transform(units_of(text), lambda u: F.btrim(u, F.lit(WHITE)))).otherwise(F.transform(plain, lambda u: F.btrim(u)))
 
 
-def hashed_units(docs: DataFrame, key: str, text: str, by_units: bool = False) -> DataFrame:
-    """``_key``, ``_text`` (a hash, to tell rows of one key apart), ``_h`` (the units' hashes) and ``_w`` (their words) or ``_long`` (places of units of ``LONG`` or more words)."""
+def hashed_units(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``_key``, ``_text`` (a hash, to tell rows of one key apart), ``_h`` (the units' hashes) and ``_w`` (their words)."""
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.xxhash64(text).alias("_text"), trimmed_units(F.col(text)).alias("_units"))
-    large = lambda u: (F.octet_length(u) >= 2 * LONG - 1) & (word_count(u) >= LONG)  # noqa: E731  fewer bytes can't hold so many words
-    places = F.filter(F.transform("_units", lambda u, i: F.when(large(u), i)), lambda i: i.isNotNull())
-    none = F.array().cast("array<int>")
-    hashes = F.transform("_units", lambda u: F.xxhash64(u)).alias("_h")
-    if not by_units:
-        return rows.select("_key", "_text", hashes, F.transform("_units", word_count).alias("_w"))
-    return rows.select("_key", "_text", hashes, F.when(F.exists("_units", large), places).otherwise(none).alias("_long"))
+    return rows.select("_key", "_text", F.transform("_units", lambda u: F.xxhash64(u)).alias("_h"), F.transform("_units", word_count).alias("_w"))
 
 
 def short_windows(units: DataFrame) -> DataFrame:
@@ -95,11 +89,11 @@ def short_windows(units: DataFrame) -> DataFrame:
     rows = rows.select("_key", "_text", "_h", F.inline(F.filter(spans, lambda x: x["_size"].isNotNull())))
     at = lambda k: F.get("_h", F.col("_start") + k)
     one = F.when(F.col("_size") == 1, F.xxhash64(at(0), F.lit("one"))).when(F.col("_size") == 2, F.xxhash64(at(0), at(1), F.lit("two"))).otherwise(F.xxhash64(at(0), at(1), at(2), F.lit("three")))
-    return rows.withColumn("_one", one).select(F.col("_one").alias("print"), "_key", "_text", "_start", "_size", F.array("_one").alias("_windows"))
+    return rows.withColumn("_one", one).select(F.col("_one").alias("print"), "_key", "_text", "_start", "_size", F.lit(None).cast("array<bigint>").alias("_windows"))
 
 
 def fingerprints(units: DataFrame) -> DataFrame:
-    """``print`` and the windows it stands for: the first start and the hashes of ``_size`` units from there on.
+    """``print`` and the windows it stands for: the first start and the hashes of ``_size`` units from there on (null: the print is the hash of the one window).
 
     Every window is a row first, so that its hashes are compiled code and not
     functions called for each element of an array.
@@ -120,10 +114,7 @@ def fingerprints(units: DataFrame) -> DataFrame:
     windows = F.when(chosen(2) == chosen(0), F.array(window(0), window(1), window(2))).when(chosen(1) == chosen(0), F.array(window(0), window(1))).otherwise(F.array(window(0)))
     gram = F.when(chosen(0) == 2, F.col("_g3")).when(chosen(0) == 1, F.col("_g2")).otherwise(F.col("_g1"))
     short = rows.select(gram.alias("print"), "_key", "_text", "_start", F.lit(RUN).alias("_size"), windows.alias("_windows"))
-    if "_w" in units.columns:
-        return short.unionByName(short_windows(units))
-    long = units.withColumn("_start", F.explode("_long")).withColumn("_one", F.xxhash64(at(0), F.lit("one")))
-    return short.unionByName(long.select(F.col("_one").alias("print"), "_key", "_text", "_start", F.lit(1).alias("_size"), F.array("_one").alias("_windows")))
+    return short.unionByName(short_windows(units))
 
 
 def join_hot_apart(left: DataFrame, right: DataFrame, on: str, how: str) -> DataFrame:
@@ -145,7 +136,7 @@ def repeated_runs(units: DataFrame) -> DataFrame:
     """
     prints = staged(fingerprints(staged(units)))  # both are read twice, and far smaller than the texts
     shared = staged(prints.groupBy("print").agg(F.count("*").alias("_n")).filter("_n > 1"))
-    windows = join_hot_apart(prints, shared, "print", "left_semi").select("_key", "_text", "_start", "_size", F.posexplode("_windows").alias("_k", "_window"))
+    windows = join_hot_apart(prints, shared, "print", "left_semi").select("_key", "_text", "_start", "_size", F.posexplode(F.coalesce("_windows", F.array("print"))).alias("_k", "_window"))
     windows = staged(windows.select("_window", "_size", "_key", "_text", (F.col("_start") + F.col("_k")).alias("_start")))
     place = F.struct("_key", "_text", "_start")
     firsts = windows.groupBy("_window").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), F.count("*").alias("_n")).filter("_first != _last")
@@ -158,33 +149,40 @@ def repeated_runs(units: DataFrame) -> DataFrame:
     return runs.groupBy("_key", "_text").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_runs"))
 
 
-def delete_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", by_units: bool = False) -> DataFrame:
+def delete_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows, with the cleaned text, ``n_units``, ``n_removed`` (units) and ``removed`` (runs: first, last, in units of the old text).
 
     A run is deleted if it has at least ``LEAST`` words (counted by spaces)
     and consists of windows that occur earlier: windows of four units, or of
-    fewer that have ``LEAST`` words; with ``by_units``, windows of four or
-    single units of ``LONG`` or more words. Earlier is what has a smaller
-    key, so the first copy always stays; rows of equal key are ordered by a
-    hash of their text, and rows of equal key and text are one document.
-    Null texts stay null with 0 units, empty ones stay empty; null keys come
-    first. Other columns stay; those named like the three are replaced.
+    fewer that have ``LEAST`` words. Windows of a run may have their earlier
+    copies in different documents. Earlier is what has a smaller key, so the
+    first copy always stays; rows of equal key are ordered by a hash of their
+    text, and rows of equal key and text are one document. Null texts stay
+    null with 0 units, empty ones stay empty; null keys come first. Other
+    columns stay; those named like the three are replaced; an empty table
+    gives an empty table.
     """
     docs = docs.drop("n_units", "n_removed", "removed")
-    runs = staged(repeated_runs(hashed_units(docs, key, text, by_units))).hint("merge")  # they grow with the documents
+    runs = staged(repeated_runs(hashed_units(docs, key, text))).hint("merge")  # they grow with the documents
     joined = docs.withColumn("_text_now", F.xxhash64(text)).join(runs, (F.col(key).eqNullSafe(F.col("_key"))) & (F.col("_text_now") == F.col("_text")), "left")
     words = lambda units, r: F.aggregate(F.slice(units, r["first"] + 1, r["last"] - r["first"] + 1), F.lit(0), lambda a, u: a + word_count(F.btrim(u, F.lit(WHITE))))
-    joined = joined.withColumn("_units", units_of(F.coalesce(F.col(text), F.lit(""))))
-    joined = joined.withColumn("removed", F.when(F.col("_runs").isNotNull(), F.filter("_runs", lambda r: words(F.col("_units"), r) >= LEAST)))
-    joined = joined.withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<first:int,last:int>>")))
 
-    def gap(j: Column) -> Column:
-        begin = F.when(j == 0, 0).otherwise(F.get("removed", j - 1)["last"] + 1)
-        end = F.when(j == F.size("removed"), F.size("_units")).otherwise(F.get("removed", j)["first"])
-        return F.slice("_units", begin + 1, end - begin)
+    def without(units: Column, removed: Column) -> Column:
+        def gap(j: Column) -> Column:
+            begin = F.when(j == 0, 0).otherwise(F.get(removed, j - 1)["last"] + 1)
+            end = F.when(j == F.size(removed), F.size(units)).otherwise(F.get(removed, j)["first"])
+            return F.slice(units, begin + 1, end - begin)
 
-    left = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("removed")), gap)), "")
+        n_removed = F.aggregate(removed, F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1)
+        left = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(removed)), gap)), "")
+        return F.struct(left.alias("left"), n_removed.alias("n_removed"), removed.alias("removed"))
+
+    # One value, only for texts with runs, so that a filter on it that is pushed below costs no more than another look at these.
+    cut = let(units_of(F.col(text)), lambda units: let(F.filter("_runs", lambda r: words(units, r) >= LEAST), lambda removed: without(units, removed)))
+    joined = joined.withColumn("_cut", F.when(F.col("_runs").isNotNull(), cut))
     return joined.withColumns({
-        text: F.when(F.size("removed") == 0, F.col(text)).otherwise(left), "n_units": F.size("_units"),
-        "n_removed": F.aggregate("removed", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1),
-    }).drop("_units", "_runs", "_key", "_text", "_text_now")
+        text: F.when(F.coalesce(F.col("_cut.n_removed"), F.lit(0)) == 0, F.col(text)).otherwise(F.col("_cut.left")),
+        "n_units": F.size(units_of(F.coalesce(F.col(text), F.lit("")))),
+        "n_removed": F.coalesce(F.col("_cut.n_removed"), F.lit(0)),
+        "removed": F.coalesce(F.col("_cut.removed"), F.array().cast("array<struct<first:int,last:int>>")),
+    }).drop("_cut", "_runs", "_key", "_text", "_text_now")

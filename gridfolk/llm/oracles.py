@@ -7,7 +7,7 @@ hold them against brute force instead.
 from __future__ import annotations
 
 from .licenses import COPYRIGHT_LINE, LICENCES, SPELLINGS
-from .linededup import LEAST, LONG
+from .linededup import LEAST
 from .quality import CLASS_DISTANCE, CLASS_WORDS, CLASSES, COMMON, WORD_DISTANCE, WORD_WORDS
 from .urlrules import GLOBS, LOWER, RULES, UPPER
 
@@ -84,8 +84,12 @@ with cut as (select doc_id, text, list_filter(string_split(replace(regexp_replac
 units as (select doc_id, unnest(u) as u, generate_subscripts(u, 1) as i from cut),
 t as (select doc_id, i, u, trim(u, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as t from units),
 w as (select *, case when t = '' then 0 else length(t) - length(replace(t, ' ', '')) + 1 end as w from t),
-four as (select doc_id, i, w, t, lead(t, 1) over o as t1, lead(t, 2) over o as t2, lead(t, 3) over o as t3 from w window o as (partition by doc_id order by i)),
-wins as (select doc_id, i, 4 as size, md5(concat_ws(chr(1), t, t1, t2, t3)) as win from four where t3 is not null union all select doc_id, i, 1, 'one' || md5(t) from four where w >= {LONG}),
+four as (select doc_id, i, w, t, lead(t, 1) over o as t1, lead(t, 2) over o as t2, lead(t, 3) over o as t3, lead(w, 1) over o as w1, lead(w, 2) over o as w2 from w window o as (partition by doc_id order by i)),
+wins as (
+  select doc_id, i, 4 as size, md5(concat_ws(chr(1), t, t1, t2, t3)) as win from four where t3 is not null
+  union all select doc_id, i, 3, '3' || md5(concat_ws(chr(1), t, t1, t2)) from four where w + w1 + w2 >= {LEAST}
+  union all select doc_id, i, 2, '2' || md5(concat_ws(chr(1), t, t1)) from four where w + w1 >= {LEAST}
+  union all select doc_id, i, 1, '1' || md5(t) from four where w >= {LEAST}),
 placed as (select *, row_number() over (partition by win order by doc_id, i) as n from wins),
 hit as (select distinct p.doc_id, p.i + k.k as i from placed p join (select unnest(range(0, 4)) as k) k on k.k < p.size where p.n > 1),
 runs as (select doc_id, i, i - row_number() over (partition by doc_id order by i) as run from hit),
