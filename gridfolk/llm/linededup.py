@@ -85,11 +85,14 @@ def short_windows(units: DataFrame) -> DataFrame:
     size = F.when(enough("_w22"), 1).when(enough("_w23"), 2).when(enough("_w24"), 3)
     # Up to this unit, where the same is not the shortest from its own start.
     back = F.when(enough("_w22"), None).when(enough("_w12"), F.when(enough("_w11"), 2)).when(enough("_w02") & enough("_w01"), 3)
-    spans = F.array(F.struct(F.col("_at").alias("_start"), size.alias("_size")), F.struct((F.col("_at") - back + 1).alias("_start"), back.alias("_size")))
-    rows = rows.select("_key", "_text", "_h", F.inline(F.filter(spans, lambda x: x["_size"].isNotNull())))
-    at = lambda k: F.get("_h", F.col("_start") + k)
-    one = F.when(F.col("_size") == 1, F.xxhash64(at(0), F.lit("one"))).when(F.col("_size") == 2, F.xxhash64(at(0), at(1), F.lit("two"))).otherwise(F.xxhash64(at(0), at(1), at(2), F.lit("three")))
-    return rows.withColumn("_one", one).select(F.col("_one").alias("print"), "_key", "_text", "_start", "_size", F.lit(None).cast("array<bigint>").alias("_windows"))
+    at = lambda k: F.get("_h", F.col("_at") + k)
+    named = {1: lambda k: F.xxhash64(at(k), F.lit("one")), 2: lambda k: F.xxhash64(at(k), at(k + 1), F.lit("two")), 3: lambda k: F.xxhash64(at(k), at(k + 1), at(k + 2), F.lit("three"))}
+    ahead = F.when(size == 1, named[1](0)).when(size == 2, named[2](0)).when(size == 3, named[3](0))
+    behind = F.when(back == 2, named[2](-1)).when(back == 3, named[3](-2))
+    # Hashes are made before the rows are doubled, so that no row takes its text's arrays along.
+    both = F.array(F.struct(ahead.alias("print"), F.col("_at").alias("_start"), size.alias("_size")), F.struct(behind.alias("print"), (F.col("_at") - back + 1).alias("_start"), back.alias("_size")))
+    rows = rows.select("_key", "_text", F.inline(both)).filter(F.col("_size").isNotNull())
+    return rows.select("print", "_key", "_text", "_start", "_size", F.lit(None).cast("array<bigint>").alias("_windows"))
 
 
 def fingerprints(units: DataFrame) -> DataFrame:
@@ -134,7 +137,7 @@ def repeated_runs(units: DataFrame) -> DataFrame:
 
     Earlier means a smaller key (null first), or in the same row a smaller place.
     """
-    prints = staged(fingerprints(staged(units)))  # both are read twice, and far smaller than the texts
+    prints = staged(fingerprints(units))  # read twice, and far smaller than the texts
     shared = staged(prints.groupBy("print").agg(F.count("*").alias("_n")).filter("_n > 1"))
     windows = join_hot_apart(prints, shared, "print", "left_semi").select("_key", "_text", "_start", "_size", F.posexplode(F.coalesce("_windows", F.array("print"))).alias("_k", "_window"))
     windows = staged(windows.select("_window", "_size", "_key", "_text", (F.col("_start") + F.col("_k")).alias("_start")))
@@ -163,8 +166,12 @@ def delete_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
     gives an empty table.
     """
     docs = docs.drop("n_units", "n_removed", "removed")
-    runs = staged(repeated_runs(hashed_units(docs, key, text))).hint("merge")  # they grow with the documents
-    joined = docs.withColumn("_text_now", F.xxhash64(text)).join(runs, (F.col(key).eqNullSafe(F.col("_key"))) & (F.col("_text_now") == F.col("_text")), "left")
+    units = staged(hashed_units(docs, key, text))
+    runs = staged(repeated_runs(units)).hint("merge")  # they grow with the documents
+    sizes = units.select("_key", "_text", F.size("_h").alias("_n")).dropDuplicates(["_key", "_text"])
+    same = F.col("_run_key").eqNullSafe(F.col("_key")) & (F.col("_run_text") == F.col("_text"))
+    found = sizes.join(runs.withColumnsRenamed({"_key": "_run_key", "_text": "_run_text"}), same, "left").drop("_run_key", "_run_text").hint("merge")
+    joined = docs.withColumn("_text_now", F.xxhash64(text)).join(found, (F.col(key).eqNullSafe(F.col("_key"))) & (F.col("_text_now") == F.col("_text")), "left")
     words = lambda units, r: F.aggregate(F.slice(units, r["first"] + 1, r["last"] - r["first"] + 1), F.lit(0), lambda a, u: a + word_count(F.btrim(u, F.lit(WHITE))))
 
     def without(units: Column, removed: Column) -> Column:
@@ -182,7 +189,7 @@ def delete_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
     joined = joined.withColumn("_cut", F.when(F.col("_runs").isNotNull(), cut))
     return joined.withColumns({
         text: F.when(F.coalesce(F.col("_cut.n_removed"), F.lit(0)) == 0, F.col(text)).otherwise(F.col("_cut.left")),
-        "n_units": F.size(units_of(F.coalesce(F.col(text), F.lit("")))),
+        "n_units": F.coalesce(F.col("_n"), F.lit(0)),
         "n_removed": F.coalesce(F.col("_cut.n_removed"), F.lit(0)),
         "removed": F.coalesce(F.col("_cut.removed"), F.array().cast("array<struct<first:int,last:int>>")),
-    }).drop("_cut", "_runs", "_key", "_text", "_text_now")
+    }).drop("_cut", "_runs", "_n", "_key", "_text", "_text_now")
