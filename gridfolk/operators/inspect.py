@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.codes import json_array
 from ..sources.world import BASE, World
+from .profile import json_array_typing
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, code: str, out: str) -> DataFrame:
@@ -14,9 +16,20 @@ def _labelled(rows: DataFrame, labels: DataFrame, code: str, out: str) -> DataFr
     return rows.join(F.broadcast(known), F.col(code) == F.col("_code"), "left").withColumn(out, F.coalesce("_label", F.col(code).cast("string"))).drop("_code", "_label")
 
 
-def people_view(world: World) -> DataFrame:
+def json_properties(world: World) -> dict[str, str]:
+    """Properties of people that hold JSON arrays, and what their elements are: bigint if all are whole numbers, else string."""
+    names = [f.name for f in world["population"].schema if f.name not in BASE["population"] and f.dataType.typeName() == "string"]
+    found = {n: json_array_typing(world["population"].select(n), n) for n in names}
+    typed = {n: t.first() for n, t in found.items()}  # one row of each
+    return {n: "bigint" if t["all_whole"] else "string" for n, t in typed.items() if t["n_arrays"]}
+
+
+def people_view(world: World, arrays: dict[str, str] | None = None) -> DataFrame:
+    """People with their label of sex and their properties; those in ``arrays`` (see :func:`json_properties`) as arrays, empty where the text is none."""
     rows = _labelled(world["population"], world.registry("sex"), "sex_code", "sex")
-    return rows.select("person_id", "geo_unit_id", "age", "sex", *(F.col(f"`{c}`") for c in world["population"].columns if c not in BASE["population"]))
+    names = [c for c in world["population"].columns if c not in BASE["population"]]
+    properties = [json_array(F.col(f"`{c}`"), arrays[c]).alias(c) if arrays and c in arrays else F.col(f"`{c}`") for c in names]
+    return rows.select("person_id", "geo_unit_id", "age", "sex", *properties)
 
 
 def venues_view(world: World) -> DataFrame:
@@ -96,13 +109,21 @@ def peak_unit_rows(world: World, names: tuple[str, ...] = ("population", "venues
     return out
 
 
-def csr_offsets(counts: DataFrame, key: str, count: str, within: str) -> DataFrame:
-    """Add exclusive ``offset`` and ``block_end`` (the next offset) from counts in the order of the key, within each group."""
-    order = Window.partitionBy(within).orderBy(key)
-    offset = F.coalesce(F.sum(count).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = counts.withColumn("offset", offset)
-    total = F.sum(count).over(Window.partitionBy(within))
-    return rows.withColumn("block_end", F.lead("offset", 1).over(order)).withColumn("block_end", F.coalesce("block_end", total))
+def csr_offsets(counts: DataFrame, key: str, count: str, within: str, block: int = 1 << 17) -> DataFrame:
+    """Add exclusive ``offset`` and ``block_end`` (where the next begins) from counts in the order of the numeric key, within each group.
+
+    Keys are dealt to blocks of ``block`` numbers. A group's running sum over
+    the totals of its blocks is small, and the one over a block's rows is
+    bounded, however large the group is. Null counts add nothing.
+    """
+    rows = counts.withColumns({"_block": F.floor(F.col(key) / block), "_count": F.coalesce(F.col(count), F.lit(0))})
+    totals = rows.groupBy(within, "_block").agg(F.sum("_count").alias("_total"))
+    earlier = Window.partitionBy(within).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    begins = totals.select(F.col(within).alias("_group"), F.col("_block").alias("_of"), F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_begin"))
+    inside = Window.partitionBy(within, "_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_inside", F.coalesce(F.sum("_count").over(inside), F.lit(0)))
+    placed = placed.join(begins, F.col(within).eqNullSafe(F.col("_group")) & (F.col("_block") == F.col("_of"))).withColumn("offset", F.col("_begin") + F.col("_inside"))
+    return placed.withColumn("block_end", F.col("offset") + F.col("_count")).select(*counts.columns, "offset", "block_end")
 
 
 def csr_expand(segments: DataFrame, flat: DataFrame, keys: list[str]) -> DataFrame:
@@ -117,7 +138,13 @@ def csr_slice(flat: Column, offset: Column, n: Column) -> Column:
 
 
 def page(rows: DataFrame, order: list[str], group: str, number: int, size: int = 80) -> DataFrame:
-    """One page (from 0, clamped to those there are) of each group's rows."""
-    w = Window.partitionBy(group).orderBy(*order)
-    numbered = rows.withColumn("_n", F.row_number().over(w) - 1).withColumn("_last", F.floor((F.count("*").over(Window.partitionBy(group)) - 1) / size))
-    return numbered.filter(F.floor(F.col("_n") / size) == F.least(F.lit(max(0, number)), F.col("_last"))).drop("_n", "_last")
+    """One page (from 0, clamped to those there are) of each group's rows.
+
+    Spark keeps the first rows of each group, up to the page's end, before it
+    shuffles them; so no task sorts a whole group.
+    """
+    number = max(0, number)
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).filter(F.col("_n") < (number + 1) * size)
+    last = rows.groupBy(F.col(group).alias("_group")).agg(F.floor((F.count("*") - 1) / size).alias("_last"))
+    on_page = F.floor(F.col("_n") / size) == F.least(F.lit(number), F.col("_last"))
+    return first.join(last, F.col(group).eqNullSafe(F.col("_group"))).filter(on_page).select(*rows.columns)

@@ -33,15 +33,30 @@ def candidates(geo_units: DataFrame, features: DataFrame) -> DataFrame:
     return units.join(known, ["strategy", "key"]).groupBy("level", "prop", "prop_pos", "strategy", "strategy_pos").agg(F.count("*").alias("matched"))
 
 
-def match_report(geo_units: DataFrame, features: DataFrame) -> DataFrame:
-    """level, world_units, matched, strategy, prop, rate, flag: the best property and strategy of each level, the earliest of equals."""
+def one_property(features: DataFrame, prop: str) -> DataFrame:
+    """The features with no other property than this."""
+    return features.withColumn("props", F.map_filter("props", lambda k, _: k == prop))
+
+
+def match_report(geo_units: DataFrame, features: DataFrame, strategy: str | None = None) -> DataFrame:
+    """level, world_units, matched, strategy, prop, rate, flag: the best property and strategy (or the one given) of each level, the earliest of equals."""
     best = Window.partitionBy("level").orderBy(F.desc("matched"), "prop_pos", "strategy_pos")
-    top = candidates(geo_units, features).withColumn("_n", F.row_number().over(best)).filter("_n = 1").select("level", "prop", "strategy", "matched")
+    found = candidates(geo_units, features)
+    found = found.filter(F.col("strategy") == strategy) if strategy else found
+    top = found.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select("level", "prop", "strategy", "matched")
     units = geo_units.groupBy("level").agg(F.count("*").alias("world_units"))
     rate = F.coalesce("matched", F.lit(0)) / F.col("world_units")
     return units.join(top, "level", "left").select("level", "world_units", F.coalesce("matched", F.lit(0)).alias("matched"), F.coalesce("strategy", F.lit("none")).alias("strategy"), "prop", rate.alias("rate"), match_flag(rate).alias("flag"))
 
 
+def poorest_rate(report: DataFrame, least: float = 0.5) -> float:
+    """The rate of the worst level of a report (a row for each level); raises if it is below ``least``."""
+    worst = report.orderBy("rate", "level").select("level", "rate").first()
+    if worst and worst["rate"] < least:
+        raise ValueError(f"only {worst['rate']:.0%} of level {worst['level']} match; at least {least:.0%} are needed")
+    return worst["rate"] if worst else 1.0
+
+
 def unmatched(geo_units: DataFrame, features: DataFrame, most: int = 8) -> DataFrame:
     """level, side, n, value: the first names without a partner under the level's best match.
 
@@ -124,4 +139,4 @@ def zoom_bands(geo_units: DataFrame) -> DataFrame:
     bake = F.when(F.col("n") <= 1, Z_MIN).otherwise(F.rint(Z_MIN + (Z_MAX - Z_MIN) * F.col("r") / F.greatest(F.lit(1), F.col("n") - 1))).cast("int")
     rows = rows.withColumn("bake_zoom", bake).withColumn("_next", F.lead("bake_zoom").over(order))
     top = F.when(F.col("_next").isNull(), Z_OVER).otherwise(F.greatest("bake_zoom", F.col("_next") - 1)).cast("int")
-    return rows.select("level", "bake_zoom", F.when(F.col("r") == 0, 0).otherwise(F.col("bake_zoom")).cast("int").alias("min_zoom"), top.alias("max_zoom"))
+    return rows.select("level", "bake_zoom", F.when(F.col("r") == 0, 0).otherwise(F.col("bake_zoom")).cast("int").alias("min_zoom"), top.alias("max_zoom")).orderBy("level")

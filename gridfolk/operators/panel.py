@@ -78,11 +78,11 @@ def occupancy(world: World) -> DataFrame:
 FAMILIES = {"sex": sex_counts, "venues": venue_counts, "occ": occupancy}
 
 
-def panel_long(world: World, closure: DataFrame, families: tuple[str, ...] = ("sex", "venues", "occ", "p")) -> DataFrame:
-    """level, geo_id, family, key, value for every count that isn't 0."""
+def panel_long(world: World, closure: DataFrame, families: tuple[str, ...] = ("sex", "venues", "occ", "p"), properties: list[str] | None = None) -> DataFrame:
+    """level, geo_id, family, key, value for every count that isn't 0. ``properties``: the categorical ones, if they are known."""
     parts = []
     for family in families:
-        leaf = property_counts(world, categorical_properties(world)) if family == "p" else FAMILIES[family](world)
+        leaf = property_counts(world, categorical_properties(world) if properties is None else properties) if family == "p" else FAMILIES[family](world)
         parts.append(leaf.withColumn("family", F.lit(family)).select("geo_unit_id", "family", "key", "value"))
     leaf = parts[0]
     for part in parts[1:]:
@@ -90,12 +90,22 @@ def panel_long(world: World, closure: DataFrame, families: tuple[str, ...] = ("s
     return rollup(leaf, closure, ["family", "key"], ["value"])
 
 
-def panel_wide(world: World, closure: DataFrame, level: int) -> DataFrame:
-    """One level as a wide table with self-describing, sorted column names; units without any source row have no row."""
-    at = closure.filter(F.col("level") == level)
-    long = panel_long(world, at)
+def panel_names(world: World, properties: list[str]) -> list[str]:
+    """The columns of a wide panel that count something, in order."""
     names = [*(f"sex:{v}" for v in world.labels_of("sex").values()), *(f"{f}:{v}" for f in ("venues", "occ") for v in world.labels_of("venue_types").values())]
-    names += sorted({f"p:{x['key']}" for x in property_counts(world, categorical_properties(world)).select("key").distinct().collect()})  # at most 64 values of each property
+    names += sorted({f"p:{x['key']}" for x in property_counts(world, properties).select("key").distinct().collect()})  # at most 64 values of each property
+    return names
+
+
+def panel_wide(world: World, closure: DataFrame, level: int, properties: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
+    """One level as a wide table with self-describing, sorted column names; units without any source row have no row.
+
+    Give ``properties`` and ``names`` (see :func:`panel_names`) to make several levels from one look at the people.
+    """
+    properties = categorical_properties(world) if properties is None else properties
+    names = panel_names(world, properties) if names is None else names
+    at = closure.filter(F.col("level") == level)
+    long = panel_long(world, at, properties=properties)
     wide = long.withColumn("_name", F.concat_ws(":", "family", "key")).groupBy("geo_id").pivot("_name", names).agg(F.sum("value"))
     people = panel_people(world, at).drop("level")
     joined = wide.withColumnRenamed("geo_id", "_other").join(people, F.col("_other") == F.col("geo_id"), "full")

@@ -8,15 +8,18 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import boundary_levels, read_features
 from ..sources.world import World, describe
 from .density import density_pyramid, finest_density, weighted_points
 from .geo import geo_closure, units_per_level
-from .inspect import activities_view, home_units, members_view, peak_unit_rows, people_view, unit_presence, venues_view
-from .panel import panel_long, panel_people
-from .tiles import clustered, hexagon_tiles, tile_index
-from .transit import line_geometry, line_venues, lines_in_world, rider_counts, rider_legs, riders
+from .inspect import activities_view, home_units, json_properties, members_view, peak_unit_rows, people_view, unit_presence, venues_view
+from .match import attach_extents, boundary_extents, match_report, matched_features, one_property, poorest_rate, zoom_bands
+from .panel import panel_long, panel_names, panel_people, panel_wide
+from .profile import categorical_properties
+from .tiles import boundary_tiles, clustered, hexagon_tiles, tile_index
+from .transit import line_geometry, line_venues, lines_geojson, lines_in_world, rider_counts, rider_legs, riders, sample_riders, transit_summary
 
-VERSION = 1
+VERSION = 2
 
 
 def write_shard(rows: DataFrame, path: str, key: str = "geo_unit_id", within: tuple[str, ...] = ()) -> None:
@@ -49,44 +52,100 @@ def manifest_summary(world: World) -> DataFrame:
     return levels.unionByName(peaks)
 
 
-def build(spark: SparkSession, world: World, out: str, sources: list[str] | None = None, drilldown: bool = True, force: bool = False) -> dict:
-    """All tables of a viewer under ``out``; nothing is done if version, sources and mode are those of the manifest there."""
-    marks = {"version": VERSION, "sources": fingerprint(spark, sources or []), "drilldown": drilldown}
-    if not force and (old := stored_manifest(spark, out)) and sources and {k: old[k] for k in marks} == marks:
+def write_panels(world: World, closure: DataFrame, out: str, extents: DataFrame | None) -> list[str]:
+    """The long panel, that of people, and a wide table for each level, with its units' extents where there are any."""
+    properties = categorical_properties(world)
+    names = panel_names(world, properties)
+    panel_long(world, closure, properties=properties).repartitionByRange("level", "geo_id").write.mode("overwrite").partitionBy("level").parquet(f"{out}/panel")
+    panel_people(world, closure).repartitionByRange("level", "geo_id").write.mode("overwrite").partitionBy("level").parquet(f"{out}/people_panel")
+    for level in world.labels_of("geo_levels"):  # a few
+        wide = panel_wide(world, closure, level, properties, names)
+        wide = attach_extents(wide, extents.filter(F.col("level") == level).drop("level")) if extents is not None else wide
+        wide.repartitionByRange("geo_id").write.mode("overwrite").parquet(f"{out}/panel_wide/level={level}")
+    return ["panel", "people_panel", "panel_wide"]
+
+
+def write_boundaries(spark: SparkSession, world: World, config: str, out: str) -> dict:
+    """Extents and tiles of the units that have shapes; returns the matched and all units of each level.
+
+    Levels that the world doesn't have are left out, as are those without a
+    matching shape; a level of which less than half the units match raises.
+    """
+    codes = {label: code for code, label in world.labels_of("geo_levels").items()}
+    parts, rates = None, {}
+    for name, level in boundary_levels(config).items():
+        if name not in codes:
+            continue
+        features = one_property(read_features(spark, level.file), level.prop)
+        units = world["geo_units"].filter(F.col("level") == codes[name])
+        report = match_report(units, features, level.strategy)
+        poorest_rate(report)
+        rates[name] = report.select("matched", "world_units").first().asDict()
+        extents = boundary_extents(matched_features(units, features, codes[name], level.prop, level.strategy)).withColumn("level", F.lit(codes[name]))
+        parts = extents if parts is None else parts.unionByName(extents)
+    if parts is not None:
+        parts.write.mode("overwrite").parquet(f"{out}/extents")
+        boundary_tiles(spark.read.parquet(f"{out}/extents"), zoom_bands(world["geo_units"])).write.mode("overwrite").parquet(f"{out}/boundary_tiles")
+    return rates
+
+
+def write_transit(world: World, homes: DataFrame, out: str) -> dict:
+    """Lines, their features, riders, chains and a sample of riders; nothing, and an empty summary, without a line that has a geometry."""
+    lines = line_venues(world)
+    on = riders(world, lines, homes)
+    placed = lines_in_world(rider_counts(lines, on), line_geometry(world["line_stops"], world["coord_mgu"], lines))
+    if not placed.take(1):
+        return {}
+    placed.write.mode("overwrite").parquet(f"{out}/lines")
+    lines_geojson(placed).select("feature").write.mode("overwrite").text(f"{out}/line_features")  # a feature a line
+    write_shard(on, f"{out}/riders", "venue_id")
+    legs = rider_legs(world, lines, homes, typed=True)
+    write_shard(legs, f"{out}/chains", "home_geo_unit", ("person_id", "leg_idx"))
+    counted = rider_counts(lines, on)
+    sample_riders(counted, on, legs).write.mode("overwrite").parquet(f"{out}/sample_riders")
+    return transit_summary(counted, on, legs).first().asDict()
+
+
+def build(spark: SparkSession, world: World, out: str, sources: list[str] | None = None, drilldown: bool = True, force: bool = False, boundaries: str | None = None, transit: list[str] | None = None) -> dict:
+    """All tables of a viewer under ``out``; nothing is done if version, inputs and mode are those of the manifest there.
+
+    ``boundaries`` is a configuration for :func:`boundary_levels`. ``sources``
+    and ``transit`` are the files the world was read from; they, the
+    configuration and its shapes have marks of their own.
+    """
+    shapes = [boundaries, *(x.file for x in boundary_levels(boundaries).values())] if boundaries else []
+    marks = {"version": VERSION, "sources": fingerprint(spark, sources or []), "boundaries": fingerprint(spark, shapes), "transit": fingerprint(spark, transit or []), "drilldown": drilldown}
+    if not force and (old := stored_manifest(spark, out)) and sources and {k: old.get(k) for k in marks} == marks:
         return old
-    began = time.time()
+    if ("line_stops" in world) != ("coord_mgu" in world):
+        raise ValueError("transit needs both line_stops and coord_mgu")
+    began, sections = time.time(), {"boundary_match": {}, "transit_summary": {}}
     closure = geo_closure(world["geo_units"]).persist()
-    panel_long(world, closure).repartitionByRange("level", "geo_id").write.mode("overwrite").partitionBy("level").parquet(f"{out}/panel")
-    panel_people(world, closure).repartitionByRange("level", "geo_id").write.mode("overwrite").partitionBy("level").parquet(f"{out}/people_panel")
+    try:
+        if boundaries:
+            sections["boundary_match"] = write_boundaries(spark, world, boundaries, out)
+        artifacts = ["extents", "boundary_tiles"] if sections["boundary_match"] else []
+        artifacts += write_panels(world, closure, out, spark.read.parquet(f"{out}/extents") if artifacts else None)
+    finally:
+        closure.unpersist()
     homes = home_units(world["population"])
-    views = {"population": people_view(world), "venues": venues_view(world), "subsets": members_view(world, homes), "activities": activities_view(world)}
+    views = {"population": people_view(world, json_properties(world)), "venues": venues_view(world), "subsets": members_view(world, homes), "activities": activities_view(world)}
     for name, view in views.items():
         if name not in world:
             continue
         if drilldown:
             write_shard(view, f"{out}/{name}")
+            artifacts.append(name)
         unit_presence(world[name]).write.mode("overwrite").parquet(f"{out}/{name}_presence")
-    artifacts = ["panel", "people_panel", *(n for n in views if drilldown)]
     if world.has_coordinates():
-        pyramid = density_pyramid(finest_density(weighted_points(world)))
-        pyramid.write.mode("overwrite").parquet(f"{out}/density")
-        tiles = hexagon_tiles(pyramid)
-        tiles.write.mode("overwrite").partitionBy("z").parquet(f"{out}/tiles")
-        clustered(tile_index(tiles)).write.mode("overwrite").parquet(f"{out}/tile_index")
+        density_pyramid(finest_density(weighted_points(world))).write.mode("overwrite").parquet(f"{out}/density")
+        hexagon_tiles(spark.read.parquet(f"{out}/density")).write.mode("overwrite").partitionBy("z").parquet(f"{out}/tiles")
+        clustered(tile_index(spark.read.parquet(f"{out}/tiles"))).write.mode("overwrite").parquet(f"{out}/tile_index")
         artifacts += ["density", "tiles", "tile_index"]
-    if ("line_stops" in world) != ("coord_mgu" in world):
-        raise ValueError("transit needs both line_stops and coord_mgu")
     if "line_stops" in world and "legs" in world:
-        lines = line_venues(world)
-        on = riders(world, lines, homes)
-        placed = lines_in_world(rider_counts(lines, on), line_geometry(world["line_stops"], world["coord_mgu"], lines))
-        if placed.take(1):  # no line with a geometry: no transit tables
-            placed.write.mode("overwrite").parquet(f"{out}/lines")
-            write_shard(on, f"{out}/riders", "venue_id")
-            write_shard(rider_legs(world, lines, homes, typed=True), f"{out}/chains", "home_geo_unit", ("person_id", "leg_idx"))
-            artifacts += ["lines", "riders", "chains"]
-    closure.unpersist()
-    manifest = marks | {
+        sections["transit_summary"] = write_transit(world, homes, out)
+        artifacts += ["lines", "line_features", "riders", "chains", "sample_riders"] if sections["transit_summary"] else []
+    manifest = marks | sections | {
         "schema": json.loads(describe(world).toJSON().first()), "artifacts": artifacts, "build_seconds": round(time.time() - began, 1),
         "summary": [x.asDict() for x in manifest_summary(world).collect()],  # a row for each level and table
     }

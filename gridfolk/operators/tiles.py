@@ -51,17 +51,25 @@ def line_tiles(lines: DataFrame, zooms: tuple[int, int] = LINE_ZOOMS) -> DataFra
     """line_id, venue_id, z, x, y, part, points: lines cut at the tiles they cross at every zoom.
 
     ``lines`` has a row for each stop (line_id, venue_id, position, lon, lat).
-    Each piece from stop to stop is cut to the tiles of its box (its
-    parameters at the tile's four sides bound the part inside); neighbouring
-    pieces of one tile are joined to parts again, points in the tile's units.
+    Each piece from stop to stop is dealt to the columns of tiles that it
+    crosses, and in each column to the rows that it crosses there, so tiles
+    grow with its length. Its parameters at the tile's four sides bound the
+    part inside; neighbouring pieces of one tile are joined to parts again,
+    points in the tile's units.
     """
     stop = Window.partitionBy("line_id").orderBy("position")
     pairs = lines.select("line_id", "venue_id", F.row_number().over(stop).alias("n"), F.col("lon").alias("x0"), F.col("lat").alias("y0"), F.lead("lon").over(stop).alias("x1"), F.lead("lat").over(stop).alias("y1")).filter("x1 is not null")
-    each = pairs.withColumn("z", F.explode(F.sequence(F.lit(zooms[0]), F.lit(zooms[1])))).withColumns({
-        "minx": F.least("x0", "x1"), "maxx": F.greatest("x0", "x1"), "miny": F.least("y0", "y1"), "maxy": F.greatest("y0", "y1"),
-    })
-    cut = covered(each, F.col("z"))
     n = F.pow(F.lit(2.0), F.col("z"))
+    each = pairs.withColumn("z", F.explode(F.sequence(F.lit(zooms[0]), F.lit(zooms[1]))))
+    across, down = (lambda c: (F.col(c) + 180.0) / 360.0 * n), (lambda c: world_y(F.col(c), F.col("z")) / EXTENT)
+    each = each.withColumns({"_ax": across("x0"), "_bx": across("x1"), "_ay": down("y0"), "_by": down("y1")})
+    held = lambda v: F.greatest(F.lit(0), F.least(n - 1, F.floor(v))).cast("long")
+    cut = each.withColumn("x", F.explode(F.sequence(held(F.least("_ax", "_bx")), held(F.greatest("_ax", "_bx")))))
+    # Where the piece is at the column's two sides, within its ends; a little more, as rows it misses are cut off below.
+    width = F.nullif(F.col("_bx") - F.col("_ax"), F.lit(0.0))
+    at_side = lambda side: F.col("_ay") + F.greatest(F.lit(0.0), F.least(F.lit(1.0), (side - F.col("_ax")) / width)) * (F.col("_by") - F.col("_ay"))
+    here, there = F.coalesce(at_side(F.col("x")), F.col("_ay")), F.coalesce(at_side(F.col("x") + 1), F.col("_by"))
+    cut = cut.withColumn("y", F.explode(F.sequence(held(F.least(here, there) - 1e-6), held(F.greatest(here, there) + 1e-6)))).drop("_ax", "_bx", "_ay", "_by")
     px = lambda lon: (F.col(lon) + 180.0) / 360.0 * n * EXTENT - F.col("x") * EXTENT
     py = lambda lat: world_y(F.col(lat), F.col("z")) - F.col("y") * EXTENT
     cut = cut.withColumns({"ax": px("x0"), "ay": py("y0"), "bx": px("x1"), "by": py("y1")}).withColumns({"dx": F.col("bx") - F.col("ax"), "dy": F.col("by") - F.col("ay")})

@@ -89,6 +89,17 @@ def _csr(w: World) -> DataFrame:
     return inspect.csr_offsets(counts, "venue_id", "n", "kind")
 
 
+def _people_json(w: World) -> DataFrame:
+    """People with a property of JSON arrays made from their ids, typed over all rows and parsed; blank for every third."""
+    k = F.col("person_id")
+    made = F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("["), (k % 5).cast("string"), F.lit(", "), (k % 7).cast("string"), F.lit("]")))
+    named = F.concat(F.lit('["a'), (k % 4).cast("string"), F.lit('"]'))
+    tagged = w.with_tables(population=w["population"].withColumns({"tags": made, "names": named}))
+    view = inspect.people_view(tagged, inspect.json_properties(tagged))
+    total = F.aggregate("tags", F.lit(0).cast("long"), lambda a, x: a + x)
+    return view.select("person_id", "sex", "balance_band", F.size("tags").alias("n_tags"), total.alias("tag_sum"), F.array_join("names", ",").alias("names"))
+
+
 def _csr_expand(w: World) -> DataFrame:
     s = w["subsets"].withColumns({"offset": F.lit(0), "n": F.size("members")})
     flat = w["subsets"].select("venue_id", "subset_index", F.posexplode("members").alias("pos", "value"))
@@ -146,6 +157,7 @@ _WORLD = {
     "property_profile": lambda w: profile.property_profile(w["population"], w.properties()),
     "world_schema": lambda w: describe(w).select(F.array_join("geo_levels", ",").alias("geo_levels"), F.array_join("properties", ",").alias("properties"), F.array_join("leg_fields", ",").alias("leg_fields"), "has_coordinates", F.lit(w["population"].count()).alias("people")),
     "people_view": inspect.people_view,
+    "people_view_json": _people_json,
     "venues_view": lambda w: inspect.venues_view(w).withColumns({c: F.round(F.coalesce(F.nanvl(F.col(c), F.lit(-999.0)), F.lit(-999.0)).cast("double"), 3) for c in ("lat", "lon")}),
     "members_view": lambda w: inspect.members_view(w, _homes(w)),
     "members_without_homes": lambda w: inspect.members_view(w, None).groupBy("home_geo_unit").agg(F.count("*").alias("n")),

@@ -172,6 +172,7 @@ ORACLES = {
     "panel_extents": q("select p.geo_id, people, cx, cy, minx, miny, maxx, maxy from people p left join extents e on e.geo_id = p.geo_id where level = 1", _PEOPLE),
     "property_profile": q("select 'mktsegment' as property, count(distinct mktsegment) as n_distinct, false as has_json, count(distinct mktsegment) <= least(64, greatest(8, least(count(*), 4000) // 4)) as usable from population union all select 'balance_band', count(distinct balance_band), false, count(distinct balance_band) <= least(64, greatest(8, least(count(*), 4000) // 4)) from population"),
     "world_schema": q("select 'region,nation,segment' as geo_levels, 'mktsegment,balance_band' as properties, 't_alight_min,value' as leg_fields, true as has_coordinates, (select count(*) from population) as people"),
+    "people_view_json": q(f"select person_id, {_SEX}, balance_band, (case when person_id % 3 = 0 then 0 else 2 end)::integer as n_tags, (case when person_id % 3 = 0 then 0 else person_id % 5 + person_id % 7 end)::bigint as tag_sum, 'a' || person_id % 4 as names from population"),
     "people_view": q(f"select person_id, geo_unit_id, age, {_SEX}, mktsegment, balance_band from population"),
     "venues_view": q("select venue_id, geo_unit_id, label as type, name, parent_id, is_residence, round(coalesce(lat, -999)::double, 3) as lat, round(coalesce(lon, -999)::double, 3) as lon from venues join types on code = type_code"),
     "members_view": q("select m.venue_id, m.geo_unit_id, subset_index, subset, m.person_id, coalesce(p.geo_unit_id, -1) as home_geo_unit from members m left join population p on p.person_id = m.person_id"),

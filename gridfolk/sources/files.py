@@ -49,29 +49,47 @@ def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFr
 
 
 @dataclass(frozen=True)
-class LevelBoundary:
-    level: str
+class BoundaryLevel:
+    """Where the shapes of a level are, which property names their units, and how the names are made alike."""
+
     file: str
     prop: str
-    strategy: str = "code"
+    strategy: str
     crs: str | None = None
 
 
-def load_boundary_config(path: str) -> dict[str, LevelBoundary]:
-    """A small JSON file ``{"levels": {name: {file, prop, strategy?, crs?}}}``; files are relative to it."""
-    with open(path, encoding="utf-8") as f:
-        levels = json.load(f).get("levels")
-    if not isinstance(levels, dict) or not levels:
-        raise ValueError(f"{path}: no 'levels' given")
-    out = {}
-    for name, one in levels.items():
-        if missing := [k for k in ("file", "prop") if not one.get(k)]:
-            raise ValueError(f"{path}: level {name!r} lacks {', '.join(missing)}")
-        strategy = one.get("strategy", "code")
-        if strategy not in STRATEGIES:
-            raise ValueError(f"{path}: level {name!r} has the unknown strategy {strategy!r}")
-        file = os.path.join(os.path.dirname(os.path.abspath(path)), one["file"])
-        if not os.path.exists(file):
-            raise FileNotFoundError(f"{path}: level {name!r}: no file {file}")
-        out[name] = LevelBoundary(name, file, one["prop"], strategy, one.get("crs"))
-    return out
+def boundary_levels(path: str) -> dict[str, BoundaryLevel]:
+    """Levels of a JSON configuration ``{"levels": {name: {file, prop, strategy, crs?}}}``; files are relative to it.
+
+    ``strategy`` may be written in any case. Everything that is wrong is told at once.
+    """
+    home, wrong = os.path.dirname(os.path.abspath(path)), []
+    try:
+        with open(path, encoding="utf-8-sig") as f:
+            given = json.load(f)
+    except json.JSONDecodeError as e:
+        raise ValueError(f"{path} is no JSON: {e}") from e
+    levels = given.get("levels") if isinstance(given, dict) else None
+    if not (isinstance(levels, dict) and levels):
+        raise ValueError(f"{path} names no levels")
+
+    def checked(level: str, entry, field: str, needed: bool = True) -> str | None:
+        value = entry.get(field) if isinstance(entry, dict) else None
+        if isinstance(value, str) and value.strip():
+            return value.strip()
+        if needed or value is not None:
+            wrong.append(f"{level}.{field} must be a text" if value is not None else f"{level}.{field} is missing")
+        return None
+
+    found = {}
+    for level, entry in levels.items():
+        file, prop, strategy, crs = (checked(level, entry, f, f != "crs") for f in ("file", "prop", "strategy", "crs"))
+        if strategy and strategy.lower() not in STRATEGIES:
+            wrong.append(f"{level}.strategy {strategy!r} is none of {', '.join(STRATEGIES)}")
+        place = os.path.join(home, file or "")
+        if file and not os.path.exists(place):
+            wrong.append(f"{level}.file {place} isn't there")
+        found[level] = BoundaryLevel(place, prop or "", (strategy or "").lower(), crs)
+    if wrong:
+        raise ValueError(f"{path}: " + "; ".join(wrong))
+    return found

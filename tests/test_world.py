@@ -11,46 +11,70 @@ from gridfolk.functions.codes import age_band, json_array, norm_code, norm_name,
 from gridfolk.functions.display import compact, human_number, humanize, percent
 from gridfolk.functions.mercator import tile_id
 from gridfolk.operators import density, geo, inspect, match, panel, profile, publish, replicate, tiles, transit
-from gridfolk.sources.files import COORDINATES, LINE_STOPS, load_boundary_config, read_csv, read_features
+from gridfolk.sources.files import COORDINATES, LINE_STOPS, boundary_levels, read_csv, read_features
 from gridfolk.sources.star import star_world
 from gridfolk.sources.world import World, members_of
 
 
 @pytest.fixture(scope="module")
 def world(spark):
-    registries = [("geo_levels", 0, "unit"), ("venue_types", 0, "household"), ("subset_names", 0, "residents"), ("activity_names", 0, "work"), ("sex", 0, "male"), ("sex", 1, "female")]
+    registries = [("geo_levels", 0, "parish"), ("venue_types", 0, "workshop"), ("subset_names", 0, "staff"), ("activity_names", 0, "craft"), ("sex", 0, "male"), ("sex", 1, "female")]
     return World({
-        "geo_units": spark.createDataFrame([(0, 0, -1, "U0", 40.0, -3.0, 0), (1, 0, -1, "U1", 41.0, -3.5, 1)], "geo_id long, level int, parent_id long, name string, lat float, lon float, row_pos long"),
-        "population": spark.createDataFrame([(10, 0, 30.0, 0, "A", 0), (11, 0, 40.0, 1, "B", 1), (20, 1, 50.0, 0, "C", 2), (21, 1, float("nan"), 1, "D", 3)], "person_id long, geo_unit_id long, age float, sex_code int, ethnicity string, row_pos long"),
-        "venues": spark.createDataFrame([(0, 0, 0, None, -1, None, None, None, 0, 0)], "venue_id long, geo_unit_id long, type_code int, name string, parent_id long, is_residence boolean, lat float, lon float, rank_in_type long, row_pos long"),
-        "subsets": spark.createDataFrame([(0, 0, 0, None, [10, 20]), (0, 0, 1, None, [])], "venue_id long, geo_unit_id long, subset_index int, subset_name string, members array<long>"),
-        "activities": spark.createDataFrame([(10, 0, 0, 0), (20, 1, 0, 0), (21, 1, 7, 99)], "person_id long, geo_unit_id long, activity_idx int, venue_id long"),
+        "geo_units": spark.createDataFrame([(3, 0, -1, "Northfold", 51.0, 4.0, 0), (4, 0, -1, "Southmere", 50.0, 4.5, 1), (9, 0, -1, "Emptyholm", 49.0, 5.0, 2)], "geo_id long, level int, parent_id long, name string, lat float, lon float, row_pos long"),
+        "population": spark.createDataFrame([(101, 3, 33.0, 0, "teal", 0), (102, 3, 41.0, 1, "plum", 1), (103, 4, 52.0, 0, "teal", 2), (104, 4, float("nan"), 1, "sand", 3), (105, 4, 17.0, 1, "plum", 4)], "person_id long, geo_unit_id long, age float, sex_code int, colour string, row_pos long"),
+        "venues": spark.createDataFrame([(7, 3, 0, None, -1, None, None, None, 0, 0)], "venue_id long, geo_unit_id long, type_code int, name string, parent_id long, is_residence boolean, lat float, lon float, rank_in_type long, row_pos long"),
+        "subsets": spark.createDataFrame([(7, 3, 0, None, [101, 103]), (7, 3, 1, None, [])], "venue_id long, geo_unit_id long, subset_index int, subset_name string, members array<long>"),
+        "activities": spark.createDataFrame([(101, 3, 0, 7), (103, 4, 0, 7), (104, 4, 7, 99)], "person_id long, geo_unit_id long, activity_idx int, venue_id long"),
         "registries": spark.createDataFrame(registries, "registry string, code int, label string"),
     })
 
 
 def test_members_and_homes(world):
     got = {r["person_id"]: r["home_geo_unit"] for r in inspect.members_view(world, inspect.home_units(world["population"])).collect()}
-    assert got == {10: 0, 20: 1}
-    assert {r["home_geo_unit"] for r in inspect.members_view(world, None).collect()} == {-1}
-    assert {r["subset"] for r in inspect.members_view(world, None).collect()} == {"residents"}
+    assert got == {101: 3, 103: 4}
+    assert {(r["home_geo_unit"], r["subset"]) for r in inspect.members_view(world, None).collect()} == {(-1, "staff")}
 
 
 def test_lookups_by_id(spark, world):
-    ids = spark.createDataFrame([(20,), (10,), (10,), (999,)], "person_id long")
-    assert sorted(r["person_id"] for r in inspect.people_by_ids(world, ids).collect()) == [10, 20]
-    (row,) = inspect.activities_by_ids(world, ids.filter("person_id = 20")).collect()
-    assert (row["activity"], row["venue_id"], row["venue_type"], row["venue_name"]) == ("work", 0, "household", "0")
+    ids = spark.createDataFrame([(103,), (101,), (101,), (999,)], "person_id long")
+    assert sorted(r["person_id"] for r in inspect.people_by_ids(world, ids).collect()) == [101, 103]
+    (row,) = inspect.activities_by_ids(world, ids.filter("person_id = 103")).collect()
+    assert (row["activity"], row["venue_id"], row["venue_type"], row["venue_name"]) == ("craft", 7, "workshop", "7")
 
 
 def test_unknown_codes_and_venues_are_kept(world):
-    row = inspect.activities_view(world).filter("person_id = 21").first()
+    row = inspect.activities_view(world).filter("person_id = 104").first()
     assert (row["activity"], row["venue_geo_unit"], row["venue_type"], row["venue_name"]) == ("7", -1, "", "")
 
 
 def test_nan_age_counts_in_the_last_band_and_adds_nothing(world):
-    row = panel.panel_people(world, geo.geo_closure(world["geo_units"])).filter("geo_id = 1").first()
-    assert (row["people"], row["mean_age"], row["age:65+"], row["age:45-64"]) == (2, 25.0, 1, 1)
+    row = panel.panel_people(world, geo.geo_closure(world["geo_units"])).filter("geo_id = 4").first()
+    assert (row["people"], row["mean_age"], row["age:65+"], row["age:45-64"], row["age:0-17"]) == (3, 23.0, 1, 1, 1)
+
+
+def test_json_properties_become_arrays(world):
+    tagged = world.with_tables(population=world["population"].withColumns({"seen": F.when(F.col("person_id") == 101, "[1, 2]").when(F.col("person_id") == 102, "[x").otherwise(""), "named": F.lit('["a", "b"]')}))
+    arrays = inspect.json_properties(tagged)
+    assert arrays["named"] == "string" and set(arrays) == {"seen", "named"}
+    rows = {r["person_id"]: r for r in inspect.people_view(tagged, {**arrays, "seen": "bigint"}).collect()}
+    assert rows[101]["seen"] == [1, 2] and rows[102]["seen"] == [] and rows[103]["seen"] == [] and rows[105]["named"] == ["a", "b"] and rows[104]["colour"] == "sand"
+
+
+def test_offsets_do_not_depend_on_blocks(spark):
+    rows = [(k, 3 * k % 5 or None, k % 2 if k % 7 else None) for k in range(60)]
+    table = spark.createDataFrame(rows, "k long, n long, g long")
+    got = {r["k"]: (r["offset"], r["block_end"]) for r in inspect.csr_offsets(table, "k", "n", "g", block=8).collect()}
+    at, want = {}, {}
+    for k, n, g in rows:
+        want[k] = (at.get(g, 0), at.get(g, 0) + (n or 0))
+        at[g] = want[k][1]
+    assert got == want
+
+
+def test_pages_are_clamped(spark):
+    rows = spark.createDataFrame([(g, i) for g, n in ((1, 5), (2, 2), (None, 3)) for i in range(n)], "g long, i long")
+    got = sorted(((r["g"] or 0), r["i"]) for r in inspect.page(rows, ["i"], "g", 2, size=2).collect())
+    assert got == [(0, 2), (1, 4), (2, 0), (2, 1)]
 
 
 def test_people_and_venues_are_conserved(spark):
@@ -129,50 +153,88 @@ def test_legs_without_numbers_follow_boarding_and_ties_the_file(spark):
 
 def test_replicas_are_disjoint(world):
     big = replicate.replicate(world.with_tables(members=members_of(world["subsets"])), 9)
-    assert big["population"].count() == 12 and big["population"].select("person_id").distinct().count() == 12
+    assert big["population"].count() == 10 and big["population"].select("person_id").distinct().count() == 10
     assert {r["parent_id"] for r in big["geo_units"].collect()} == {-1}
     homes = inspect.home_units(big["population"])
     assert inspect.members_view(big, homes).filter("home_geo_unit < 0").count() == 0
-    assert inspect.members_view(big, homes).count() == 6
+    assert inspect.members_view(big, homes).count() == 4
+
+
+def features_file(path, prop, features):
+    path.write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {prop: k, "n": 1, "x": None}, "geometry": g} for k, g in features]}), encoding="utf-8")
+    return str(path)
+
+
+def square(x):
+    return {"type": "Polygon", "coordinates": [[[x, 0], [x + 2, 0], [x + 2, 2], [x, 2], [x, 0]]]}
 
 
 def test_boundaries(spark, tmp_path):
     units = spark.createDataFrame([(1, 1, -1, "Aa", 0), (2, 1, -1, "AA ", 1), (3, 1, -1, "Bb", 2)], "geo_id long, level int, parent_id long, name string, row_pos long")
-    square = lambda x: {"type": "Polygon", "coordinates": [[[x, 0], [x + 2, 0], [x + 2, 2], [x, 2], [x, 0]]]}
     features = [("aa", square(0)), ("aa", square(2)), ("zz", square(9)), ("bb", {"type": "Polygon", "coordinates": "bad"})]
-    path = tmp_path / "límites.geojson"
-    path.write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"NOMBRE": k, "n": 1, "x": None}, "geometry": g} for k, g in features]}), encoding="utf-8")
-    read = read_features(spark, str(path))
-    assert read.first()["props"] == {"NOMBRE": "aa", "n": "1", "x": ""}
-    (row,) = match.boundary_extents(match.matched_features(units, read, 1, "NOMBRE", "code")).collect()
+    read = read_features(spark, features_file(tmp_path / "gränser.geojson", "KOD", features))
+    assert read.first()["props"] == {"KOD": "aa", "n": "1", "x": ""}
+    (row,) = match.boundary_extents(match.matched_features(units, read, 1, "KOD", "code")).collect()
     assert row[:] == (1, 2.0, 1.0, 0.0, 0.0, 4.0, 2.0)
     assert match.collisions(units, "code").first()["collisions"] == 1
-    topo = tmp_path / "t.json"
-    topo.write_text('{"type": "Topology", "features": []}')
-    with pytest.raises(Exception, match="TopoJSON"):
-        read_features(spark, str(topo)).collect()
-    config = tmp_path / "c.json"
-    config.write_text(json.dumps({"levels": {"LGU": {"file": "límites.geojson", "prop": "NOMBRE"}}}), encoding="utf-8")
-    assert load_boundary_config(str(config))["LGU"].strategy == "code"
-    config.write_text(json.dumps({"levels": {"LGU": {"file": "límites.geojson", "prop": "P", "strategy": "guess"}}}), encoding="utf-8")
-    with pytest.raises(ValueError, match="unknown strategy"):
-        load_boundary_config(str(config))
-
-
-@pytest.mark.parametrize("bom", ["", "﻿"])
+    report = match.match_report(units, read)
+    assert match.poorest_rate(report) == 1.0
+    with pytest.raises(ValueError, match="level 1"):
+        match.poorest_rate(match.match_report(units.withColumn("name", F.lit("none")), read))
+    for name, text, said in (("t.json", '{"type": "Topology", "features": []}', "TopoJSON"), ("m.json", '{"type": "FeatureCollection", "crs": {"properties": {"name": "EPSG:3857"}}, "features": [{"properties": {}, "geometry": null}]}', "longitude")):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(Exception, match=said):
+            read_features(spark, str(tmp_path / name)).collect()
+
+
+def test_boundary_configuration(tmp_path):
+    config = tmp_path / "gränser.json"
+    (tmp_path / "ö.geojson").write_text("{}")
+    fine = {"file": "ö.geojson", "prop": "KOD", "strategy": "Code"}
+    config.write_text(json.dumps({"levels": {"LÄN": fine}}, ensure_ascii=False), encoding="utf-8")
+    got = boundary_levels(str(config))["LÄN"]
+    assert (got.strategy, got.prop, got.file) == ("code", "KOD", str(tmp_path / "ö.geojson"))
+    wrong = {"A": {**fine, "strategy": "guess"}, "B": {"file": "none.geojson", "prop": 3}, "C": "text", "D": {**fine, "crs": 4}}
+    for text, said in ((json.dumps({"levels": wrong}), ["A.strategy", "B.file .* isn't there", "B.prop must be", "B.strategy is missing", "C.file is missing", "D.crs must be"]), ('{"levels": {}}', ["no levels"]), ("[1]", ["no levels"]), ("{", ["no JSON"])):
+        config.write_text(text)
+        for part in said:
+            with pytest.raises(ValueError, match=part):
+                boundary_levels(str(config))
+
+
+@pytest.mark.parametrize("bom", ["", "\ufeff"])
 def test_stops_with_accents(spark, tmp_path, bom):
     stops, coords = tmp_path / "stops.csv", tmp_path / "coords.csv"
-    names = ["Á Coruña", "Málaga María Zambrano", "Alcalá de Henares"]
-    stops.write_text(bom + "line_id,position,node_mgu,name\n" + "".join(f"L1,{i},n{i},{n}\n" for i, n in enumerate(names)), encoding="utf-8")
-    coords.write_text(bom + "MGU,latitude,longitude\n" + "".join(f"n{i},40.{i},-3.{i}\n" for i in range(3)), encoding="utf-8")
+    names = ["Łódź Główna", "Besançon Viotte", "Zürich Oerlikon", "Ærø"]
+    stops.write_text(bom + "line_id,position,node_mgu,name\n" + "".join(f"Q7,{i},k{i},{n}\n" for i, n in enumerate(names)), encoding="utf-8")
+    coords.write_text(bom + "MGU,latitude,longitude\n" + "".join(f"k{i},51.{i},7.{i}\n" for i in range(4)), encoding="utf-8")
     got = transit.line_geometry(read_csv(spark, str(stops), LINE_STOPS), read_csv(spark, str(coords), COORDINATES)).first()
-    assert [s["name"] for s in got["stops"]] == names and got["stops"][2]["lat"] == 40.2
+    assert [s["name"] for s in got["stops"]] == names and got["stops"][3]["lat"] == 51.3
+
+
+def test_build_with_boundaries(spark, tmp_path, world):
+    file = features_file(tmp_path / "p.geojson", "who", [("northfold", square(0)), ("SOUTHMERE", square(4)), ("elsewhere", square(8))])
+    config, out = tmp_path / "c.json", str(tmp_path / "out")
+    level = {"file": "p.geojson", "prop": "who", "strategy": "code"}
+    config.write_text(json.dumps({"levels": {"parish": level, "unheard of": level}}))
+    whole = world.with_tables(members=members_of(world["subsets"]))
+    manifest = publish.build(spark, whole, out, [file], boundaries=str(config))
+    assert manifest["boundary_match"] == {"parish": {"matched": 2, "world_units": 3}} and {"extents", "boundary_tiles", "panel_wide"} <= set(manifest["artifacts"])
+    wide = {r["geo_id"]: r for r in spark.read.parquet(f"{out}/panel_wide").collect()}
+    assert (wide[3]["cx"], wide[4]["minx"], wide[4]["people"]) == (1.0, 4.0, 3)
+    assert {r["geo_id"] for r in spark.read.parquet(f"{out}/boundary_tiles").collect()} == {3, 4}
+    config.write_text(json.dumps({"levels": {"parish": {**level, "prop": "n"}}}))
+    with pytest.raises(ValueError, match="match"):
+        publish.build(spark, whole, out, [file], boundaries=str(config))
 
 
 def test_build_is_whole_and_idempotent(spark, tmp_path):
     w, out = star_world(spark, SF), str(tmp_path / "out")
     first = publish.build(spark, w, out, [f"{SF}/nation.parquet"])
-    assert {"panel", "population", "density", "tile_index", "riders", "chains"} <= set(first["artifacts"])
+    assert {"panel", "panel_wide", "population", "density", "tile_index", "riders", "chains", "line_features", "sample_riders"} <= set(first["artifacts"])
+    features = [json.loads(r[0]) for r in spark.read.text(f"{out}/line_features").collect()]
+    assert len(features) == first["transit_summary"]["lines"] and all(f["type"] == "Feature" for f in features)
+    assert {r["level"] for r in spark.read.parquet(f"{out}/panel_wide").collect()} == {0, 1, 2}
     assert spark.read.parquet(f"{out}/population").count() == w["population"].count()
     assert publish.build(spark, w, out, [f"{SF}/nation.parquet"]) == first
     assert publish.build(spark, w, out, [f"{SF}/nation.parquet"], drilldown=False) != first
