@@ -44,12 +44,19 @@ def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_staged(spark: SparkSession) -> None:
-    """Delete every table staged so far, once results that read them are written."""
+def staged_so_far() -> int:
+    """How many tables are staged; see ``since`` of :func:`clear_staged`."""
+    return len(_STAGED)
+
+
+def clear_staged(spark: SparkSession, since: int = 0, but_last: bool = False) -> None:
+    """Delete the tables staged so far (from number ``since`` on, perhaps all but the last), once results that read them are written."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+    gone = _STAGED[since : len(_STAGED) - but_last]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+        _STAGED.remove(name)
 
 
 def importable(spark: SparkSession) -> None:
