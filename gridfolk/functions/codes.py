@@ -9,11 +9,6 @@ from pyspark.sql import functions as F
 AGE_BANDS = ((18, "0-17"), (30, "18-29"), (45, "30-44"), (65, "45-64"), (1000, "65+"))
 
 
-def code_label(labels: Column, code: Column) -> Column:
-    """The registry's label of a code, else the code as text (null code: null)."""
-    return F.coalesce(F.try_element_at(labels, code), code.cast("string"))
-
-
 def registry_map(text: Column) -> Column:
     """``key:code,key:code`` to a map from code to key; pairs without a code are dropped."""
     pairs = F.transform(F.split(text, ","), lambda p: F.split(p, ":"))

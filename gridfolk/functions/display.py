@@ -32,14 +32,32 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(F.coalesce(whole, F.lit(0)) == 0, "0%").when(share >= 0.1, F.format_string("%.0f%%", 100 * share)).otherwise(F.format_string("%.1f%%", 100 * share))
 
 
-def number(value: Column) -> Column:
-    """A number; 0 for what is none."""
-    return F.coalesce(value.try_cast("double"), F.lit(0.0))
+def number(text: Column) -> Column:
+    """The number in a text; 0 for what is none, or isn't finite."""
+    n = text.try_cast("double")
+    return F.when(F.abs(n) < float("inf"), n).otherwise(0.0)
 
 
-def identifier(value: Column) -> Column:
-    """An id; -1 for what is none."""
-    return F.coalesce(value.try_cast("long"), F.lit(-1))
+def identifier(text: Column) -> Column:
+    """The id in a text; -1 for null, 0 for what is no number."""
+    return F.when(text.isNull(), -1).otherwise(number(text)).cast("long")
+
+
+def cell_number(n: Column) -> Column:
+    """Whole numbers with thousands apart, others to two places; null as a dash."""
+    short = F.regexp_replace(F.format_string("%.2f", n), "\\.?0+$", "")
+    return F.when(n.isNull(), EMPTY).when(n == F.floor(n), F.format_number(n, 0)).otherwise(short)
+
+
+def cell_text(text: Column) -> Column:
+    """The text; null and empty as a dash."""
+    return F.coalesce(F.nullif(text, F.lit("")), F.lit(EMPTY))
+
+
+def cell_list(values: Column) -> Column:
+    """The values with commas between (null: nothing there); null and empty lists as a dash."""
+    texts = F.transform(values, lambda v: F.coalesce(v.cast("string"), F.lit("")))
+    return F.when(F.size(values) > 0, F.array_join(texts, ", ")).otherwise(EMPTY)
 
 
 def human_number(text: Column) -> Column:

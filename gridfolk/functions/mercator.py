@@ -7,9 +7,9 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Units along a tile's side.
+#: Units along a tile's side.
 EXTENT = 4096
-#: Zoom at which each density resolution is drawn.
+#: Zoom at which each density resolution is drawn.
 ZOOM_OF = {3: 4, 5: 7, 7: 10, 9: 13}
 
 

@@ -21,10 +21,6 @@ def geo_closure(geo_units: DataFrame) -> DataFrame:
     return out.select("geo_id", "level", "ancestor_id")
 
 
-def children(geo_units: DataFrame, parent_id: int) -> DataFrame:
-    return geo_units.filter(F.col("parent_id") == parent_id)
-
-
 def children_by_people(geo_units: DataFrame, panel: DataFrame) -> DataFrame:
     """Every unit under its parent, with its people (0 without any): sort by parent, people falling, id to list siblings."""
     people = panel.select(F.col("geo_id").alias("_id"), "people")

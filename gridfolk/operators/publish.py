@@ -8,6 +8,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.codes import cleaned
 from ..sources.files import boundary_levels, read_features
 from ..sources.world import World, describe
 from .density import density_pyramid, finest_density, weighted_points
@@ -155,5 +156,5 @@ def build(spark: SparkSession, world: World, out: str, sources: list[str] | None
 
 def records(rows: DataFrame) -> DataFrame:
     """Rows as JSON texts; NaN becomes null."""
-    clean = {f.name: F.when(~F.isnan(f"`{f.name}`"), F.col(f"`{f.name}`")) for f in rows.schema if f.dataType.typeName() in ("float", "double")}
+    clean = {f.name: cleaned(F.col(f"`{f.name}`")) for f in rows.schema if f.dataType.typeName() in ("float", "double")}
     return rows.withColumns(clean).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record"))

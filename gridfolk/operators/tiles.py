@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hexgrid import RESOLUTIONS, centre, ring
-from ..functions.mercator import EXTENT, ZOOM_OF, tile_id, world_y
+from ..functions.mercator import EXTENT, ZOOM_OF, tile_id, tile_lat, tile_lon, world_y
 
 #: Zooms at which lines are cut, one by one, so that no zoom between is blank.
 LINE_ZOOMS = (5, 12)
@@ -97,6 +97,12 @@ def tile_index(tiles: DataFrame) -> DataFrame:
     return counts.select(tile_id(F.col("z"), F.col("x"), F.col("y")).alias("tile_id"), "z", "x", "y", "n_features")
 
 
+def tile_corners(index: DataFrame) -> DataFrame:
+    """The index with the tile's sides: west, south, east, north."""
+    z, x, y = F.col("z"), F.col("x"), F.col("y")
+    return index.withColumns({"west": tile_lon(x, z), "south": tile_lat(y + 1, z), "east": tile_lon(x + 1, z), "north": tile_lat(y, z)})
+
+
 def clustered(index: DataFrame) -> DataFrame:
     """In the order of tile ids, for writing: neighbours on the map are neighbours in the files."""
     return index.repartitionByRange("tile_id").sortWithinPartitions("tile_id")

@@ -10,7 +10,9 @@ from ..functions.display import compact, human_number, humanize, percent, relabe
 from ..operators import density, geo, inspect, match, panel, profile, publish, replicate, tiles, transit
 from ..sources.star import star_world
 from ..sources.world import World, describe
-from .star_sql import ORACLES
+from .details import ODD_QUERIES, TABLE_QUERIES, WORLD_QUERIES, odd_world
+from .details_sql import DETAIL_ORACLES
+from .star_sql import ORACLES as STAR_ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -109,8 +111,9 @@ def _csr_expand(w: World) -> DataFrame:
 def _json_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     listed = F.concat(F.lit("["), (F.col("user_id") % 5).cast("string"), F.lit(","), (F.col("event_id") % 7).cast("string"), F.lit("]"))
-    parts = [profile.json_array_typing(df.select(F.col(c).alias("v")), "v").withColumn("source", F.lit(c)) for c, df in (("props", events), ("made", events.withColumn("made", listed)))]
-    return parts[0].unionByName(parts[1])
+    mixed = F.when(F.col("event_id") % 100 == 0, '["x"]').when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit("]")))
+    parts = [profile.json_array_typing(events.select(v.alias("v")), "v").withColumn("source", F.lit(c)) for c, v in (("props", F.col("props")), ("made", listed), ("mixed", mixed))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def _tile_ids(w: World) -> DataFrame:
@@ -209,8 +212,11 @@ _WORLD = {
 }
 
 
-def _on_world(query):
-    return lambda spark, sf_dir: query(star_world(spark, sf_dir))
+def _on_world(query, change=lambda w: w):
+    return lambda spark, sf_dir: query(change(star_world(spark, sf_dir)))
 
 
-QUERIES = {name: _on_world(query) for name, query in _WORLD.items()} | {"json_array_typing": _json_typing, "format_numbers": _numbers}
+QUERIES = {name: _on_world(query) for name, query in (_WORLD | WORLD_QUERIES).items()}
+QUERIES |= {name: _on_world(query, odd_world) for name, query in ODD_QUERIES.items()}
+QUERIES |= {"json_array_typing": _json_typing, "format_numbers": _numbers} | TABLE_QUERIES
+ORACLES = STAR_ORACLES | DETAIL_ORACLES

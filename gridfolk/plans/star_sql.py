@@ -76,7 +76,7 @@ def _long(family: str) -> str:
     return q(f"select * from long where family = '{family}'", _LONG)
 
 
-def _plane(lat: str, lon: str) -> tuple[str, str]:
+def plane(lat: str, lon: str) -> tuple[str, str]:
     s = f"greatest(-0.9999, least(0.9999, sin(radians({lat}))))"
     return f"(({lon} + 180.0) / 360.0)", f"(0.5 - ln((1 + {s}) / (1 - {s})) / {4 * math.pi!r})"
 
@@ -99,13 +99,13 @@ def _parent(coarser: int) -> str:
     return _rounded(f"(q / {times})", f"(r / {times})")
 
 
-def _centre(res: int) -> tuple[str, str]:
+def centre(res: int) -> tuple[str, str]:
     size = edge(res)
     return f"({size!r} * ({ROOT3!r} * q + {ROOT3 / 2!r} * r))", f"({size * 1.5!r} * r)"
 
 
-_X, _Y = _plane("lat::double", "lon::double")
-_FINEST = f""",
+_X, _Y = plane("lat::double", "lon::double")
+FINEST = f""",
 points as (
   select 'people' as layer, g.lat, g.lon, count(*) as weight from population p join geo_units g on g.geo_id = p.geo_unit_id group by all
   union all select 'venues', coalesce(v.lat, g.lat), coalesce(v.lon, g.lon), 1 from venues v left join geo_units g on g.geo_id = v.geo_unit_id),
@@ -114,9 +114,9 @@ finest as (select layer, q, r, sum(weight)::bigint as count from (select layer,
 pyramid as (
   select layer, {RESOLUTIONS[-1]} as res, q, r, count from finest
   {" ".join(f"union all select layer, {res}, q, r, sum(count)::bigint from (select layer, count, {_parent(res)} from finest) group by all" for res in RESOLUTIONS[:-1])})"""
-_TILES = f""",
-tiles as ({" union all ".join(f"select {ZOOM_OF[res]} as z, floor({_centre(res)[0]} * {2 ** ZOOM_OF[res]})::bigint as x, floor({_centre(res)[1]} * {2 ** ZOOM_OF[res]})::bigint as y, layer, res, q, r, count from pyramid where res = {res}" for res in RESOLUTIONS)})"""
-_HILBERT = """,
+TILES = f""",
+tiles as ({" union all ".join(f"select {ZOOM_OF[res]} as z, floor({centre(res)[0]} * {2 ** ZOOM_OF[res]})::bigint as x, floor({centre(res)[1]} * {2 ** ZOOM_OF[res]})::bigint as y, layer, res, q, r, count from pyramid where res = {res}" for res in RESOLUTIONS)})"""
+HILBERT = """,
 recursive_tiles as (select distinct z, x, y from tiles),
 turns as (
   select z, x, y, z::integer as k, x as tx, y as ty, ((pow(4, z)::bigint - 1) // 3)::bigint as d from recursive_tiles
@@ -129,7 +129,7 @@ turns as (
 
 
 def _tile_y(lat: str, z: str) -> str:
-    return f"floor({_plane(lat, '0.0')[1]} * pow(2, {z}) * {EXTENT} / {EXTENT})::bigint"
+    return f"floor({plane(lat, '0.0')[1]} * pow(2, {z}) * {EXTENT} / {EXTENT})::bigint"
 
 
 _COVER = """,
@@ -141,7 +141,7 @@ def _cover(z: int) -> str:
     return _COVER.format(z=z, top=_tile_y("maxy", "z"), bottom=_tile_y("miny", "z"))
 
 
-_REPLICAS = """,
+REPLICAS = """,
 facts as (select greatest(1, ceil((2.0 * n + 1) / n))::bigint as k, people, places, units from (select count(*) as n, max(person_id) + 1 as people from population), (select max(venue_id) + 1 as places from venues), (select max(geo_id) + 1 as units from geo_units)),
 rep as (select unnest(range(0, k)) as rep, people, places, units from facts)"""
 _JOURNEY = "select person_id, string_agg(unit::varchar, ',' order by i) as units from path group by 1"
@@ -154,7 +154,7 @@ feature_keys as (select *, 0 as s, lower(value) as key from feature_values union
 cand as (select level, pp, prop, u.s, strategy, count(*) as matched from unit_keys u join (select distinct pp, prop, s, key from feature_keys) f on f.s = u.s and f.key = u.key group by all),
 best as (select * from (select *, row_number() over (partition by level order by matched desc, pp, s) as n from cand) where n = 1)"""
 _ACTIVITY = "a.activity, a.venue_id, coalesce(v.geo_unit_id, -1) as venue_geo_unit, coalesce(t.label, '') as venue_type, coalesce(v.name, '') as venue_name from activities a left join venues v on v.venue_id = a.venue_id left join types t on t.code = v.type_code"
-_SEX = "case sex_code when 0 then 'male' else 'female' end as sex"
+SEX = "case sex_code when 0 then 'male' else 'female' end as sex"
 
 ORACLES = {
     "geo_closure": q("select geo_id, level, ancestor_id from closure"),
@@ -172,15 +172,15 @@ ORACLES = {
     "panel_extents": q("select p.geo_id, people, cx, cy, minx, miny, maxx, maxy from people p left join extents e on e.geo_id = p.geo_id where level = 1", _PEOPLE),
     "property_profile": q("select 'mktsegment' as property, count(distinct mktsegment) as n_distinct, false as has_json, count(distinct mktsegment) <= least(64, greatest(8, least(count(*), 4000) // 4)) as usable from population union all select 'balance_band', count(distinct balance_band), false, count(distinct balance_band) <= least(64, greatest(8, least(count(*), 4000) // 4)) from population"),
     "world_schema": q("select 'region,nation,segment' as geo_levels, 'mktsegment,balance_band' as properties, 't_alight_min,value' as leg_fields, true as has_coordinates, (select count(*) from population) as people"),
-    "people_view_json": q(f"select person_id, {_SEX}, balance_band, (case when person_id % 3 = 0 then 0 else 2 end)::integer as n_tags, (case when person_id % 3 = 0 then 0 else person_id % 5 + person_id % 7 end)::bigint as tag_sum, 'a' || person_id % 4 as names from population"),
-    "people_view": q(f"select person_id, geo_unit_id, age, {_SEX}, mktsegment, balance_band from population"),
+    "people_view_json": q(f"select person_id, {SEX}, balance_band, (case when person_id % 3 = 0 then 0 else 2 end)::integer as n_tags, (case when person_id % 3 = 0 then 0 else person_id % 5 + person_id % 7 end)::bigint as tag_sum, 'a' || person_id % 4 as names from population"),
+    "people_view": q(f"select person_id, geo_unit_id, age, {SEX}, mktsegment, balance_band from population"),
     "venues_view": q("select venue_id, geo_unit_id, label as type, name, parent_id, is_residence, round(coalesce(lat, -999)::double, 3) as lat, round(coalesce(lon, -999)::double, 3) as lon from venues join types on code = type_code"),
     "members_view": q("select m.venue_id, m.geo_unit_id, subset_index, subset, m.person_id, coalesce(p.geo_unit_id, -1) as home_geo_unit from members m left join population p on p.person_id = m.person_id"),
     "members_without_homes": q("select -1 as home_geo_unit, count(*) as n from members"),
     "activities_view": q(f"select a.person_id, a.geo_unit_id, {_ACTIVITY}"),
-    "people_by_ids": q(f"select person_id, geo_unit_id, age, {_SEX}, mktsegment, balance_band from population where person_id % 3 = 0"),
+    "people_by_ids": q(f"select person_id, geo_unit_id, age, {SEX}, mktsegment, balance_band from population where person_id % 3 = 0"),
     "activities_by_ids": q(f"select a.person_id, {_ACTIVITY} where a.person_id % 3 = 0"),
-    "venue_member_attributes": q(f"select m.venue_id, subset_index, m.person_id, p.geo_unit_id as home_geo_unit, age, {_SEX}, mktsegment, balance_band from members m left join population p on p.person_id = m.person_id"),
+    "venue_member_attributes": q(f"select m.venue_id, subset_index, m.person_id, p.geo_unit_id as home_geo_unit, age, {SEX}, mktsegment, balance_band from members m left join population p on p.person_id = m.person_id"),
     "unit_presence": q("select geo_unit_id, count(*) as rows from activities group by 1"),
     "peak_unit_rows": q("select 'population' as container, max(n) as peak from (select count(*) as n from population group by geo_unit_id) union all select 'venues', max(n) from (select count(*) as n from venues group by geo_unit_id) union all select 'subsets', max(n) from (select count(distinct (venue_id, subset_index)) as n from members group by geo_unit_id) union all select 'activities', max(n) from (select count(*) as n from activities group by geo_unit_id)"),
     "csr_offsets": q("select venue_id, n, venue_id % 4 as kind, coalesce(sum(n) over (o rows between unbounded preceding and 1 preceding), 0)::bigint as \"offset\", sum(n) over (o rows between unbounded preceding and current row)::bigint as block_end from (select venue_id, count(*) as n from members group by 1) window o as (partition by venue_id % 4 order by venue_id)"),
@@ -197,16 +197,16 @@ ORACLES = {
     "boundary_tiles": q("select 1 as level, geo_id, z, x, y from cover", _cover(8)),
     "tile_cover": q("select geo_id, z, x, y from cover", _cover(9)),
     "zoom_bands": q("select level, bake_zoom, case when r = 0 then 0 else bake_zoom end as min_zoom, case when nxt is null then 22 else greatest(bake_zoom, nxt - 1) end as max_zoom from (select *, lead(bake_zoom) over (order by level) as nxt from (select level, r, round_even(3 + 9.0 * r / greatest(1, n - 1), 0)::integer as bake_zoom from (select level, row_number() over (order by level) - 1 as r, count(*) over () as n from (select distinct level from geo_units))))"),
-    "density_finest": q("select * from finest", _FINEST), "density_pyramid": q("select * from pyramid", _FINEST),
-    "density_color_stops": q("select layer, res, largest, array_to_string(list_transform(range(0, 6), lambda i: greatest(1, floor(pow(largest, i / 5.0) + 0.5)::bigint)::varchar), ',') as stops from (select layer, res, max(count) as largest from pyramid group by all)", _FINEST),
-    "tile_assign": q("select * from tiles", _FINEST + _TILES),
-    "tile_features": q("select z, x, y, layer, count(*) as n, sum(count)::bigint as people from tiles group by all", _FINEST + _TILES),
-    "tile_hilbert_index": q("select t.d as tile_id, t.z, t.x, t.y, n.n as n_features from turns t join (select z, x, y, count(*) as n from tiles group by all) n on n.z = t.z and n.x = t.x and n.y = t.y where t.k = 0", _FINEST + _TILES + _HILBERT).replace("with ", "with recursive ", 1),
-    "tile_stats": q("select count(distinct (z, x, y)) as tiles, count(*) as features, min(z) as min_zoom, max(z) as max_zoom, count(distinct layer) as layers from tiles", _FINEST + _TILES),
+    "density_finest": q("select * from finest", FINEST), "density_pyramid": q("select * from pyramid", FINEST),
+    "density_color_stops": q("select layer, res, largest, array_to_string(list_transform(range(0, 6), lambda i: greatest(1, floor(pow(largest, i / 5.0) + 0.5)::bigint)::varchar), ',') as stops from (select layer, res, max(count) as largest from pyramid group by all)", FINEST),
+    "tile_assign": q("select * from tiles", FINEST + TILES),
+    "tile_features": q("select z, x, y, layer, count(*) as n, sum(count)::bigint as people from tiles group by all", FINEST + TILES),
+    "tile_hilbert_index": q("select t.d as tile_id, t.z, t.x, t.y, n.n as n_features from turns t join (select z, x, y, count(*) as n from tiles group by all) n on n.z = t.z and n.x = t.x and n.y = t.y where t.k = 0", FINEST + TILES + HILBERT).replace("with ", "with recursive ", 1),
+    "tile_stats": q("select count(distinct (z, x, y)) as tiles, count(*) as features, min(z) as min_zoom, max(z) as max_zoom, count(distinct layer) as layers from tiles", FINEST + TILES),
     "line_venues": q("select * from lines"), "line_geometry": q("select line_id, position, node, lon, lat from stops"),
     "line_rider_counts": q("select * from counted"),
     "lines_in_world": q("select line_id, venue_id, mode, rider_count, 4 as n_stops from counted"),
-    "line_lengths": q(f"select line_id, count(dx) as pieces, round(sum(sqrt(dx * dx + dy * dy)), 6) as length from (select line_id, x - lag(x) over o as dx, y - lag(y) over o as dy from (select line_id, position, {_plane('lat', 'lon')[0]} * {EXTENT} as x, {_plane('lat', 'lon')[1]} * {EXTENT} as y from stops) window o as (partition by line_id order by position)) group by 1"),
+    "line_lengths": q(f"select line_id, count(dx) as pieces, round(sum(sqrt(dx * dx + dy * dy)), 6) as length from (select line_id, x - lag(x) over o as dx, y - lag(y) over o as dy from (select line_id, position, {plane('lat', 'lon')[0]} * {EXTENT} as x, {plane('lat', 'lon')[1]} * {EXTENT} as y from stops) window o as (partition by line_id order by position)) group by 1"),
     "top_lines": q("select venue_id, line_id, mode, rider_count from counted order by rider_count desc, venue_id limit 3"),
     "sample_riders": q("select t.venue_id, line_id, rider_count, min(r.person_id) as person_id, arg_min(c.legs, r.person_id) as legs from (select * from counted order by rider_count desc, venue_id limit 3) t join riders r on r.venue_id = t.venue_id join (select person_id, count(*) as legs from chains group by 1 having count(*) >= 2) c on c.person_id = r.person_id group by 1, 2, 3"),
     "shared_riders": q("select person_id from riders where venue_id in (2, 3) group by 1 having count(distinct venue_id) = 2"),
@@ -215,13 +215,13 @@ ORACLES = {
     "journey_units": q(_JOURNEY),
     "journey_points": q("select person_id, step, geo_id, name, case when step = 0 then 'start' when step = n - 1 then 'end' else 'via' end as role from (select person_id, (row_number() over (partition by person_id order by i) - 1)::integer as step, unit as geo_id, name, count(*) over (partition by person_id) as n from path join geo_units g on g.geo_id = unit) where n >= 2"),
     "transit_summary": q("select count(*) as lines, count(*) filter (where mode = 'train') as train, count(*) filter (where mode = 'tube') as tube, (select count(*) from riders) as memberships, (select count(distinct person_id) from chains) as riders_with_chains from lines"),
-    "replicate_population": q("select person_id + rep * people as person_id, geo_unit_id + rep * units as geo_unit_id, sex_code, mktsegment from population, rep", _REPLICAS),
-    "replicate_ranks": q("select venue_id + rep * places as venue_id, geo_unit_id + rep * units as geo_unit_id, type_code, parent_id, rank_in_type + rep * count(*) over (partition by type_code, rep) as rank_in_type from venues, rep", _REPLICAS),
-    "replicate_units": q("select geo_id + rep * units as geo_id, level, case when parent_id < 0 then parent_id else parent_id + rep * units end as parent_id, lower(name) as name from geo_units, rep", _REPLICAS),
+    "replicate_population": q("select person_id + rep * people as person_id, geo_unit_id + rep * units as geo_unit_id, sex_code, mktsegment from population, rep", REPLICAS),
+    "replicate_ranks": q("select venue_id + rep * places as venue_id, geo_unit_id + rep * units as geo_unit_id, type_code, parent_id, rank_in_type + rep * count(*) over (partition by type_code, rep) as rank_in_type from venues, rep", REPLICAS),
+    "replicate_units": q("select geo_id + rep * units as geo_id, level, case when parent_id < 0 then parent_id else parent_id + rep * units end as parent_id, lower(name) as name from geo_units, rep", REPLICAS),
     "relabel_codes": q("select person_id, case mktsegment when 'AUTOMOBILE' then 'Cars' else mktsegment end as segment from population"),
     "humanize_tokens": q("select geo_id, array_to_string(list_transform(regexp_extract_all(replace(lower(name), '_', ' '), '[a-z0-9]+|[^a-z0-9]+'), lambda w: upper(w[1]) || w[2:]), '') as name, lower(name) as code_key, regexp_replace(lower(name), '[^0-9a-z]+', '', 'g') as name_key from geo_units"),
     "page_riders": q("select venue_id, person_id from (select *, row_number() over (partition by venue_id order by person_id) - 1 as n, (count(*) over (partition by venue_id) - 1) // 80 as last from riders) where n // 80 = least(1, last)"),
     "manifest_summary": q("select 'units' as section, ['region', 'nation', 'segment'][level + 1] as name, count(*) as value from geo_units group by all union all select 'peak', 'population', max(n) from (select count(*) as n from population group by geo_unit_id) union all select 'peak', 'venues', max(n) from (select count(*) as n from venues group by geo_unit_id) union all select 'peak', 'subsets', max(n) from (select count(distinct (venue_id, subset_index)) as n from members group by geo_unit_id) union all select 'peak', 'activities', max(n) from (select count(*) as n from activities group by geo_unit_id)"),
-    "json_array_typing": "select 'props' as source, count(*) as n_rows, 0 as n_arrays, false as all_whole from events union all select 'made', count(*), count(*), true from events",
+    "json_array_typing": "select source, count(*) as n_rows, count(*) filter (where v like '[%') as n_arrays, coalesce(bool_and(regexp_full_match(v, '\\[(-?[0-9]+(,-?[0-9]+)*)?\\]')) filter (where v like '[%'), false) as all_whole from (select 'props' as source, props as v from events union all select 'made', '[' || user_id % 5 || ',' || event_id % 7 || ']' from events union all select 'mixed', case when event_id % 100 = 0 then '[\"x\"]' when event_id % 3 = 0 then '' else '[' || event_id || ']' end from events) group by 1",
     "format_numbers": "select o_custkey, case when t >= 1e9 then printf(case when t >= 1e10 then '%.0fB' else '%.1fB' end, t / 1e9) when t >= 1e6 then printf(case when t >= 1e7 then '%.0fM' else '%.1fM' end, t / 1e6) when t >= 1e3 then printf(case when t >= 1e4 then '%.0fk' else '%.1fk' end, t / 1e3) else t::bigint::varchar end as short, printf(case when n / 20 >= 0.1 then '%.0f%%' else '%.1f%%' end, 100.0 * n / 20) as pct, n * 1000 as human from (select o_custkey, round(sum(o_totalprice), 0) as t, count(*) as n from orders group by 1)",
 }

@@ -73,10 +73,6 @@ def describe(world: World) -> DataFrame:
     return listed.withColumns({"properties": names(world.properties()), "relations": names(world.relations()), "leg_fields": names(fields), "has_coordinates": F.lit(world.has_coordinates())})
 
 
-def unit_rows(table: DataFrame, unit: int) -> DataFrame:
-    """One unit's rows; on a table written by unit only its row groups are read."""
-    return table.filter(F.col("geo_unit_id") == unit)
-
-
 def units_rows(table: DataFrame, units: list[int]) -> DataFrame:
+    """The rows of some units; on a table written by unit only their row groups are read."""
     return table.filter(F.col("geo_unit_id").isin(units))
