@@ -1,7 +1,7 @@
 """SQL for DuckDB that gives the rows of the queries, where SQL can.
 
-op4, op9 and op10 need CRC-32 and tokenizers, and op8 is approximate; tests
-hold them against brute force instead.
+op4, op9, op10 and op11 need CRC-32 of whole texts or tokenizers, and op8 is
+approximate; tests hold them against brute force instead.
 """
 
 from __future__ import annotations
@@ -156,6 +156,45 @@ select d.doc_id, case when len(l) > 0 then md5(array_to_string(l, ' ')) end as t
 from d left join known k on len(l) > 0 and k.digest = md5(array_to_string(l, ' ')) left join lines s on s.doc_id = d.doc_id
 """
 
+OP12 = """
+with r as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor, b.vec_id as id, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score
+  from r a join r b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where a.vec_id % 50 = 0),
+p as (select * from s where same qualify row_number() over (partition by anchor order by score desc, id) <= 5),
+n as (select p.anchor, p.id as positive, p.score as positive_score, s.id, s.score, row_number() over (partition by p.anchor, p.id order by s.score desc, s.id) as rank
+  from p join s on s.anchor = p.anchor and not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score)
+select anchor as anchor_id, positive as positive_id, rank::integer as rank, id as negative_id, positive_score, score as negative_score from n where rank <= 3
+"""
+
+# CRC-32 by its table of 256 steps of eight bits, over the digits of the ids.
+OP13 = """
+with recursive bits(n, k, c) as (select range, 0, range from range(256) union all select n, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where k < 8),
+steps as (select n, c from bits where k = 8),
+ids as (select distinct conv_id, conv_id::varchar as s from conversations where conv_id is not null),
+crc(conv_id, s, i, c) as (select conv_id, s, 1, 4294967295::bigint from ids
+  union all select conv_id, s, i + 1, xor(crc.c >> 8, steps.c) from crc join steps on steps.n = xor(crc.c, ascii(substr(s, i, 1))) & 255 where i <= length(s)),
+taken as (select conv_id, conv_id - conv_id % 20 as base, case when conv_id % 20 = 0 then 0 else xor(c, 4294967295) % 4 end as h from crc where i > length(s)),
+t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+turns as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(length(role) || ':' || role || ':' || text)) - 1 as pos from t),
+own as (select conv_id, count(*) as n from turns group by conv_id),
+places as (
+  select t.conv_id, least(h, coalesce(b.n, 0)) + pos - h as place, role, text from turns t join taken using (conv_id) left join own b on b.conv_id = taken.base where pos >= h
+  union all select taken.conv_id, pos, role, text from taken join turns t on t.conv_id = taken.base and pos < h),
+paths as (select conv_id, place + 1 as depth, len(regexp_extract_all(text, '[^ \\t\\n\\x0b\\f\\r]+')) as words, list({'r': role, 't': text}) over (partition by conv_id order by place) as path from places
+  union all select conv_id, 0, 0, [] from ids),
+nodes as (select depth, path, min(conv_id) as conv, count(*) as n, any_value(words) as words from paths group by depth, path),
+held as (select paths.conv_id, depth, conv from paths join nodes using (depth, path)),
+ends as (select conv_id, max(depth) as depth from paths group by conv_id),
+lists as (select conv, depth, string_agg(conv_id::varchar, ',' order by conv_id) as list from ends join held using (conv_id, depth) group by conv, depth),
+named as (select n.conv, n.depth, n.n, n.words, h.conv as parent from nodes n left join held h on h.conv_id = n.conv and h.depth = n.depth - 1),
+kids as (select parent, depth - 1 as depth, count(*) as n from named where parent is not null group by all),
+plain as (select d.conv, d.depth, d.n, d.words, d.parent, coalesce(k.n, 0) as kids from named d left join kids k on k.parent = d.conv and k.depth = d.depth),
+sums as (select a.conv, a.depth, sum((p.kids = 0)::bigint) as leaves, sum((p.n - 1) * p.words) as saved from plain p join held a on a.conv_id = p.conv and a.depth <= p.depth group by a.conv, a.depth)
+select p.conv as conv_id, p.depth::bigint as depth, p.parent as parent_conv_id, p.n as n_convs, p.kids as n_children, leaves::bigint as n_leaves, saved::bigint as saved_tokens, sha256(coalesce(list, '')) as ends_sha256
+from plain p join sums using (conv, depth) left join lists using (conv, depth)
+"""
+
 ORACLES = {
     "op1_mix_sources": OP1,
     "op2_near_duplicates": OP2,
@@ -163,4 +202,6 @@ ORACLES = {
     "op5_line_dedup": OP5,
     "op6_quality_rules": OP6,
     "op7_licence_scan": OP7,
+    "op12_hard_negatives": OP12,
+    "op13_prefix_trie": OP13,
 }

@@ -10,10 +10,13 @@ from .licenses import scan_licences
 from .linededup import delete_repeated_lines
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .negatives import hard_negatives
 from .packing import pack_documents
 from .quality import judge_quality
 from .sharding import shard_documents
+from .squares import pack_windows
 from .tokenids import token_files
+from .trie import prefix_trie, rebuilt
 from .urlrules import judge_urls
 
 
@@ -64,10 +67,25 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
+def op11_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_windows(table(spark, sf_dir, "documents"), capacity=4096, end_id=2)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors, vectors.filter("vec_id % 50 = 0"), label=label)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*rebuilt(table(spark, sf_dir, "conversations"), every=20, most=4))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_near_duplicates, op3_url_rules, op4_byte_shards, op5_line_dedup, op6_quality_rules,
-        op7_licence_scan, op8_nearest_vectors, op9_token_files, op10_best_fit_packing,
+        op7_licence_scan, op8_nearest_vectors, op9_token_files, op10_best_fit_packing, op11_window_packing, op12_hard_negatives,
+        op13_prefix_trie,
     )
 }
