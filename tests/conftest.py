@@ -40,7 +40,7 @@ def rows_of(frame):
             v = v.tolist()
         if isinstance(v, (list, tuple)):
             return str([text(x) for x in v])
-        if v is None or v != v:
+        if v is None or str(v) in ("<NA>", "nan"):
             return "~"
         return f"{v:.9f}".rstrip("0").rstrip(".") if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
