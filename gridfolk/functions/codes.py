@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,14 +26,33 @@ def age_band(age: Column) -> Column:
     return out.otherwise(AGE_BANDS[-1][1])
 
 
+@cache
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Unicode's full case folding: letters that become one letter, and those that become several."""
+    one, several = {}, {}
+    for letter in map(chr, range(0x110000)):
+        if (to := letter.casefold()) != letter:
+            (one if len(to) == 1 else several)[letter] = to
+    return one, several
+
+
+def folded(text: Column) -> Column:
+    """Full case folding, by which texts are equal whatever their case is: ß, ẞ and SS, ſ and s, σ and final ς, ﬁ and fi."""
+    one, several = _folds()
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in several.items()))
+    parted = F.when(text.rlike("[" + "".join(several) + "]"), F.aggregate(pairs, text, lambda t, p: F.replace(t, p["a"], p["b"]))).otherwise(text)
+    whole = F.translate(parted, "".join(one), "".join(one.values()))
+    return F.when(text.rlike("[^\\x00-\\x7f]"), whole).otherwise(F.lower(text))
+
+
 def norm_code(text: Column) -> Column:
-    """Trimmed, white space collapsed, lower case with ß as ss (other full case foldings differ)."""
-    return F.replace(F.lower(F.regexp_replace(F.regexp_replace(text, "^\\s+|\\s+$", ""), "\\s+", " ")), F.lit("ß"), F.lit("ss"))
+    """Trimmed, white space collapsed, case folded."""
+    return folded(F.regexp_replace(F.regexp_replace(text, "^\\s+|\\s+$", ""), "\\s+", " "))
 
 
 def norm_name(text: Column) -> Column:
-    """Lower case with ß as ss, then only 0-9 and a-z are left; accented letters go."""
-    return F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "[^0-9a-z]+", "")
+    """Case folded, then only 0-9 and a-z are left; accented letters go."""
+    return F.regexp_replace(folded(text), "[^0-9a-z]+", "")
 
 
 #: How keys of units and of boundary features are made alike.

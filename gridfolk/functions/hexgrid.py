@@ -42,15 +42,27 @@ def cell(x: Column, y: Column, res: int) -> tuple[Column, Column]:
     return rounded((ROOT3 / 3 * x - y / 3) / size, (2.0 / 3 * y) / size)
 
 
-def centre(q: Column, r: Column, res: int) -> tuple[Column, Column]:
-    size = edge(res)
+def by_resolution(res: Column, value) -> Column:
+    """What ``value`` gives for each resolution, chosen by a column."""
+    out = F
+    for each in RESOLUTIONS:
+        out = out.when(res == each, F.lit(value(each)))
+    return out
+
+
+def _edge(res: int | Column) -> float | Column:
+    return edge(res) if isinstance(res, int) else by_resolution(res, edge)
+
+
+def centre(q: Column, r: Column, res: int | Column) -> tuple[Column, Column]:
+    size = _edge(res)
     return size * (ROOT3 * q + ROOT3 / 2 * r), size * 1.5 * r
 
 
-def ring(q: Column, r: Column, res: int) -> Column:
+def ring(q: Column, r: Column, res: int | Column) -> Column:
     """The six corners on the plane."""
     x, y = centre(q, r, res)
-    at = [(edge(res) * math.cos(math.pi / 180 * (60 * k - 30)), edge(res) * math.sin(math.pi / 180 * (60 * k - 30))) for k in range(6)]
+    at = [(_edge(res) * math.cos(math.pi / 180 * (60 * k - 30)), _edge(res) * math.sin(math.pi / 180 * (60 * k - 30))) for k in range(6)]
     return F.array(*(F.struct((x + dx).alias("x"), (y + dy).alias("y")) for dx, dy in at))
 
 

@@ -29,12 +29,10 @@ def finest_density(points: DataFrame) -> DataFrame:
 
 
 def density_pyramid(finest: DataFrame, resolutions: tuple[int, ...] = RESOLUTIONS) -> DataFrame:
-    """layer, res, q, r, count: coarser cells are summed from the finest ones, never from rows again."""
-    out = finest.select("layer", F.lit(resolutions[-1]).alias("res"), "q", "r", "count")
-    for res in resolutions[:-1]:
-        q, r = parent(F.col("q"), F.col("r"), resolutions[-1], res)
-        out = out.unionByName(finest.groupBy("layer", q.alias("_q"), r.alias("_r")).agg(F.sum("count").alias("count")).select("layer", F.lit(res).alias("res"), F.col("_q").alias("q"), F.col("_r").alias("r"), "count"))
-    return out
+    """layer, res, q, r, count: coarser cells are summed from the finest ones, never from rows again, all in one go."""
+    cells = [(res, (F.col("q"), F.col("r")) if res == resolutions[-1] else parent(F.col("q"), F.col("r"), resolutions[-1], res)) for res in resolutions]
+    each = finest.select("layer", "count", F.inline(F.array(*(F.struct(F.lit(res).alias("res"), q.alias("q"), r.alias("r")) for res, (q, r) in cells))))
+    return each.groupBy("layer", "res", "q", "r").agg(F.sum("count").alias("count"))
 
 
 def density_stops(pyramid: DataFrame, n: int = 6) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import json_array
 from ..sources.world import BASE, World
-from .profile import json_array_typing
+from .prefix import running
+from .profile import json_array_typings
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, code: str, out: str) -> DataFrame:
@@ -19,9 +20,10 @@ def _labelled(rows: DataFrame, labels: DataFrame, code: str, out: str) -> DataFr
 def json_properties(world: World) -> dict[str, str]:
     """Properties of people that hold JSON arrays, and what their elements are: bigint if all are whole numbers, else string."""
     names = [f.name for f in world["population"].schema if f.name not in BASE["population"] and f.dataType.typeName() == "string"]
-    found = {n: json_array_typing(world["population"].select(n), n) for n in names}
-    typed = {n: t.first() for n, t in found.items()}  # one row of each
-    return {n: "bigint" if t["all_whole"] else "string" for n, t in typed.items() if t["n_arrays"]}
+    if not names:
+        return {}
+    typed = json_array_typings(world["population"], names).first().asDict()  # one row
+    return {n: "bigint" if typed[n]["all_whole"] else "string" for n in names if typed[n]["n_arrays"]}
 
 
 def people_view(world: World, arrays: dict[str, str] | None = None) -> DataFrame:
@@ -109,21 +111,16 @@ def peak_unit_rows(world: World, names: tuple[str, ...] = ("population", "venues
     return out
 
 
-def csr_offsets(counts: DataFrame, key: str, count: str, within: str, block: int = 1 << 17) -> DataFrame:
-    """Add exclusive ``offset`` and ``block_end`` (where the next begins) from counts in the order of the numeric key, within each group.
+def csr_offsets(counts: DataFrame, key: str, count: str, within: str, block: int | None = None) -> DataFrame:
+    """Add exclusive ``offset`` and ``block_end`` (where the next begins) from counts in the order of the key, within each group.
 
-    Keys are dealt to blocks of ``block`` numbers. A group's running sum over
-    the totals of its blocks is small, and the one over a block's rows is
-    bounded, however large the group is. Null counts add nothing.
+    See :func:`gridfolk.operators.prefix.running`: keys may be sparse or of
+    any type. ``block`` is about how many rows a task gets (by default Spark
+    decides). Null counts add nothing.
     """
-    rows = counts.withColumns({"_block": F.floor(F.col(key) / block), "_count": F.coalesce(F.col(count), F.lit(0))})
-    totals = rows.groupBy(within, "_block").agg(F.sum("_count").alias("_total"))
-    earlier = Window.partitionBy(within).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    begins = totals.select(F.col(within).alias("_group"), F.col("_block").alias("_of"), F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_begin"))
-    inside = Window.partitionBy(within, "_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_inside", F.coalesce(F.sum("_count").over(inside), F.lit(0)))
-    placed = placed.join(begins, F.col(within).eqNullSafe(F.col("_group")) & (F.col("_block") == F.col("_of"))).withColumn("offset", F.col("_begin") + F.col("_inside"))
-    return placed.withColumn("block_end", F.col("offset") + F.col("_count")).select(*counts.columns, "offset", "block_end")
+    ranges = -(-counts.count() // block) if block else None
+    placed = running(counts, count, [key], [within], ranges)
+    return placed.withColumn("block_end", F.col("offset") + F.coalesce(F.col(count), F.lit(0)))
 
 
 def csr_expand(segments: DataFrame, flat: DataFrame, keys: list[str]) -> DataFrame:

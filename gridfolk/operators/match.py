@@ -33,11 +33,6 @@ def candidates(geo_units: DataFrame, features: DataFrame) -> DataFrame:
     return units.join(known, ["strategy", "key"]).groupBy("level", "prop", "prop_pos", "strategy", "strategy_pos").agg(F.count("*").alias("matched"))
 
 
-def one_property(features: DataFrame, prop: str) -> DataFrame:
-    """The features with no other property than this."""
-    return features.withColumn("props", F.map_filter("props", lambda k, _: k == prop))
-
-
 def match_report(geo_units: DataFrame, features: DataFrame, strategy: str | None = None) -> DataFrame:
     """level, world_units, matched, strategy, prop, rate, flag: the best property and strategy (or the one given) of each level, the earliest of equals."""
     best = Window.partitionBy("level").orderBy(F.desc("matched"), "prop_pos", "strategy_pos")
@@ -97,29 +92,34 @@ def matched_features(geo_units: DataFrame, features: DataFrame, level: int, prop
 
 
 def rings(shapes: DataFrame) -> DataFrame:
-    """geo_id, ring (number in the unit's row) and points of polygons and multipolygons; other and broken geometry is skipped."""
+    """geo_id, part (polygon of the geometry), ring (of the polygon, 0 its shell) and points of polygons and multipolygons; other and broken geometry is skipped."""
     parsed = shapes.withColumn("_g", F.from_json("geometry", GEOMETRY))
-    polygon = F.from_json("_g.coordinates", "array<array<array<double>>>")
+    polygon = F.array(F.from_json("_g.coordinates", "array<array<array<double>>>"))
     many = F.from_json("_g.coordinates", "array<array<array<array<double>>>>")
-    listed = F.when(F.col("_g.type") == "Polygon", polygon).when(F.col("_g.type") == "MultiPolygon", F.flatten(many))
-    return parsed.select("geo_id", F.posexplode(listed).alias("ring", "points")).filter(F.size("points") >= 3)
+    parts = F.when(F.col("_g.type") == "Polygon", polygon).when(F.col("_g.type") == "MultiPolygon", many)
+    each = parsed.select("geo_id", F.posexplode(parts).alias("part", "_rings"))
+    return each.select("geo_id", "part", F.posexplode("_rings").alias("ring", "points")).filter(F.size("points") >= 3)
 
 
 def boundary_extents(shapes: DataFrame) -> DataFrame:
     """geo_id, cx, cy, minx, miny, maxx, maxy, rounded to six places.
 
-    The box is exact for several features of a unit; the centroid weighs
-    rings by their signed area, so it is exact where parts don't overlap and
-    holes turn the other way.
+    The first ring of a polygon adds its area and every later one, a hole,
+    takes its area away, whichever way they turn. The box is that of all
+    shells; the centroid is exact where parts and features don't overlap.
     """
     pairs = F.transform(F.sequence(F.lit(0), F.size("points") - 2), lambda i: F.struct(F.get("points", i).alias("a"), F.get("points", i + 1).alias("b")))
     cross = lambda p: F.get(p["a"], 0) * F.get(p["b"], 1) - F.get(p["b"], 0) * F.get(p["a"], 1)
     total = lambda f: F.aggregate(pairs, F.lit(0.0), lambda s, p: s + f(p))
     xs, ys = F.transform("points", lambda p: F.get(p, 0)), F.transform("points", lambda p: F.get(p, 1))
     each = rings(shapes).select(
-        "geo_id", total(cross).alias("a"), total(lambda p: cross(p) * (F.get(p["a"], 0) + F.get(p["b"], 0))).alias("x"), total(lambda p: cross(p) * (F.get(p["a"], 1) + F.get(p["b"], 1))).alias("y"),
+        "geo_id", "ring", total(cross).alias("a"), total(lambda p: cross(p) * (F.get(p["a"], 0) + F.get(p["b"], 0))).alias("x"), total(lambda p: cross(p) * (F.get(p["a"], 1) + F.get(p["b"], 1))).alias("y"),
         F.array_min(xs).alias("minx"), F.array_min(ys).alias("miny"), F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"),
     )
+    # The sign of the area says how a ring turns; its place says whether it adds or takes away.
+    role = F.signum("a") * F.when(F.col("ring") == 0, 1.0).otherwise(-1.0)
+    shell = lambda c: F.when(F.col("ring") == 0, F.col(c))
+    each = each.select("geo_id", *((role * F.col(c)).alias(c) for c in ("a", "x", "y")), *(shell(c).alias(c) for c in ("minx", "miny", "maxx", "maxy")))
     sums = each.groupBy("geo_id").agg(F.sum("a").alias("a"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"))
     middle = lambda v, lo, hi: F.when(F.col("a") != 0, F.col(v) / (3 * F.col("a"))).otherwise((F.col(lo) + F.col(hi)) / 2)
     out = {"cx": middle("x", "minx", "maxx"), "cy": middle("y", "miny", "maxy"), **{c: F.col(c) for c in ("minx", "miny", "maxx", "maxy")}}

@@ -39,22 +39,27 @@ def panel_people(world: World, closure: DataFrame) -> DataFrame:
     return sums.select("level", "geo_id", "people", mean_age(F.col("age_sum"), F.col("people")).alias("mean_age"), *(F.col(f"`{b}`") for b in bands))
 
 
-def sex_counts(world: World) -> DataFrame:
-    """People by unit and registered sex; codes without a label are dropped, without a registry all count as ``0``."""
-    labels = world.registry("sex")
-    if not labels.take(1):
-        return world["population"].groupBy("geo_unit_id").agg(F.count("*").alias("value")).withColumn("key", F.lit("0"))
-    counts = world["population"].groupBy("geo_unit_id", F.col("sex_code").alias("code")).agg(F.count("*").alias("value"))
-    return counts.join(F.broadcast(labels), "code").select("geo_unit_id", F.col("label").alias("key"), "value")
+def people_counts(world: World, sex: bool, properties: list[str]) -> DataFrame:
+    """People by unit, family and key: ``sex`` by registered label, ``p`` by property and value, all from one look at the people.
 
-
-def property_counts(world: World, properties: list[str]) -> DataFrame:
-    """People by unit, property and value (null and blank as ``(none)``)."""
-    if not properties:
-        return world["population"].select("geo_unit_id", F.lit("").alias("key"), F.lit(0).cast("long").alias("value")).limit(0)
-    long = world["population"].select("geo_unit_id", F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.col(f"`{p}`").alias("v")) for p in properties))).alias("_x"))
-    value = F.when(F.coalesce("_x.v", F.lit("")) == "", "(none)").otherwise(F.col("_x.v"))
-    return long.groupBy("geo_unit_id", F.concat(F.col("_x.p"), F.lit("="), value).alias("key")).agg(F.count("*").alias("value"))
+    Codes of sex without a label are dropped, without a registry all count as
+    ``0``; null and blank values count as ``(none)``.
+    """
+    rows, items = world["population"], []
+    if sex:
+        labels = world.registry("sex").select(F.col("code").alias("_code"), F.col("label").alias("_label"))
+        if labels.take(1):
+            rows = rows.join(F.broadcast(labels), F.col("sex_code") == F.col("_code"), "left")  # a row for each sex
+        else:
+            rows = rows.withColumn("_label", F.lit("0"))
+        items.append(("sex", F.col("_label")))
+    for p in properties:
+        value = F.col(f"`{p}`")
+        items.append(("p", F.concat(F.lit(f"{p}="), F.when(F.coalesce(value, F.lit("")) == "", "(none)").otherwise(value))))
+    if not items:
+        return rows.select("geo_unit_id", F.lit("").alias("family"), F.lit("").alias("key"), F.lit(0).cast("long").alias("value")).limit(0)
+    long = rows.select("geo_unit_id", F.inline(F.array(*(F.struct(F.lit(f).alias("family"), k.alias("key")) for f, k in items)))).filter("key is not null")
+    return long.groupBy("geo_unit_id", "family", "key").agg(F.count("*").alias("value"))
 
 
 def venue_counts(world: World) -> DataFrame:
@@ -75,15 +80,15 @@ def occupancy(world: World) -> DataFrame:
     return counts.join(venue_types(world), "venue_id").groupBy("geo_unit_id", F.col("label").alias("key")).agg(F.sum("value").alias("value"))
 
 
-FAMILIES = {"sex": sex_counts, "venues": venue_counts, "occ": occupancy}
+FAMILIES = {"venues": venue_counts, "occ": occupancy}
 
 
 def panel_long(world: World, closure: DataFrame, families: tuple[str, ...] = ("sex", "venues", "occ", "p"), properties: list[str] | None = None) -> DataFrame:
     """level, geo_id, family, key, value for every count that isn't 0. ``properties``: the categorical ones, if they are known."""
-    parts = []
-    for family in families:
-        leaf = property_counts(world, categorical_properties(world) if properties is None else properties) if family == "p" else FAMILIES[family](world)
-        parts.append(leaf.withColumn("family", F.lit(family)).select("geo_unit_id", "family", "key", "value"))
+    parts = [FAMILIES[f](world).select("geo_unit_id", F.lit(f).alias("family"), "key", "value") for f in families if f in FAMILIES]
+    if {"sex", "p"} & set(families):
+        named = [] if "p" not in families else categorical_properties(world) if properties is None else properties
+        parts.append(people_counts(world, "sex" in families, named))
     leaf = parts[0]
     for part in parts[1:]:
         leaf = leaf.unionByName(part)
@@ -93,7 +98,7 @@ def panel_long(world: World, closure: DataFrame, families: tuple[str, ...] = ("s
 def panel_names(world: World, properties: list[str]) -> list[str]:
     """The columns of a wide panel that count something, in order."""
     names = [*(f"sex:{v}" for v in world.labels_of("sex").values()), *(f"{f}:{v}" for f in ("venues", "occ") for v in world.labels_of("venue_types").values())]
-    names += sorted({f"p:{x['key']}" for x in property_counts(world, properties).select("key").distinct().collect()})  # at most 64 values of each property
+    names += sorted({f"p:{x['key']}" for x in people_counts(world, False, properties).select("key").distinct().collect()})  # at most 64 values of each property
     return names
 
 

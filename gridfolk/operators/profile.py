@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.world import World
@@ -29,13 +29,22 @@ def categorical_properties(world: World) -> list[str]:
     return sorted(x["property"] for x in property_profile(world["population"], names).filter("usable").collect()) if names else []
 
 
-def json_array_typing(rows: DataFrame, column: str) -> DataFrame:
-    """n_rows, n_arrays, all_whole: whether a column holds JSON arrays, and whether all elements are whole numbers."""
-    text = F.col(column)
+def _array_typing(text: Column) -> dict[str, Column]:
+    """Aggregates n_rows, n_arrays and all_whole of a text."""
     listed = text.rlike("^\\s*\\[")
     raw, whole = F.from_json(text, "array<string>"), F.from_json(text, "array<bigint>")
     fine = F.coalesce(F.forall(F.arrays_zip(raw.alias("a"), whole.alias("b")), lambda x: x["b"].isNotNull() & x["a"].rlike("^-?[0-9]+$")), F.size(raw) == 0, F.lit(False))
-    return rows.agg(F.count("*").alias("n_rows"), F.count_if(listed).alias("n_arrays"), F.coalesce(F.bool_and(F.when(listed, fine)), F.lit(False)).alias("all_whole"))
+    return {"n_rows": F.count("*"), "n_arrays": F.count_if(listed), "all_whole": F.coalesce(F.bool_and(F.when(listed, fine)), F.lit(False))}
+
+
+def json_array_typing(rows: DataFrame, column: str) -> DataFrame:
+    """n_rows, n_arrays, all_whole: whether a column holds JSON arrays, and whether all elements are whole numbers."""
+    return rows.agg(*(v.alias(k) for k, v in _array_typing(F.col(f"`{column}`")).items()))
+
+
+def json_array_typings(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row with the same for each column as a struct of the column's name: one look at the rows for all."""
+    return rows.agg(*(F.struct(*(v.alias(k) for k, v in _array_typing(F.col(f"`{c}`")).items())).alias(c) for c in columns))
 
 
 def whole_fields(rows: DataFrame, fields: list[str]) -> list[str]:

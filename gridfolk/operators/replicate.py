@@ -62,9 +62,9 @@ def replicate(world: World, target: int) -> World:
             changes |= moved
         rows = each_replica(table, k)
         if name == "venues":
-            counts = F.broadcast(table.groupBy("type_code").agg(F.count("*").alias("_type_n")))  # a row for each type
-            rows = rows.join(counts, "type_code")
-            changes["rank_in_type"] = F.col("rank_in_type") + F.col("_r") * F.col("_type_n")
+            counts = F.broadcast(table.filter("type_code is not null").groupBy("type_code").agg(F.count("*").alias("_type_n")))  # a row for each type
+            rows = rows.join(counts, "type_code", "left")
+            changes["rank_in_type"] = F.col("rank_in_type") + F.col("_r") * F.coalesce("_type_n", F.lit(0))  # no type, no rank to move
         if "row_pos" in table.columns:
             changes["row_pos"] = F.col("row_pos") + F.col("_r") * ((table.agg(F.max("row_pos")).first()[0] or 0) + 1)
         out[name] = rows.withColumns(changes).select(*table.columns)

@@ -5,25 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hexgrid import RESOLUTIONS, centre, ring
+from ..functions.hexgrid import RESOLUTIONS, by_resolution, centre, ring
 from ..functions.mercator import EXTENT, ZOOM_OF, tile_id, tile_lat, tile_lon, world_y
+from .prefix import running
 
 #: Zooms at which lines are cut, one by one, so that no zoom between is blank.
 LINE_ZOOMS = (5, 12)
+#: A view is made of squares of tiles; it is at most about so many squares wide and high.
+ACROSS = 16
 
 
 def hexagon_tiles(pyramid: DataFrame) -> DataFrame:
     """z, x, y, layer, res, q, r, count, ring: each cell in the tile of its centre, its corners in the tile's units."""
-    parts = None
-    for res in RESOLUTIONS:
-        z, q, r = ZOOM_OF[res], F.col("q"), F.col("r")
-        cx, cy = centre(q, r, res)
-        tile = lambda v, z=z: F.floor(v * 2**z).cast("long")
-        rows = pyramid.filter(F.col("res") == res).withColumn("z", F.lit(z)).withColumn("x", tile(cx)).withColumn("y", tile(cy))
-        unit = lambda v, t, z=z: F.rint(v * 2**z * EXTENT - F.col(t) * EXTENT).cast("long")
-        rows = rows.withColumn("ring", F.transform(ring(q, r, res), lambda p: F.struct(unit(p["x"], "x").alias("px"), unit(p["y"], "y").alias("py"))))
-        parts = rows if parts is None else parts.unionByName(rows)
-    return parts.select("z", "x", "y", "layer", "res", "q", "r", "count", "ring")
+    q, r, res = F.col("q"), F.col("r"), F.col("res")
+    side = by_resolution(res, lambda k: float(2 ** ZOOM_OF[k]))
+    cx, cy = centre(q, r, res)
+    rows = pyramid.filter(res.isin(*RESOLUTIONS)).withColumns({"z": by_resolution(res, lambda k: ZOOM_OF[k]), "x": F.floor(cx * side).cast("long"), "y": F.floor(cy * side).cast("long"), "_side": side})
+    unit = lambda v, t: F.rint(v * F.col("_side") * EXTENT - F.col(t) * EXTENT).cast("long")
+    corners = F.transform(ring(q, r, res), lambda p: F.struct(unit(p["x"], "x").alias("px"), unit(p["y"], "y").alias("py")))
+    return rows.select("z", "x", "y", "layer", "res", "q", "r", "count", corners.alias("ring"))
 
 
 def hexagon_features(tiles: DataFrame) -> DataFrame:
@@ -97,15 +97,86 @@ def tile_index(tiles: DataFrame) -> DataFrame:
     return counts.select(tile_id(F.col("z"), F.col("x"), F.col("y")).alias("tile_id"), "z", "x", "y", "n_features")
 
 
+def tile_directory(tiles: DataFrame) -> DataFrame:
+    """tile_id, z, x, y, offset and length: where each tile's features begin in a table in the order of tile ids, and how many they are."""
+    placed = running(tile_index(tiles), "n_features", ["tile_id"])
+    return placed.select("tile_id", "z", "x", "y", "offset", F.col("n_features").alias("length"))
+
+
+def with_tile_id(tiles: DataFrame) -> DataFrame:
+    return tiles.withColumn("tile_id", tile_id(F.col("z"), F.col("x"), F.col("y")))
+
+
+def views(boxes: DataFrame, zoom: int) -> DataFrame:
+    """Boxes (view, minx, miny, maxx, maxy) as windows of tiles at a zoom: view, z, x0, y0, x1, y1, clamped to the world."""
+    n = 1 << zoom
+    across = lambda lon: F.floor((F.col(lon) + 180.0) / 360.0 * n)
+    down = lambda lat: F.floor(world_y(F.col(lat), zoom) / EXTENT)
+    held = lambda v: F.greatest(F.lit(0), F.least(F.lit(n - 1), v)).cast("long")
+    return boxes.select("view", F.lit(zoom).alias("z"), held(across("minx")).alias("x0"), held(down("maxy")).alias("y0"), held(across("maxx")).alias("x1"), held(down("miny")).alias("y1"))
+
+
+def view_squares(windows: DataFrame) -> DataFrame:
+    """Each view's squares of tiles: ``depth``, ``sx``, ``sy``, and ``first`` and ``last`` tile id, which holds because a square of the curve is one stretch of it.
+
+    The side of the squares is a power of two that grows with the view, so a
+    view has few of them; those at its edge hold tiles outside it, too.
+    """
+    wide = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) + 1
+    less = F.greatest(F.lit(0), F.least(F.col("z"), F.ceil(F.log2(wide / ACROSS)).cast("int")))
+    rows = windows.withColumn("_less", less).withColumn("depth", F.col("z") - F.col("_less"))
+    side = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_less"))
+    rows = rows.withColumn("sx", F.explode(F.sequence(F.floor(F.col("x0") / side), F.floor(F.col("x1") / side))))
+    rows = rows.withColumn("sy", F.explode(F.sequence(F.floor(F.col("y0") / side), F.floor(F.col("y1") / side))))
+    before = lambda z: ((F.pow(F.lit(4.0), z).cast("long") - 1) / 3).cast("long")  # noqa: E731  tiles of all smaller zooms
+    place = tile_id(F.col("depth"), F.col("sx"), F.col("sy")) - before(F.col("depth"))
+    first = before(F.col("z")) + place * side * side
+    return rows.withColumn("first", first).withColumn("last", F.col("first") + side * side - 1).drop("_less")
+
+
+def view_ranges(squares: DataFrame) -> DataFrame:
+    """view, first, last: the stretches of tile ids that a view's squares make together."""
+    along = Window.partitionBy("view").orderBy("first")
+    fresh = F.coalesce(F.col("first") > F.lag("last").over(along) + 1, F.lit(True)).cast("int")
+    runs = squares.select("view", "first", "last").withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(along))
+    return runs.groupBy("view", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
+
+
+def in_view(tiles: DataFrame, window: DataFrame) -> DataFrame:
+    """The rows (z, x, y, tile_id) of one view: on a clustered table, only row groups of its stretches are read."""
+    ranges = view_ranges(view_squares(window)).select("first", "last").collect()  # few, as squares are few
+    at = window.first()
+    near = F.lit(False)
+    for first, last in ranges:
+        near |= F.col("tile_id").between(first, last)
+    return tiles.filter(near).filter((F.col("z") == at["z"]) & F.col("x").between(at["x0"], at["x1"]) & F.col("y").between(at["y0"], at["y1"]))
+
+
+def view_maximum(tiles: DataFrame, windows: DataFrame) -> DataFrame:
+    """view, layer, largest: the largest count that each view shows; views without a cell have no row."""
+    squares = view_squares(windows)
+    depths = sorted({(x["z"], x["depth"]) for x in squares.select("z", "depth").distinct().collect()})  # not more than zooms squared
+    keyed = None
+    for z, depth in depths:
+        square = lambda c, z=z, depth=depth: F.shiftright(c, z - depth)
+        rows = tiles.filter(F.col("z") == z).select("z", "x", "y", "layer", "count", F.lit(depth).alias("depth"), square("x").alias("sx"), square("y").alias("sy"))
+        keyed = rows if keyed is None else keyed.unionByName(rows)
+    if keyed is None:
+        return tiles.select(F.lit(None).cast(windows.schema["view"].dataType).alias("view"), "layer", F.col("count").alias("largest")).limit(0)
+    shown = keyed.join(squares.select("view", "z", "depth", "sx", "sy", "x0", "y0", "x1", "y1"), ["z", "depth", "sx", "sy"])
+    shown = shown.filter(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
+    return shown.groupBy("view", "layer").agg(F.max("count").alias("largest"))
+
+
 def tile_corners(index: DataFrame) -> DataFrame:
     """The index with the tile's sides: west, south, east, north."""
     z, x, y = F.col("z"), F.col("x"), F.col("y")
     return index.withColumns({"west": tile_lon(x, z), "south": tile_lat(y + 1, z), "east": tile_lon(x + 1, z), "north": tile_lat(y, z)})
 
 
-def clustered(index: DataFrame) -> DataFrame:
-    """In the order of tile ids, for writing: neighbours on the map are neighbours in the files."""
-    return index.repartitionByRange("tile_id").sortWithinPartitions("tile_id")
+def clustered(index: DataFrame, *then: str) -> DataFrame:
+    """In the order of tile ids, for writing: neighbours on the map are neighbours in the files, whose ranges of ids don't overlap."""
+    return index.repartitionByRange("tile_id").sortWithinPartitions("tile_id", *then)
 
 
 def tile_stats(tiles: DataFrame) -> DataFrame:

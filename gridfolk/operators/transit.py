@@ -12,6 +12,8 @@ from .profile import whole_fields
 
 #: Venue types that are lines; the mode is the type without ``_line``.
 LINE_TYPES = ("train_line", "tube_line")
+#: Fields of legs that name the units of a journey: before the first leg, of each leg, after the last.
+ORIGIN, BOARD, ALIGHT, DESTINATION = "origin_unit_id", "board_unit_id", "alight_unit_id", "dest_unit_id"
 
 
 def line_venues(world: World, types: tuple[str, ...] = LINE_TYPES) -> DataFrame:
@@ -87,12 +89,40 @@ def shared_riders(riders: DataFrame, venues: list[int]) -> DataFrame:
     return on.groupBy("person_id").agg(F.count_distinct("venue_id").alias("_n")).filter(F.col("_n") == len(set(venues))).select("person_id")
 
 
+def riders_of_sets(riders: DataFrame, sets: DataFrame) -> DataFrame:
+    """set, person_id: people who ride every venue of a set (``set``, ``venue_id``); a venue named twice counts once."""
+    sets = sets.select("set", "venue_id").distinct()
+    sizes = sets.groupBy("set").agg(F.count("*").alias("_size"))
+    ridden = riders.select("venue_id", "person_id").distinct().join(sets, "venue_id").groupBy("set", "person_id").agg(F.count("*").alias("_n"))
+    return ridden.join(sizes, "set").filter("_n = _size").select("set", "person_id")
+
+
+def journey_steps(legs: DataFrame, lines: DataFrame) -> DataFrame:
+    """person_id, step (from 0) and unit: the units that a rider passes, in order, without unknown ones and immediate repeats.
+
+    They are the origin of the first leg, where each leg is boarded and left,
+    and the destination of the last. A field that no leg has names no units;
+    legs with none of the four fields pass home and then the unit of each
+    leg's line. Fields may be any numbers: null, NaN and negatives are unknown.
+    """
+    order = Window.partitionBy("person_id").orderBy("leg_idx")
+    if not {ORIGIN, BOARD, ALIGHT, DESTINATION} & set(legs.columns):
+        legs = legs.join(lines.select("venue_id", F.col("geo_unit_id").cast("long").alias(BOARD)), "venue_id", "left").withColumn(ORIGIN, F.col("home_geo_unit"))
+    here = lambda c: F.col(c).cast("double") if c in legs.columns else F.lit(None).cast("double")
+    unit = lambda c: F.when(~F.isnan(here(c)) & (here(c) >= 0), F.col(c).cast("long")) if c in legs.columns else F.lit(None).cast("long")
+    first, last = F.lag("leg_idx").over(order).isNull(), F.lead("leg_idx").over(order).isNull()
+    ends = legs.select("person_id", "leg_idx", F.when(first, unit(ORIGIN)).alias("_o"), unit(BOARD).alias("_b"), unit(ALIGHT).alias("_a"), F.when(last, unit(DESTINATION)).alias("_d"))
+    stops = ends.select("person_id", "leg_idx", F.posexplode(F.array("_o", "_b", "_a", "_d")).alias("_k", "unit")).filter("unit is not null")
+    along = Window.partitionBy("person_id").orderBy("leg_idx", "_k")
+    moved = stops.withColumn("_before", F.lag("unit").over(along)).filter(F.col("_before").isNull() | (F.col("_before") != F.col("unit")))
+    return moved.select("person_id", (F.row_number().over(along) - 1).alias("step"), "unit")
+
+
 def journey_units(legs: DataFrame, lines: DataFrame) -> DataFrame:
-    """person_id and units: home, then the unit of each leg's line; without unknown units and immediate repeats."""
-    placed = legs.join(lines.select("venue_id", F.col("geo_unit_id").alias("unit")), "venue_id", "left")
-    path = placed.groupBy("person_id", "home_geo_unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("leg_idx", "unit"))), lambda x: F.coalesce(x["unit"], F.lit(-1))).alias("_u"))
-    known = path.withColumn("_k", F.filter(F.concat(F.array("home_geo_unit"), "_u"), lambda x: x >= 0))
-    return known.select("person_id", F.filter("_k", lambda x, i: (i == 0) | (F.get("_k", i - 1) != x)).alias("units"))
+    """person_id and units of :func:`journey_steps` as a list; riders without a known unit have an empty one."""
+    listed = journey_steps(legs, lines).groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct("step", "unit"))).alias("_s"))
+    people = legs.select("person_id").distinct().join(listed, "person_id", "left")
+    return people.select("person_id", F.coalesce(F.transform("_s", lambda s: s["unit"]), F.array().cast("array<bigint>")).alias("units"))
 
 
 def journey_points(units: DataFrame, geo_units: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.codes import norm_code, norm_name
 from ..functions.display import compact, human_number, humanize, percent, relabel
 from ..operators import density, geo, inspect, match, panel, profile, publish, replicate, tiles, transit
+from ..operators.prefix import cut
 from ..sources.star import star_world
 from ..sources.world import World, describe
 from .details import ODD_QUERIES, TABLE_QUERIES, WORLD_QUERIES, odd_world
@@ -31,7 +32,7 @@ def _ids(w: World) -> DataFrame:
 
 
 def _shares(w: World) -> DataFrame:
-    closure = geo.geo_closure(w["geo_units"])
+    closure = cut(geo.geo_closure(w["geo_units"]))
     return panel.shares(panel.panel_long(w, closure), panel.panel_people(w, closure)).withColumn("share", F.round("share", 9))
 
 

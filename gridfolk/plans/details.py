@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.display import cell_list, cell_number, cell_text, identifier, number, relabel_each
-from ..operators import density, geo, inspect, panel, replicate, tiles, transit
+from ..operators import density, geo, inspect, match, panel, replicate, tiles, transit
+from ..operators.prefix import cut
+from ..sources.star import star_world
 from ..sources.world import World, members_of, units_rows
 
 #: Added to ids and places in file so that they are new.
@@ -114,7 +116,112 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select("o_orderkey", cell_number(price).alias("price"), cell_text(word).alias("word"), cell_list(list_of).alias("items"), number(given).alias("number"), identifier(given).alias("id"))
 
 
+def _journeys(w: World) -> DataFrame:
+    """Legs that name the units of journeys, some of them unknown, and some where one is left where it was boarded."""
+    person, event = F.col("person_id"), F.col("row_pos")
+    board = 100 + event % 25
+    fields = {
+        transit.ORIGIN: (1000 + person % 25 * 10 + event % 5).cast("double"), transit.BOARD: F.when(event % 7 == 0, -1).otherwise(board).cast("double"),
+        transit.ALIGHT: F.when(event % 11 == 0, float("nan")).when(event % 5 == 0, board).otherwise(100 + (event + 1) % 25).cast("double"),
+        transit.DESTINATION: F.when(event % 3 != 0, 1000 + (person + event) % 25 * 10).cast("double"),
+    }
+    named = w.with_tables(legs=w["legs"].withColumns(fields))
+    lines = transit.line_venues(named)
+    return transit.journey_steps(transit.rider_legs(named, lines, inspect.home_units(named["population"])), lines)
+
+
+def _journey_stops(w: World) -> DataFrame:
+    return _journeys(w).select("person_id", "step", "unit")
+
+
+def _journey_stop_points(w: World) -> DataFrame:
+    units = _journeys(w).groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct("step", "unit"))).alias("s")).select("person_id", F.transform("s", lambda s: s["unit"]).alias("units"))
+    return transit.journey_points(units, w["geo_units"]).select("person_id", "step", "geo_id", "name", "role")
+
+
+def _square(x, y, side, turned) -> F.Column:
+    """A ring of a square from its lower left corner, against the clock, or with it."""
+    corners = [F.array(x, y), F.array(x + side, y), F.array(x + side, y + side), F.array(x, y + side)]
+    return F.when(turned, F.array(*reversed(corners), corners[3])).otherwise(F.array(*corners, corners[0]))
+
+
+def _centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as two parts, the first often with a hole, and each supplier as one more feature of its nation; rings turn either way."""
+    read = lambda name, key: spark.read.parquet(f"{sf_dir}/{name}.parquet").withColumn("k", F.col(key).cast("long"))
+    nation, supplier, k = read("nation", "n_nationkey"), read("supplier", "s_suppkey"), F.col("k")
+    d = lambda c: c.cast("double")
+    shell, hole, other = _square(d(3 * k), d(F.lit(0)), d(2 + k % 3), k % 2 == 0), _square(d(3 * k) + 0.25, d(F.lit(0.5)), d(F.lit(1)), k % 8 < 4), _square(d(3 * k) + 10, d(F.lit(20)), d(F.lit(3)), k % 5 < 2)
+    first = F.when(k % 4 != 3, F.array(shell, hole)).otherwise(F.array(shell))
+    many = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.array(first, F.array(other)).alias("coordinates")))
+    one = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(_square(d(k % 100), 50 + d(F.floor(k / 100)) * 2, d(F.lit(1.5)), k % 3 == 0)).alias("coordinates")))
+    features = nation.select(F.col("n_name").alias("name"), many.alias("geometry"))
+    names = nation.select(F.col("k").alias("n"), F.col("n_name").alias("name"))
+    features = features.unionByName(supplier.join(F.broadcast(names), F.col("s_nationkey") == F.col("n")).select("name", one.alias("geometry")))  # nations of the world
+    shapes = features.select(F.create_map(F.lit("NAME"), "name").alias("props"), "geometry")
+    return match.boundary_extents(match.matched_features(star_world(spark, sf_dir)["geo_units"], shapes, 1, "NAME", "name"))
+
+
+def _untyped_replicas(w: World) -> DataFrame:
+    untyped = w["venues"].withColumn("type_code", F.when(F.col("venue_id") % 3 != 0, F.col("type_code")))
+    return _replicas(w.with_tables(venues=untyped))["venues"].select("venue_id", "geo_unit_id", "type_code", "rank_in_type")
+
+
+def _directory(w: World) -> DataFrame:
+    return tiles.tile_directory(_pyramid_tiles(w))
+
+
+def _view_maximum(w: World) -> DataFrame:
+    """The largest counts in windows around the places of nations, from small ones to such as span many tiles, at the zoom of resolution 7."""
+    k, lat, lon = F.col("geo_id"), F.col("lat").cast("double"), F.col("lon").cast("double")
+    half = 0.05 + 0.45 * (k % 5)
+    boxes = w["geo_units"].filter("level = 1").select(k.alias("view"), (lon - half).alias("minx"), (lat - half).alias("miny"), (lon + half).alias("maxx"), (lat + half).alias("maxy"))
+    return tiles.view_maximum(_pyramid_tiles(w), tiles.views(boxes, 10))
+
+
+def _hashed_offsets(w: World) -> DataFrame:
+    """Offsets of people in the order of hashed ids, by sex: keys as sparse as they can be."""
+    key = F.conv(F.substring(F.md5(F.col("person_id").cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
+    counts = w["population"].select(key.alias("key"), (F.col("person_id") % 9).alias("n"), "sex_code")
+    return inspect.csr_offsets(counts, "key", "n", "sex_code")
+
+
+def _people_of_orders(w: World, orders: DataFrame) -> DataFrame:
+    """People by the ids that orders name, and ids that nobody has."""
+    ids = orders.select(F.col("o_custkey").cast("long").alias("person_id"))
+    return inspect.people_by_ids(w, ids.unionByName(ids.select((-F.col("person_id") - 1).alias("person_id"))))
+
+
+def _riders_of_nations(w: World) -> DataFrame:
+    """People who ride all lines of a nation."""
+    lines = transit.line_venues(w)
+    riders = transit.riders(w, lines, inspect.home_units(w["population"]))
+    return transit.riders_of_sets(riders, lines.select(F.col("geo_unit_id").alias("set"), "venue_id"))
+
+
+def _wide_levels(w: World) -> DataFrame:
+    """The wide panel of every level with all its columns."""
+    closure = cut(geo.geo_closure(w["geo_units"]))
+    properties = panel.categorical_properties(w)
+    names, out = panel.panel_names(w, properties), None
+    for level in sorted(w.labels_of("geo_levels")):  # a few
+        wide = panel.panel_wide(w, closure, level, properties, names).withColumn("level", F.lit(level))
+        out = wide if out is None else out.unionByName(wide)
+    return out
+
+
+def _on_star(query):
+    return lambda spark, sf_dir: query(star_world(spark, sf_dir), spark.read.parquet(f"{sf_dir}/orders.parquet"))
+
+
 WORLD_QUERIES = {
+    "journey_stops": _journey_stops,
+    "journey_stop_points": _journey_stop_points,
+    "replicate_untyped": _untyped_replicas,
+    "tile_directory": _directory,
+    "view_maximum": _view_maximum,
+    "csr_offsets_hashed": _hashed_offsets,
+    "riders_of_sets": _riders_of_nations,
+    "panel_wide_levels": _wide_levels,
     "tile_rings": _rings,
     "tile_corners": _corners,
     "tile_bounds": _bounds,
@@ -138,4 +245,4 @@ ODD_QUERIES = {
     "odd_activities_view": lambda w: inspect.activities_view(w).drop("geo_unit_id"),
     "odd_line_geometry": _odd_geometry,
 }
-TABLE_QUERIES = {"cell_texts": _cells}
+TABLE_QUERIES = {"cell_texts": _cells, "boundary_centroids": _centroids, "people_of_orders": _on_star(_people_of_orders)}

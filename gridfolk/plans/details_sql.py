@@ -8,7 +8,7 @@ from ..functions.codes import AGE_BANDS
 from ..functions.hexgrid import RESOLUTIONS, edge
 from ..functions.mercator import EXTENT, ZOOM_OF
 from ..operators.tiles import LINE_ZOOMS
-from .star_sql import FINEST, REPLICAS, SEX, TILES, centre, plane, q
+from .star_sql import _LONG, _PEOPLE, FINEST, HILBERT, REPLICAS, SEX, TILES, centre, plane, q
 
 _MOVES = f""",
 box as (select min(lat)::double as lat0, min(lon)::double as lon0, (max(lat)::double - min(lat)::double) * 1.15::double as up, (max(lon)::double - min(lon)::double) * 1.15::double as right_ from geo_units)"""
@@ -75,7 +75,50 @@ leaf as (
 long as (select c.level, c.ancestor_id as geo_id, family, key, sum(value)::bigint as value from leaf join closure c on c.geo_id = geo_unit_id group by all)"""
 _VENUE_OF = "case when a.person_id % 4 = 0 then a.venue_id + 1000000000 else a.venue_id end"
 
+# The units of journeys as they are told: origin of the first leg, where each is boarded and left, destination of the last.
+_JOURNEYS = """,
+told as (
+  select g.person_id, row_number() over (partition by g.person_id order by t_board_min, row_pos) as leg, count(*) over (partition by g.person_id) as legs,
+    1000 + g.person_id % 25 * 10 + row_pos % 5 as origin, case when row_pos % 7 <> 0 then 100 + row_pos % 25 end as board,
+    case when row_pos % 11 = 0 then null when row_pos % 5 = 0 then 100 + row_pos % 25 else 100 + (row_pos + 1) % 25 end as alight, case when row_pos % 3 <> 0 then 1000 + (g.person_id + row_pos) % 25 * 10 end as dest
+  from legs g join lines l on l.venue_id = g.venue_id),
+passed as (
+  select person_id, 0 as pos, origin as unit from told where leg = 1 union all select person_id, 2 * leg, board from told union all select person_id, 2 * leg + 1, alight from told
+  union all select person_id, 2 * leg + 2, dest from told where leg = legs),
+seen as (select *, lag(unit) over (partition by person_id order by pos) as before from passed where unit is not null),
+stops_of as (select person_id, (row_number() over (partition by person_id order by pos) - 1)::integer as step, unit from seen where before is null or before <> unit)"""
+# Squares by their sides and middles, not by their corners: what has an area, and what is taken from it.
+_SHAPES = """
+with squares as (
+  select n_nationkey as nation, 3.0 * n_nationkey as x, 0.0 as y, 2.0 + n_nationkey % 3 as side, 1 as role from nation
+  union all select n_nationkey, 3.0 * n_nationkey + 0.25, 0.5, 1, -1 from nation where n_nationkey % 4 <> 3
+  union all select n_nationkey, 3.0 * n_nationkey + 10, 20, 3, 1 from nation
+  union all select s_nationkey, s_suppkey % 100, 50 + 2 * (s_suppkey // 100), 1.5, 1 from supplier),
+d as (select nation, x::double as x, y::double as y, side::double as side, role from squares)
+select 100 + nation::bigint as geo_id, round(sum(role * side * side * (x + side / 2)) / sum(role * side * side), 6) as cx, round(sum(role * side * side * (y + side / 2)) / sum(role * side * side), 6) as cy,
+  min(x) as minx, min(y) as miny, max(x + side) as maxx, max(y + side) as maxy
+from d group by nation"""
+_VIEWS = f""",
+boxes as (select geo_id as view, lat::double as lat, lon::double as lon, 0.05::double + 0.45::double * (geo_id % 5) as half from geo_units where level = 1),
+windows as (
+  select view, greatest(0, floor((lon - half + 180) / 360 * 1024))::bigint as x0, least(1023, floor((lon + half + 180) / 360 * 1024))::bigint as x1,
+    floor({plane("(lat + half)", "0.0")[1]} * 1024)::bigint as y0, floor({plane("(lat - half)", "0.0")[1]} * 1024)::bigint as y1 from boxes)"""
+_WIDE = [("sex", "male"), ("sex", "female"), *((f, t) for f in ("venues", "occ") for t in ("household", "company", "train_line", "tube_line")), *(("p", f"mktsegment={s}") for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")), *(("p", f"balance_band={b}") for b in ("low", "mid", "high"))]
+
 DETAIL_ORACLES = {
+    "journey_stops": q("select person_id, step, unit from stops_of", _JOURNEYS),
+    "journey_stop_points": q("select person_id, step, geo_id, name, case when step = 0 then 'start' when step = n - 1 then 'end' else 'via' end as role from (select person_id, step, unit as geo_id, name, count(*) over (partition by person_id) as n from stops_of join geo_units on geo_id = unit) where n > 1", _JOURNEYS),
+    "boundary_centroids": _SHAPES,
+    "replicate_untyped": q("select venue_id + rep * places as venue_id, geo_unit_id + rep * units as geo_unit_id, kind as type_code, rank_in_type + rep * case when kind is null then 0 else count(*) over (partition by kind, rep) end as rank_in_type from (select *, case when venue_id % 3 <> 0 then type_code end as kind from venues), rep", REPLICAS),
+    "tile_directory": q("select t.d as tile_id, t.z, t.x, t.y, (sum(n.n) over (order by t.d) - n.n)::bigint as \"offset\", n.n as length from turns t join (select z, x, y, count(*) as n from tiles group by all) n on n.z = t.z and n.x = t.x and n.y = t.y where t.k = 0", FINEST + TILES + HILBERT).replace("with ", "with recursive ", 1),
+    "view_maximum": q("select view, layer, max(count) as largest from windows join tiles on z = 10 and x between x0 and x1 and y between y0 and y1 group by all", FINEST + TILES + _VIEWS),
+    "csr_offsets_hashed": q("select key, n, sex_code, coalesce(sum(n) over (o rows between unbounded preceding and 1 preceding), 0)::bigint as \"offset\", sum(n) over (o rows between unbounded preceding and current row)::bigint as block_end from (select ('0x' || substr(md5(person_id::varchar), 1, 15))::bigint as key, person_id % 9 as n, sex_code from population) window o as (partition by sex_code order by key)"),
+    "people_of_orders": q(f"select person_id, geo_unit_id, age, {SEX}, mktsegment, balance_band from population where person_id in (select o_custkey from orders)"),
+    "riders_of_sets": q('select d.geo_unit_id as "set", d.person_id from (select l.geo_unit_id, r.person_id, count(distinct r.venue_id) as n from riders r join lines l on l.venue_id = r.venue_id group by all) d join (select geo_unit_id, count(*) as n from lines group by 1) s on s.geo_unit_id = d.geo_unit_id and s.n = d.n'),
+    "panel_wide_levels": q(
+        "select g.level, g.geo_id, coalesce(p.people, 0) as people, p.mean_age, " + ", ".join(f"coalesce(any_value(p.\"age:{b}\"), 0) as \"age:{b}\"" for _, b in AGE_BANDS) + ", "
+        + ", ".join(f"coalesce(sum(value) filter (where family = '{f}' and key = '{k}'), 0)::bigint as \"{f}:{k}\"" for f, k in _WIDE)
+        + " from (select distinct level, geo_id from long) g left join long l on l.geo_id = g.geo_id and l.level = g.level left join people p on p.geo_id = g.geo_id and p.level = g.level group by g.level, g.geo_id, p.people, p.mean_age", _PEOPLE + _LONG),
     "records_json": q("""select '{"venue_id":' || venue_id || ',"type":"' || label || '","lat":' || coalesce(lat::double::varchar, 'null') || '}' as record from venues join types on code = type_code"""),
     "lines_geojson": q(
         """select c.line_id, '{"type":"Feature","properties":{"line_id":"' || c.line_id || '","venue_id":' || c.venue_id || ',"mode":"' || mode || '","rider_count":' || rider_count || ',"stops":[' || names || ']},"geometry":{"type":"LineString","coordinates":[' || places || ']}}' as feature

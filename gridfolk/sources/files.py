@@ -15,6 +15,8 @@ LINE_STOPS = "line_id string, position int, node_mgu string, name string"
 COORDINATES = "MGU string, latitude double, longitude double"
 FEATURES = "type string, crs struct<properties: struct<name: string>>, features array<struct<properties: map<string,string>, geometry: string>>"
 FEATURE_LINE = "type string, properties map<string,string>, geometry string"
+#: Names of files with a feature a line end so.
+LINE_SUFFIXES = (".geojsonl", ".geojsonl.gz", ".jsonl", ".jsonl.gz", ".ndjson", ".ndjson.gz", ".geojsons")
 
 
 def read_csv(spark: SparkSession, path: str, columns: str) -> DataFrame:
@@ -30,18 +32,21 @@ def is_lonlat(crs: Column) -> Column:
     return crs.isNull() | (crs == "") | up.contains("CRS84") | up.endswith(":4326")
 
 
-def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def read_features(spark: SparkSession, path: str, lines: bool | None = None, crs: str | None = None) -> DataFrame:
     """``source``, ``crs``, ``props`` and ``geometry`` (as text, so it is parsed only where it is wanted).
 
     One collection is one task's work; for national files use one feature a
-    line (``lines``). TopoJSON and other coordinates than longitude and
-    latitude raise.
+    line (``lines``; by default, if the name ends in :data:`LINE_SUFFIXES`).
+    ``crs`` says what the coordinates are whatever the file says of itself.
+    TopoJSON and other coordinates than longitude and latitude raise.
     """
+    lines = path.lower().endswith(LINE_SUFFIXES) if lines is None else lines
     if lines:
         rows = spark.read.schema(FEATURE_LINE).json(path).select(F.col("type"), F.lit(None).cast("string").alias("crs"), F.col("properties").alias("props"), "geometry")
     else:
         read = spark.read.schema(FEATURES).json(path, multiLine=True)
         rows = read.select("type", F.col("crs.properties.name").alias("crs"), F.explode_outer("features").alias("f")).select("type", "crs", F.col("f.properties").alias("props"), F.col("f.geometry").alias("geometry"))
+    rows = rows.withColumn("crs", F.coalesce(F.lit(crs).cast("string"), "crs"))
     bad = F.when(F.col("type") == "Topology", F.raise_error(F.lit("TopoJSON is not read; convert it to GeoJSON")).cast("string"))
     bad = bad.when(~is_lonlat(F.col("crs")), F.raise_error(F.concat(F.lit("not longitude and latitude: "), "crs")).cast("string"))
     rows = rows.withColumn("source", bad.otherwise(F.lit(os.path.basename(path)))).filter(F.col("source").isNotNull() & F.col("props").isNotNull())
@@ -50,16 +55,17 @@ def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFr
 
 @dataclass(frozen=True)
 class BoundaryLevel:
-    """Where the shapes of a level are, which property names their units, and how the names are made alike."""
+    """Where the shapes of a level are, which property names their units, how the names are made alike, what the coordinates are (if not what the file says), and whether it has a feature a line (null: by its name)."""
 
     file: str
     prop: str
     strategy: str
     crs: str | None = None
+    lines: bool | None = None
 
 
 def boundary_levels(path: str) -> dict[str, BoundaryLevel]:
-    """Levels of a JSON configuration ``{"levels": {name: {file, prop, strategy, crs?}}}``; files are relative to it.
+    """Levels of a JSON configuration ``{"levels": {name: {file, prop, strategy, crs?, lines?}}}``; files are relative to it.
 
     ``strategy`` may be written in any case. Everything that is wrong is told at once.
     """
@@ -89,7 +95,10 @@ def boundary_levels(path: str) -> dict[str, BoundaryLevel]:
         place = os.path.join(home, file or "")
         if file and not os.path.exists(place):
             wrong.append(f"{level}.file {place} isn't there")
-        found[level] = BoundaryLevel(place, prop or "", (strategy or "").lower(), crs)
+        lines = entry.get("lines") if isinstance(entry, dict) else None
+        if not isinstance(lines, bool | None):
+            wrong.append(f"{level}.lines must be true or false")
+        found[level] = BoundaryLevel(place, prop or "", (strategy or "").lower(), crs, lines)
     if wrong:
         raise ValueError(f"{path}: " + "; ".join(wrong))
     return found

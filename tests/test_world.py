@@ -219,13 +219,14 @@ def test_build_with_boundaries(spark, tmp_path, world):
     config.write_text(json.dumps({"levels": {"parish": level, "unheard of": level}}))
     whole = world.with_tables(members=members_of(world["subsets"]))
     manifest = publish.build(spark, whole, out, [file], boundaries=str(config))
-    assert manifest["boundary_match"] == {"parish": {"matched": 2, "world_units": 3}} and {"extents", "boundary_tiles", "panel_wide"} <= set(manifest["artifacts"])
+    assert manifest["boundary_match"] == {"parish": {"matched": 2, "world_units": 3, "rate": 2 / 3, "flag": "~", "strategy": "code", "prop": "who"}} and {"extents", "boundary_tiles", "panel_wide"} <= set(manifest["artifacts"])
     wide = {r["geo_id"]: r for r in spark.read.parquet(f"{out}/panel_wide").collect()}
     assert (wide[3]["cx"], wide[4]["minx"], wide[4]["people"]) == (1.0, 4.0, 3)
     assert {r["geo_id"] for r in spark.read.parquet(f"{out}/boundary_tiles").collect()} == {3, 4}
-    config.write_text(json.dumps({"levels": {"parish": {**level, "prop": "n"}}}))
+    config.write_text(json.dumps({"levels": {"parish": {**level, "prop": "n"}}}))  # matches nothing, which is told and no more
+    assert publish.build(spark, whole, out, [file], boundaries=str(config))["boundary_match"]["parish"]["matched"] == 0
     with pytest.raises(ValueError, match="match"):
-        publish.build(spark, whole, out, [file], boundaries=str(config))
+        match.poorest_rate(match.match_report(whole["geo_units"], read_features(spark, file), "name").withColumn("rate", F.lit(0.0)))
 
 
 def test_build_is_whole_and_idempotent(spark, tmp_path):
