@@ -79,6 +79,12 @@ COPYRIGHT_LINE = (
 )
 
 
+#: What numbers or letters an item of a list, at the start of its line; bullets are no letters and go anyway.
+MARKER = "^[^\\p{L}\\p{N}]*(?:[0-9]{1,2}|[ivx]{1,4}|[a-z])[.)]\\s+"
+#: The line before an item: without a letter or digit, or ended by a mark or a conjunction. So the end of a wrapped sentence (of section 2.) is no marker.
+BEFORE = "(?:^|[.:;]|(?:^|[^\\p{L}])(?:and|or))[^\\p{L}\\p{N}]*$"
+
+
 def canonical_line(line: Column) -> Column:
     """Lower case, equivalent spellings; anything but letters and digits becomes one space. Empty for a copyright or title line."""
 
@@ -92,9 +98,17 @@ def canonical_line(line: Column) -> Column:
 
 
 def canonical_lines(text: Column) -> Column:
-    """The canonical forms of the lines of a text, without empty ones; joined by spaces they are that of the text."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    return F.filter(F.transform(lines, canonical_line), lambda x: x != "")
+    """The canonical forms of the lines of a text, without what numbers items and without empty ones; joined by spaces they are that of the text."""
+
+    def formed(lines: Column) -> Column:
+        def item(line: Column, i: Column) -> Column:
+            low = F.lower(line)
+            first = low.rlike(MARKER) & ((i == 0) | F.lower(F.get(lines, i - 1)).rlike(BEFORE))
+            return canonical_line(F.when(first, F.regexp_replace(low, MARKER, "")).otherwise(line))
+
+        return F.transform(lines, item)
+
+    return F.filter(let(F.split(F.coalesce(text, F.lit("")), "\n", -1), formed), lambda x: x != "")
 
 
 def whole_digest(lines: Column) -> Column:

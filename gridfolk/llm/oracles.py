@@ -6,7 +6,7 @@ approximate; tests hold them against brute force instead.
 
 from __future__ import annotations
 
-from .licenses import COPYRIGHT_LINE, LICENCES, SPELLINGS
+from .licenses import BEFORE, COPYRIGHT_LINE, LICENCES, MARKER, SPELLINGS
 from .linededup import LEAST
 from .quality import CLASS_DISTANCE, CLASS_WORDS, CLASSES, COMMON, WORD_DISTANCE, WORD_WORDS
 from .urlrules import GLOBS, LOWER, RULES, UPPER
@@ -139,11 +139,13 @@ from judged j left join far f on f.doc_id = j.doc_id
 
 
 def _canonical_lines(text: str) -> str:
-    spelled = "lower(x)"
+    spelled = "x"
     for a, b in SPELLINGS:
         spelled = f"replace({spelled}, {quoted(a)}, {quoted(b)})"
-    form = f"case when regexp_matches(lower(x), {quoted(COPYRIGHT_LINE)}) then '' else trim(regexp_replace({spelled}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) end"
-    return f"list_filter(list_transform(string_split(coalesce({text}, ''), chr(10)), lambda x: {form}), lambda x: x <> '')"
+    form = f"case when regexp_matches(x, {quoted(COPYRIGHT_LINE)}) then '' else trim(regexp_replace({spelled}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) end"
+    lines = f"string_split(lower(coalesce({text}, '')), chr(10))"
+    item = f"case when regexp_matches(x, {quoted(MARKER)}) and (i = 1 or regexp_matches(({lines})[i - 1], {quoted(BEFORE)})) then regexp_replace(x, {quoted(MARKER)}, '') else x end"
+    return f"list_filter(list_transform(list_transform({lines}, lambda x, i: {item}), lambda x: {form}), lambda x: x <> '')"
 
 
 OP7 = f"""
