@@ -14,7 +14,8 @@ a block at once with numpy.
 A written table (Parquet files of binary columns, committed by Spark) holds
 blocks: ``part`` and ``block`` order them, ``part_start`` counts the ids of
 earlier blocks of the part, ``doc_ids`` and ``counts`` list the block's
-documents. ``part`` 0 holds the smallest document ids, and so on.
+documents (a null id is stored as the smallest long, and comes first).
+``part`` 0 holds the smallest document ids, and so on.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .tokens import encoder, public_tokenizer
 
 #: Ids in a block, unless one document has more.
 BLOCK_IDS = 1 << 19
+#: Stands for a null document id in the files.
+NO_ID = -(1 << 63)
 #: For each control byte the lengths of its four ranks.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
@@ -66,7 +69,7 @@ def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def encode_blocks(docs: DataFrame, path: str, kind: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Blocks of raw ids in ascending order of the key (nulls are refused), null text as empty."""
+    """Blocks of raw ids in ascending order of the key (nulls first), null text as empty."""
 
     def blocks(batches):
         enc = encoder(path, kind)
@@ -78,7 +81,7 @@ def encode_blocks(docs: DataFrame, path: str, kind: str, end_id: int, key: str =
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), *(pa.array([x], pa.binary()) for x in octets)], RAW_NAMES)
 
         for batch in batches:
-            names = batch.column(0).to_numpy()
+            names = batch.column(0).fill_null(NO_ID).to_numpy()
             for a, b, ids, counts in enc.encode(batch.column(1), end_id):
                 held.append((names[a:b], counts, ids))
                 size += len(ids)
@@ -89,7 +92,6 @@ def encode_blocks(docs: DataFrame, path: str, kind: str, end_id: int, key: str =
             yield row()
 
     rows = docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text))
-    rows = rows.withColumn(key, F.when(F.col(key).isNull(), F.raise_error(F.lit("a document without an id can't be ordered")).cast("long")).otherwise(F.col(key)))
     return rows.repartitionByRange(key).sortWithinPartitions(key, text).mapInArrow(blocks, RAW)
 
 
@@ -131,8 +133,8 @@ def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str |
     reader needs nothing else. Every text is encoded once; raw ids stay in a
     staged table until the ranks are known. Empty and null texts hold only
     the end id; repeated rows are documents like any other (equal keys are
-    ordered by text); other columns are ignored; an empty table gives a table
-    without blocks; a null key raises, as it has no place in the order.
+    ordered by text); documents with a null key come before all others; other
+    columns are ignored; an empty table gives a table without blocks.
     """
     spark = docs.sparkSession
     importable(spark)
@@ -165,8 +167,9 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                 ids = by_rank[unpack_ranks(row.control, row.data, int(counts.sum()))].astype("<u4")
                 ends = np.cumsum(counts)
                 octets = memoryview(ids).cast("B")
+                names = np.frombuffer(row.doc_ids, "<i8")
                 out = {
-                    "doc_id": np.frombuffer(row.doc_ids, "<i8"), "start": row.part_begin + row.part_start + ends - counts, "n_tokens": counts,
+                    "doc_id": pd.array(names, "Int64") if names[0] != NO_ID else pd.array([None if x == NO_ID else x for x in names.tolist()], "Int64"), "start": row.part_begin + row.part_start + ends - counts, "n_tokens": counts,
                     "ids_crc32": [zlib.crc32(octets[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)],
                 }
                 if with_ids:
