@@ -171,6 +171,34 @@ def test_shards(docs, odd):
     assert sharding.shard_documents(docs.limit(0)).count() == 0
 
 
+def plain_shards(rows, shards):
+    """Every row's shard and slot by one running sum in the order of ids, with whole numbers only."""
+    sized = sorted(((i is not None, i or 0), zlib.crc32((t or "").encode()), len((t or "").encode()) + 16) for i, t in rows)
+    total, before, out, slots = sum(s for *_, s in sized), 0, [], Counter()
+    for (known, i), crc, size in sized:
+        shard = min(shards - 1, (2 * before + size) * shards // (2 * total))
+        out.append((i if known else None, size, crc, shard, slots[shard]))
+        slots[shard] += 1
+        before += size
+    return out
+
+
+def test_shards_are_those_of_a_plain_running_sum(spark, docs, odd):
+    sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for table, shards in ((sf, 40), (docs, 40), (odd, 3), (odd, 40)):
+        got = [(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.shard_documents(table, shards).collect()]
+        want = plain_shards([(r["doc_id"], r["text"]) for r in table.collect()], shards)
+        assert sorted(got, key=lambda r: r[3:]) == sorted(want, key=lambda r: r[3:])
+
+
+def test_written_shards_are_whole_and_in_order(docs, tmp_path):
+    path = str(tmp_path / "shards")
+    sharding.write_shards(docs, path, 5)
+    back = docs.sparkSession.read.parquet(path)
+    want = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(docs, 5).collect()}
+    assert {r["doc_id"]: r["shard"] for r in back.collect()} == want and back.select(docs.columns).exceptAll(docs).count() == 0 == docs.count() - back.count()
+
+
 def test_line_dedup_of_odd_rows(spark, odd):
     passage = "First of the passage here. Then a second sentence of it. A third one follows with more words in it. At last the fourth sentence ends it here now. "
     rows = [(1, "Own words stand here. " + passage + "More of it."), (2, "Another start of text\n" + passage.rstrip() + "\nAnother end."), (3, passage), (None, "x"), (4, None), (5, "")]
@@ -286,6 +314,53 @@ def test_licence_files_in_usual_forms(spark):
     assert all(r[0] for r in kept)
 
 
+ITEMS = [lambda n: f"{n + 1}. ", lambda n: f"({n + 1}) ", lambda n: f"{'abc'[n]}) ", lambda n: f"{'i' * (n + 1)}. ", lambda n: "* ", lambda n: "- ", lambda n: "", lambda n: f" *  {n + 1}.  ", lambda n: f"    {n + 1}) "]
+
+
+@pytest.mark.parametrize("item", range(len(ITEMS)))
+def test_licences_whatever_numbers_their_items(spark, item):
+    texts = [("BSD-2-Clause", licenses.BSD_2), ("BSD-3-Clause", licenses.BSD_3), ("Zlib", licenses.ZLIB)]
+    cases = []
+    for name, text in texts:
+        for gap, width in (("\n", 0), ("\n\n", 72), ("\n", 60)):
+            lines, n = [], 0
+            for line in text.split("\n"):
+                marked = re.sub("^[123]\\. ", "", line)
+                lines.append((ITEMS[item](n) if marked != line else "") + marked)
+                n += marked != line
+            cases.append((name, gap.join(textwrap.fill(x, width) if width else x for x in lines)))
+    cases.append((None, licenses.BSD_3.replace("2. Redistributions", "2. No redistributions")))
+    # A number that ends a wrapped sentence is part of it.
+    cases += [("X", "See the terms of section\n2. They hold."), (None, "See the terms of section\nThey hold."), ("X", "See the terms of section 2. They hold.")]
+    table = spark.createDataFrame(list(enumerate(t for _, t in cases)), "doc_id long, text string")
+    got = licenses.scan_licences(table, extra=(("X", "See the terms\nof section 2. They hold."),)).collect()
+    assert {r["doc_id"]: r["licence_id"] for r in got} == dict(enumerate(n for n, _ in cases))
+
+
+def test_operators_of_odd_tables(spark, odd):
+    empty = spark.createDataFrame([], "page_id long, url string")
+    assert urlrules.judge_urls(empty).count() == 0
+    twice = urlrules.judge_urls(spark.createDataFrame([(1, "http://a.com/"), (1, "http://a.com/"), (None, None)], "page_id long, url string")).collect()
+    assert sorted((r["page_id"] or 0, r["verdict"]) for r in twice) == [(0, "allow"), (1, "allow"), (1, "allow")]
+    clash = odd.withColumns({"n_units": F.lit(5), "n_removed": F.lit("x"), "removed": F.lit(1)})
+    cleaned = linededup.delete_repeated_lines(clash)
+    assert cleaned.count() == len(ODD) and linededup.delete_repeated_lines(odd.limit(0)).count() == 0
+    assert {r["doc_id"]: r["n_removed"] for r in cleaned.select("doc_id", "n_removed").collect()}[6] == 0
+    long = licenses.MIT + "\n" + "more words\n" * 60_000
+    rows = spark.createDataFrame([(1, licenses.MIT, "a"), (1, licenses.MIT, "b"), (2, long, "c"), (None, licenses.MIT, "d")], "doc_id long, text string, text_digest string")
+    assert sorted((r["doc_id"] or 0, r["licence_id"]) for r in licenses.scan_licences(rows).collect()) == [(0, "MIT"), (1, "MIT"), (1, "MIT"), (2, None)]
+    assert licenses.scan_licences(rows.limit(0)).count() == 0
+
+
+def test_pipeline_stages_of_odd_tables(spark, odd):
+    good = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
+    table = odd.select(*good.columns).unionByName(good).unionByName(good.limit(3))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, table, SF)
+        assert stage(spark, table.limit(0), SF).count() == 0 and (got.columns == table.columns or name == "packing")
+        assert got.count() > 0
+
+
 def exact_nearest(rows, queries, k):
     out = {}
     for q, v in queries:
@@ -385,17 +460,15 @@ def ids_of(text, name, end):
 
 
 def test_token_files(spark, odd, docs):
-    for table in (docs, odd.filter("doc_id is not null")):
-        rows = sorted((r["doc_id"], r["text"] or "") for r in table.collect())
+    for table in (docs, odd):
+        rows = sorted(((r["doc_id"], r["text"] or "") for r in table.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         ids = [ids_of(t, "word_bpe_49k.json", 1) for _, t in rows]
         starts = np.cumsum([0] + [len(x) for x in ids])
         want = [(d, int(s), len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for (d, _), s, x in zip(rows, starts, ids, strict=False)]
-        assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in tokenids.token_files(table).collect()) == want
+        assert sorted(((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in tokenids.token_files(table).collect()), key=lambda r: r[1]) == want
     path = tokenids.write_token_files(docs)
     got = {r["doc_id"]: r["ids"] for r in tokenids.read_token_files(spark.newSession(), path, with_ids=True).collect()}
     assert got == {r["doc_id"]: ids_of(r["text"], "word_bpe_49k.json", 1) for r in docs.collect()}
-    with pytest.raises(Exception, match="without an id"):
-        tokenids.token_files(odd).count()
     assert tokenids.token_files(odd.limit(0)).count() == 0
 
 
