@@ -4,22 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(rows: DataFrame) -> DataFrame:
-    """The rows as a checkpoint, in the partitions and the order they have now.
-
-    It lies in the folder of ``spark.checkpoint.dir``; only a local session
-    without that setting gets a temporary one.
-    """
-    context = rows.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only a local session without that setting gets a temporary one."""
+    context, path = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if not context.getCheckpointDir():
-        path = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not path and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return (path or context.getCheckpointDir()).rstrip("/")
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """The rows as a checkpoint in the shared folder, in the partitions and the order they have now."""
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()
 
 

@@ -36,17 +36,23 @@ def shard_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}_index")
 
 
-def shard_files(spark: SparkSession, path: str, keys: Iterable) -> list[str]:
-    """The files that hold rows of some keys; as many keys as are asked for at a time pass through the driver."""
-    found = shard_index(spark, path).filter(F.col("key").isin(list(keys))).select("file").distinct().collect()
+def _of_keys(rows: DataFrame, column: str, keys: Iterable | DataFrame) -> DataFrame:
+    if isinstance(keys, DataFrame):
+        return rows.join(keys.select(F.col(keys.columns[0]).alias(column)).distinct(), column, "left_semi")
+    return rows.filter(F.col(column).isin(list(keys)))
+
+
+def shard_files(spark: SparkSession, path: str, keys: Iterable | DataFrame) -> list[str]:
+    """The files that hold rows of some keys: a list of them, or a table of one column."""
+    found = _of_keys(shard_index(spark, path), "key", keys).select("file").distinct().collect()
     return sorted(f"{path}/{x['file']}" for x in found)
 
 
-def read_shard(spark: SparkSession, path: str, keys: Iterable, key: str = "geo_unit_id") -> DataFrame:
-    """The rows of some keys. Only their files are opened, and in those only row groups that can hold them."""
-    keys = list(keys)
+def read_shard(spark: SparkSession, path: str, keys: Iterable | DataFrame, key: str = "geo_unit_id") -> DataFrame:
+    """The rows of some keys. Only their files are opened, and for a list of keys only row groups that can hold them."""
+    keys = keys if isinstance(keys, DataFrame) else list(keys)
     files = shard_files(spark, path, keys)
-    return spark.read.parquet(*files).filter(F.col(key).isin(keys)) if files else spark.read.parquet(path).limit(0)
+    return _of_keys(spark.read.parquet(*files), key, keys) if files else spark.read.parquet(path).limit(0)
 
 
 def presence_of(index: DataFrame) -> DataFrame:

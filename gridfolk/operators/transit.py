@@ -46,6 +46,12 @@ def line_geometry(line_stops: DataFrame, coord_mgu: DataFrame, lines: DataFrame
     return listed.filter(F.size("stops") >= 2)
 
 
+def placed_lines(lines: DataFrame, geometry: DataFrame) -> DataFrame:
+    """The first venue of each line that has a geometry, with its stops."""
+    first = lines.groupBy("line_id").agg(F.min_by(F.struct("venue_id", "mode"), F.struct("row_pos", "venue_id")).alias("v"))
+    return first.join(geometry, "line_id").select("line_id", "v.venue_id", "v.mode", "stops")
+
+
 def lines_in_world(counted: DataFrame, geometry: DataFrame) -> DataFrame:
     """The first venue of each line that has a geometry, with its riders and stops."""
     first = counted.groupBy("line_id").agg(F.min_by(F.struct("venue_id", "mode", "rider_count"), F.struct("row_pos", "venue_id")).alias("v"))

@@ -14,6 +14,7 @@ from ..sources.world import World, describe
 from .details import ODD_QUERIES, TABLE_QUERIES, WORLD_QUERIES, odd_world
 from .details_sql import DETAIL_ORACLES
 from .star_sql import ORACLES as STAR_ORACLES
+from .tables import TABLE_FILE_QUERIES, TABLE_ORACLES, TABLE_WORLD_QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -27,8 +28,9 @@ def _long(w: World, family: str) -> DataFrame:
 
 
 def _ids(w: World) -> DataFrame:
-    """Every third person, and ids that nobody has."""
-    return w["population"].select(F.when(F.col("person_id") % 3 == 0, F.col("person_id")).otherwise(-F.col("person_id") - 1).alias("person_id"))
+    """Everyone who has activities, again and again, and ids that nobody has."""
+    ids = w["activities"].select("person_id")
+    return ids.unionByName(ids.select((-F.col("person_id") - 1).alias("person_id")))
 
 
 def _shares(w: World) -> DataFrame:
@@ -64,6 +66,11 @@ def _lines(w: World) -> DataFrame:
     return transit.lines_in_world(_counted(w), transit.line_geometry(w["line_stops"], w["coord_mgu"], transit.line_venues(w)))
 
 
+def _placed(w: World) -> DataFrame:
+    lines = transit.line_venues(w)
+    return transit.placed_lines(lines, transit.line_geometry(w["line_stops"], w["coord_mgu"], lines))
+
+
 def _geometry(w: World) -> DataFrame:
     stops = transit.line_geometry(w["line_stops"], w["coord_mgu"], transit.line_venues(w)).select("line_id", F.explode("stops").alias("s"))
     return stops.select("line_id", F.col("s.position").alias("position"), F.col("s.node").alias("node"), F.round("s.lon", 6).alias("lon"), F.round("s.lat", 6).alias("lat"))
@@ -192,8 +199,8 @@ _WORLD = {
     "line_rider_counts": lambda w: _counted(w).drop("row_pos"),
     "lines_in_world": lambda w: _lines(w).select("line_id", "venue_id", "mode", "rider_count", F.size("stops").alias("n_stops")),
     "lines_geojson": lambda w: transit.lines_geojson(_lines(w)),
-    "line_tiles": lambda w: tiles.line_tiles(transit.stop_points(_lines(w))).select("line_id", "venue_id", "z", "x", "y", "part", F.to_json("points").alias("points")),
-    "line_lengths": lambda w: transit.segment_lengths(_lines(w)).withColumn("length", F.round("length", 6)),
+    "line_tiles": lambda w: tiles.line_tiles(transit.stop_points(_placed(w))).select("line_id", "venue_id", "z", "x", "y", "part", F.to_json("points").alias("points")),
+    "line_lengths": lambda w: transit.segment_lengths(_placed(w)).withColumn("length", F.round("length", 6)),
     "top_lines": lambda w: transit.top_lines(_counted(w)),
     "sample_riders": lambda w: transit.sample_riders(_counted(w), _riders(w), _legs(w)),
     "shared_riders": lambda w: transit.shared_riders(_riders(w), [2, 3]),
@@ -217,7 +224,7 @@ def _on_world(query, change=lambda w: w):
     return lambda spark, sf_dir: query(change(star_world(spark, sf_dir)))
 
 
-QUERIES = {name: _on_world(query) for name, query in (_WORLD | WORLD_QUERIES).items()}
+QUERIES = {name: _on_world(query) for name, query in (_WORLD | WORLD_QUERIES | TABLE_WORLD_QUERIES).items()}
 QUERIES |= {name: _on_world(query, odd_world) for name, query in ODD_QUERIES.items()}
-QUERIES |= {"json_array_typing": _json_typing, "format_numbers": _numbers} | TABLE_QUERIES
-ORACLES = STAR_ORACLES | DETAIL_ORACLES
+QUERIES |= {"json_array_typing": _json_typing, "format_numbers": _numbers} | TABLE_QUERIES | TABLE_FILE_QUERIES
+ORACLES = STAR_ORACLES | DETAIL_ORACLES | TABLE_ORACLES

@@ -178,8 +178,8 @@ ORACLES = {
     "members_view": q("select m.venue_id, m.geo_unit_id, subset_index, subset, m.person_id, coalesce(p.geo_unit_id, -1) as home_geo_unit from members m left join population p on p.person_id = m.person_id"),
     "members_without_homes": q("select -1 as home_geo_unit, count(*) as n from members"),
     "activities_view": q(f"select a.person_id, a.geo_unit_id, {_ACTIVITY}"),
-    "people_by_ids": q(f"select person_id, geo_unit_id, age, {SEX}, mktsegment, balance_band from population where person_id % 3 = 0"),
-    "activities_by_ids": q(f"select a.person_id, {_ACTIVITY} where a.person_id % 3 = 0"),
+    "people_by_ids": q(f"select person_id, geo_unit_id, age, {SEX}, mktsegment, balance_band from population where person_id in (select person_id from activities)"),
+    "activities_by_ids": q(f"select a.person_id, {_ACTIVITY}"),
     "venue_member_attributes": q(f"select m.venue_id, subset_index, m.person_id, p.geo_unit_id as home_geo_unit, age, {SEX}, mktsegment, balance_band from members m left join population p on p.person_id = m.person_id"),
     "unit_presence": q("select geo_unit_id, count(*) as rows from activities group by 1"),
     "peak_unit_rows": q("select 'population' as container, max(n) as peak from (select count(*) as n from population group by geo_unit_id) union all select 'venues', max(n) from (select count(*) as n from venues group by geo_unit_id) union all select 'subsets', max(n) from (select count(distinct (venue_id, subset_index)) as n from members group by geo_unit_id) union all select 'activities', max(n) from (select count(*) as n from activities group by geo_unit_id)"),

@@ -172,6 +172,9 @@ def test_a_unit_is_read_from_few_bytes(spark, tmp_path):
         assert read.count() == 600 * sum(u < 100 for u in units)
         if units[0] < 100:
             assert len(read.inputFiles()) < 4 and sum(os.path.getsize(f) for f in local(read.inputFiles())) <= whole * len(units) / 2
+    asked = spark.createDataFrame([(17,), (17,), (500,), (None,)], "unit long")
+    read = shards.read_shard(spark, path, asked)
+    assert read.count() == 600 and len(read.inputFiles()) < 4
     index = shards.shard_index(spark, path)
     assert index.agg(F.sum("rows")).first()[0] == 60_000 and shards.presence_of(index).filter("rows = 600").count() == 100
     for r in index.filter("key = 40").collect():  # the index says where in the file the rows are
