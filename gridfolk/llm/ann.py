@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +23,8 @@ from .staging import importable, staged
 
 #: Nodes that a shard has about; edges of a node; beam while building and while searching; slack of the pruning.
 SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA = 10_000, 28, 56, 128, 1.2
-#: Queries that a shard is sent to at a time, and queries that move together.
-QUERY_BLOCK, TOGETHER = 4096, 512
+#: Queries that move together.
+TOGETHER = 512
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -177,34 +178,48 @@ def index_vectors(rows: DataFrame, shard_size: int = SHARD) -> DataFrame:
 
 
 def search(index: DataFrame, queries: DataFrame, found: int, beam: int = BEAM) -> DataFrame:
-    """``_query``, ``_node`` and ``_far`` (distance in double precision): the best ``found`` nodes of each shard for each query (_id, _dim, _v)."""
-
-    kind = number_type(queries)
-
-    def searched(_, shard, asked):
-        if not len(shard) or not len(asked):
-            return pd.DataFrame({"_query": [], "_node": [], "_far": []})
-        row = shard.iloc[0]
-        nodes = np.frombuffer(row["_nodes"], "<i8")
-        points = np.frombuffer(row["_points"], kind).reshape(len(nodes), -1)
-        edges = np.frombuffer(row["_edges"], "<i4").reshape(len(nodes), -1).astype(np.int64)
-        wanted = np.stack(asked["q_v"].to_numpy()).astype(kind)
-        at = np.concatenate([beam_search(points, edges, int(row["_entry"]), wanted[k : k + TOGETHER], beam)[0] for k in range(0, len(wanted), TOGETHER)])
+    """``_query``, ``_node`` and ``_far`` (distance in double precision): the best ``found`` nodes of each shard for each query (_id, _dim, _v).
+
+    The stated queries go to every shard of their dimension. A task reads a
+    shard, once, and then its queries, some at a time; so the index moves once
+    however many queries there are, and a task holds one shard.
+    """
+    kind, item = number_type(queries), queries.schema["_v"].dataType.simpleString()
+
+    def searched(batches):
+        held = None
+        for batch in filter(len, batches):
+            keys = np.stack([batch[c].to_numpy() for c in ("_dim", "_shard", "_kind")], 1)
+            edges = np.flatnonzero((np.diff(keys, axis=0) != 0).any(1)) + 1
+            for a, b in zip(np.append(0, edges).tolist(), np.append(edges, len(keys)).tolist(), strict=True):
+                part, (dim, shard, is_query) = batch.slice(a, b - a), keys[a].tolist()
+                if not is_query:
+                    nodes = np.frombuffer(part["_nodes"][0].as_py(), "<i8")
+                    points, edges_ = np.frombuffer(part["_points"][0].as_py(), kind).reshape(len(nodes), -1), np.frombuffer(part["_edges"][0].as_py(), "<i4").reshape(len(nodes), -1).astype(np.int64)
+                    held = (dim, shard), nodes, points, edges_, part["_entry"][0].as_py()
+                elif held and held[0] == (dim, shard):
+                    wanted = part["q_v"].flatten().to_numpy().astype(kind).reshape(len(part), dim)
+                    for k in range(0, len(part), TOGETHER):
+                        yield answered(part["q_id"].to_numpy()[k : k + TOGETHER], wanted[k : k + TOGETHER], *held[1:])
+
+    def answered(names, wanted, nodes, points, edges, entry):
+        at = beam_search(points, edges, entry, wanted, beam)[0]
         real = at >= 0
         far = np.sqrt(((wanted[:, None, :].astype(np.float64) - points[np.where(real, at, 0)].astype(np.float64)) ** 2).sum(-1))
         far[~real] = np.inf
         order = np.lexsort((nodes[at], far), axis=1)[:, :found]
         at, far = np.take_along_axis(at, order, 1), np.take_along_axis(far, order, 1)
         rows, cols = np.nonzero(np.isfinite(far))
-        return pd.DataFrame({"_query": asked["q_id"].to_numpy()[rows], "_node": nodes[at[rows, cols]], "_far": far[rows, cols]})
-
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    shards = index.select("_dim", F.col("_shard").alias("q_shard"))
-    asked = queries.select(F.col("_id").alias("q_id"), F.col("_v").alias("q_v"), "_dim").withColumn("q_block", F.pmod(F.xxhash64("q_id"), F.lit(blocks)).cast("int"))
-    # Every shard of a query's dimension is asked: the stated queries meet the index in blocks.
-    asked = asked.join(shards, "_dim").select(F.col("_dim").alias("q_dim"), "q_shard", "q_block", "q_id", "q_v")
-    spread = index.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return spread.groupBy("_dim", "_shard", "_block").cogroup(asked.groupBy("q_dim", "q_shard", "q_block")).applyInPandas(searched, "_query long, _node long, _far double")
+        return pa.record_batch([pa.array(names[rows]), pa.array(nodes[at[rows, cols]]), pa.array(far[rows, cols])], ["_query", "_node", "_far"])
+
+    counts = {x["_dim"]: x["n"] for x in index.groupBy("_dim").agg((F.max("_shard") + 1).alias("n")).collect()}  # a row for each dimension
+    shards = F.create_map(*(F.lit(x) for pair in counts.items() for x in pair))[F.col("_dim")] if counts else F.lit(None).cast("int")
+    absent = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    stored = index.select("_dim", "_shard", F.lit(0).alias("_kind"), "_points", "_nodes", "_edges", "_entry", absent("q_id", "long"), absent("q_v", item))
+    asked = queries.filter(shards.isNotNull()).withColumn("_shard", F.explode(F.sequence(F.lit(0), shards - 1)))
+    asked = asked.select("_dim", "_shard", F.lit(1).alias("_kind"), *(absent(c, "binary") for c in ("_points", "_nodes", "_edges")), absent("_entry", "int"), F.col("_id").alias("q_id"), F.col("_v").alias("q_v"))
+    dealt = stored.unionByName(asked).repartition(min(4 * sum(counts.values()) + 1, 20_000), "_dim", "_shard")
+    return dealt.sortWithinPartitions("_dim", "_shard", "_kind").mapInArrow(searched, "_query long, _node long, _far double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -404,6 +404,22 @@ def test_recall_of_many_shards_and_of_one(spark, monkeypatch, shard_size, points
     assert sum(len({i for _, i in want[q]} & got[q]) for q in want) >= 0.9 * 10 * len(want)
 
 
+def test_the_index_moves_once_however_many_queries(spark):
+    points = spark.createDataFrame([(i, [float(a) for a in p]) for i, p in enumerate(clustered(900))], "vec_id long, embedding array<float>")
+    rows = ann.usable(points, "vec_id", "embedding")
+    index = ann.index_vectors(rows, 200)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for queries in (rows.filter("_id < 10"), rows):
+            found = ann.search(index, queries, 3)
+            assert found.select("_query").distinct().count() == queries.count()
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") == 1 and plan.count("Generate") == 1 and "Join" not in plan  # only queries are copied
+            assert plan[plan.index("Generate") :].count("_points") == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_graph_reaches_every_node():
     for points in (clustered(1500), clustered(1500, 5) * np.float32(100)):
         edges, entry = ann.build_graph(points, degree=6, beam=12)
