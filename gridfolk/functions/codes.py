@@ -45,9 +45,13 @@ def folded(text: Column) -> Column:
     return F.when(text.rlike("[^\\x00-\\x7f]"), whole).otherwise(F.lower(text))
 
 
+#: White space of any script.
+WHITE = "(?U)[\\s\\x1c-\\x1f]+"
+
+
 def norm_code(text: Column) -> Column:
     """Trimmed, white space collapsed, case folded."""
-    return folded(F.regexp_replace(F.regexp_replace(text, "^\\s+|\\s+$", ""), "\\s+", " "))
+    return folded(F.btrim(F.regexp_replace(text, WHITE, " "), F.lit(" ")))
 
 
 def norm_name(text: Column) -> Column:

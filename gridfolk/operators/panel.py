@@ -95,13 +95,23 @@ def panel_long(world: World, closure: DataFrame, families: tuple[str, ...] = ("s
     return rollup(leaf, closure, ["family", "key"], ["value"])
 
 
-def panel_names(world: World, properties: list[str]) -> list[str]:
-    """The columns of a wide panel that count something, in order."""
+def panel_names(world: World, properties: list[str], counted: DataFrame | None = None) -> list[str]:
+    """The columns of a wide panel that count something, in order. ``counted``: a long panel that has the properties' values, if there is one."""
     names = [*(f"sex:{v}" for v in world.labels_of("sex").values()), *(f"{f}:{v}" for f in ("venues", "occ") for v in world.labels_of("venue_types").values())]
-    names += sorted({f"p:{x['key']}" for x in people_counts(world, False, properties).select("key").distinct().collect()})  # at most 64 values of each property
+    values = people_counts(world, False, properties) if counted is None else counted.filter("family = 'p'")
+    names += sorted({f"p:{x['key']}" for x in values.select("key").distinct().collect()})  # at most 64 values of each property
     return names
 
 
+def widened(long: DataFrame, people: DataFrame, names: list[str]) -> DataFrame:
+    """One level's long panel and its people as a wide table: geo_id, mean_age, people, bands and ``names``."""
+    wide = long.withColumn("_name", F.concat_ws(":", "family", "key")).groupBy("geo_id").pivot("_name", names).agg(F.sum("value"))
+    people = people.drop("level")
+    joined = wide.withColumnRenamed("geo_id", "_other").join(people, F.col("_other") == F.col("geo_id"), "full")
+    counts = [c for c in [*people.columns, *names] if c not in ("geo_id", "mean_age")]
+    return joined.select(F.coalesce("geo_id", "_other").alias("geo_id"), "mean_age", *(F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in counts))
+
+
 def panel_wide(world: World, closure: DataFrame, level: int, properties: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
     """One level as a wide table with self-describing, sorted column names; units without any source row have no row.
 
@@ -110,12 +120,7 @@ def panel_wide(world: World, closure: DataFrame, level: int, properties: list[st
     properties = categorical_properties(world) if properties is None else properties
     names = panel_names(world, properties) if names is None else names
     at = closure.filter(F.col("level") == level)
-    long = panel_long(world, at, properties=properties)
-    wide = long.withColumn("_name", F.concat_ws(":", "family", "key")).groupBy("geo_id").pivot("_name", names).agg(F.sum("value"))
-    people = panel_people(world, at).drop("level")
-    joined = wide.withColumnRenamed("geo_id", "_other").join(people, F.col("_other") == F.col("geo_id"), "full")
-    counts = [c for c in [*people.columns, *names] if c not in ("geo_id", "mean_age")]
-    return joined.select(F.coalesce("geo_id", "_other").alias("geo_id"), "mean_age", *(F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in counts))
+    return widened(panel_long(world, at, properties=properties), panel_people(world, at), names)
 
 
 def panel_groups(wide: DataFrame) -> DataFrame:

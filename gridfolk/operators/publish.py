@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codes import cleaned
+from ..functions.display import match_flag
 from ..sources.files import boundary_levels, read_features
 from ..sources.world import World, describe
 from .density import density_pyramid, finest_density, weighted_points
 from .geo import geo_closure, units_per_level
-from ..functions.display import match_flag
 from .inspect import activities_view, home_units, json_properties, members_view, peak_unit_rows, people_view, unit_presence, venues_view
 from .match import attach_extents, boundary_extents, matched_features, zoom_bands
-from .panel import panel_long, panel_names, panel_people, panel_wide
+from .panel import panel_long, panel_names, panel_people, widened
 from .profile import categorical_properties
 from .shards import presence_of, shard_index, write_shard
 from .tiles import boundary_tiles, clustered, hexagon_tiles, line_tiles, tile_directory, with_tile_id
@@ -39,7 +39,8 @@ def fingerprint(spark: SparkSession, paths: list[str]) -> list[list]:
 
 def stored_manifest(spark: SparkSession, out: str) -> dict | None:
     try:
-        return json.loads(spark.read.text(f"{out}/manifest", wholetext=True).first()[0])
+        row = spark.read.text(f"{out}/manifest", wholetext=True).first()
+        return json.loads(row[0]) if row else None
     except Exception as e:  # the folder isn't there before the first build
         if "PATH_NOT_FOUND" in str(e):
             return None
@@ -63,12 +64,14 @@ def summary_of(world: World, peaks: DataFrame) -> DataFrame:
 
 def write_panels(world: World, closure: DataFrame, out: str, extents: DataFrame | None) -> list[str]:
     """The long panel, that of people, and a wide table for each level, with its units' extents where there are any."""
-    properties = categorical_properties(world)
-    names = panel_names(world, properties)
+    spark, properties = closure.sparkSession, categorical_properties(world)
     panel_long(world, closure, properties=properties).repartitionByRange("level", "geo_id").write.mode("overwrite").partitionBy("level").parquet(f"{out}/panel")
     panel_people(world, closure).repartitionByRange("level", "geo_id").write.mode("overwrite").partitionBy("level").parquet(f"{out}/people_panel")
+    long, people = (spark.read.parquet(f"{out}/{t}") for t in ("panel", "people_panel"))  # the sources aren't read again
+    names = panel_names(world, properties, long)
     for level in world.labels_of("geo_levels"):  # a few
-        wide = panel_wide(world, closure, level, properties, names)
+        at = F.col("level") == level
+        wide = widened(long.filter(at).drop("level"), people.filter(at), names)
         wide = attach_extents(wide, extents.filter(F.col("level") == level).drop("level")) if extents is not None else wide
         wide.repartitionByRange("geo_id").write.mode("overwrite").parquet(f"{out}/panel_wide/level={level}")
     return ["panel", "people_panel", "panel_wide"]

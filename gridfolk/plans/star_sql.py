@@ -205,7 +205,7 @@ ORACLES = {
     "tile_stats": q("select count(distinct (z, x, y)) as tiles, count(*) as features, min(z) as min_zoom, max(z) as max_zoom, count(distinct layer) as layers from tiles", FINEST + TILES),
     "line_venues": q("select * from lines"), "line_geometry": q("select line_id, position, node, lon, lat from stops"),
     "line_rider_counts": q("select * from counted"),
-    "lines_in_world": q("select line_id, venue_id, mode, rider_count, 4 as n_stops from counted"),
+    "lines_in_world": q("select c.line_id, c.venue_id, mode, rider_count, n::integer as n_stops from counted c join (select line_id, count(*) as n from stops group by 1) s on s.line_id = c.line_id"),
     "line_lengths": q(f"select line_id, count(dx) as pieces, round(sum(sqrt(dx * dx + dy * dy)), 6) as length from (select line_id, x - lag(x) over o as dx, y - lag(y) over o as dy from (select line_id, position, {plane('lat', 'lon')[0]} * {EXTENT} as x, {plane('lat', 'lon')[1]} * {EXTENT} as y from stops) window o as (partition by line_id order by position)) group by 1"),
     "top_lines": q("select venue_id, line_id, mode, rider_count from counted order by rider_count desc, venue_id limit 3"),
     "sample_riders": q("select t.venue_id, line_id, rider_count, min(r.person_id) as person_id, arg_min(c.legs, r.person_id) as legs from (select * from counted order by rider_count desc, venue_id limit 3) t join riders r on r.venue_id = t.venue_id join (select person_id, count(*) as legs from chains group by 1 having count(*) >= 2) c on c.person_id = r.person_id group by 1, 2, 3"),
