@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 def geo_closure(geo_units: DataFrame) -> DataFrame:
     """geo_id, level, ancestor_id: each unit with itself and every ancestor, whatever the depth between them.
 
-    One join of the units with themselves for each level; the tree is small
-    beside all other tables.
+    One join of the units with themselves for each level but one; a unit
+    gathers its ancestors on the way up. The tree is small beside all other
+    tables.
     """
     up = geo_units.select(F.col("geo_id").alias("_id"), F.col("level").alias("_level"), F.col("parent_id").alias("_parent"))
-    step = geo_units.select("geo_id", "level", F.col("geo_id").alias("ancestor_id"), F.col("parent_id").alias("_next"))
-    out = step
+    link = lambda level, unit: F.array(F.struct(F.col(level).alias("level"), F.col(unit).alias("ancestor_id")))
+    rows = geo_units.select("geo_id", link("level", "geo_id").alias("_line"), F.col("parent_id").alias("_next"))
     for _ in range(max(0, geo_units.select("level").distinct().count() - 1)):
-        step = step.join(up, F.col("_next") == F.col("_id")).select("geo_id", F.col("_level").alias("level"), F.col("_id").alias("ancestor_id"), F.col("_parent").alias("_next"))
-        out = out.unionByName(step)
-    return out.select("geo_id", "level", "ancestor_id")
+        longer = F.when(F.col("_id").isNotNull(), F.concat("_line", link("_level", "_id"))).otherwise(F.col("_line"))
+        rows = rows.join(up, F.col("_next") == F.col("_id"), "left").select("geo_id", longer.alias("_line"), F.col("_parent").alias("_next"))
+    return rows.select("geo_id", F.inline("_line"))
 
 
 def children_by_people(geo_units: DataFrame, panel: DataFrame) -> DataFrame:

@@ -1,0 +1,13 @@
+
+
+def test_closure_of_trees_with_gaps(spark):
+    units = [(1, 0, -1), (2, 2, 1), (3, 1, 1), (4, 2, 3), (5, 2, 99), (6, 3, 4), (7, 3, None)]  # a level left out, a parent that isn't there, none
+    got = {(r["geo_id"], r["level"], r["ancestor_id"]) for r in geo.geo_closure(spark.createDataFrame(units, "geo_id long, level int, parent_id long")).collect()}
+    level, parent = {u: x for u, x, _ in units}, {u: p for u, _, p in units}
+    want = set()
+    for u, _, _ in units:
+        at = u
+        while at in level:
+            want.add((u, level[at], at))
+            at = parent[at]
+    assert got == want
