@@ -22,6 +22,11 @@ def hashed_number(hex_digits: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, hex_digits), 16, 10).cast("long")
 
 
+def range_of(shuffle_key: Column, parts: int) -> Column:
+    """Which of ``parts`` equal ranges a key of 60 bits lies in."""
+    return F.shiftright(F.shiftright(shuffle_key, 30) * parts, 30).cast("int")
+
+
 def source_rates(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, draws: int | None = None, source: str = "source") -> DataFrame:
     """``_source``, ``n_docs`` and ``rate``, one row for each source.
 
@@ -60,12 +65,14 @@ def with_distribution(rates: DataFrame) -> DataFrame:
     return listed.select("_source", "rate", F.transform("_listed", lambda x: x["_upto"]).alias("cdf"))
 
 
-def mix_sources(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, draws: int | None = None, seed: int = 1, source: str = "source", key: str = "doc_id") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, draws: int | None = None, seed: int = 1, source: str = "source", key: str = "doc_id", parts: int | None = None) -> DataFrame:
     """Replicate every document by its Poisson count and shuffle all copies.
 
     Adds ``copy`` (1 to ``n_copies``), ``n_copies`` and ``shuffle_key``; rows
     come out dealt by ranges of the key and sorted by it, so files in order
-    are a global shuffle. Null sources are a source of their own. Rows with
+    are a global shuffle. Keys are spread evenly, so the ranges are ``parts``
+    equal ones (as many as the session has shuffle partitions, by default)
+    and no sample is drawn to find them. Null sources are a source of their own. Rows with
     equal or null ids share one draw and each get that many copies. Text may
     be null, empty or long. An empty table, or weights that sum to 0, give an
     empty result. Columns already named like the three are replaced.
@@ -84,4 +91,5 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5
     drawn = drawn.drop("_mix_source", "_mix_cdf", "_mix_u")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     copies = copies.withColumn("shuffle_key", hashed_number(15, F.lit(seed), F.lit("order"), F.col(key), F.col("copy")))
-    return copies.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key", key, "copy")
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return copies.repartitionById(parts, range_of(F.col("shuffle_key"), parts)).sortWithinPartitions("shuffle_key", key, "copy")

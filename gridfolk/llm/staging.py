@@ -10,12 +10,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 _STAGED: list[str] = []
+_OWN: ContextVar[list[str] | None] = ContextVar("gridfolk_own_tables", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,8 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession) -> str:
     """A path in the shared folder that nothing has used; :func:`clear_staged` deletes it."""
-    _STAGED.append(f"{shared_dir(spark)}/gridfolk-{uuid.uuid4().hex}")
-    return _STAGED[-1]
+    path, own = f"{shared_dir(spark)}/gridfolk-{uuid.uuid4().hex}", _OWN.get()
+    (_STAGED if own is None else own).append(path)
+    return path
 
 
 def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
@@ -44,19 +49,25 @@ def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def staged_so_far() -> int:
-    """How many tables are staged; see ``since`` of :func:`clear_staged`."""
-    return len(_STAGED)
+@contextmanager
+def own_tables() -> Iterator[list[str]]:
+    """A list that holds the tables staged inside, whatever other threads stage; those left at the end join all others."""
+    token = _OWN.set([])
+    try:
+        yield _OWN.get()
+    finally:
+        _STAGED.extend(_OWN.get())
+        _OWN.reset(token)
 
 
-def clear_staged(spark: SparkSession, since: int = 0, but_last: bool = False) -> None:
-    """Delete the tables staged so far (from number ``since`` on, perhaps all but the last), once results that read them are written."""
+def clear_staged(spark: SparkSession, tables: list[str] | None = None, but_last: bool = False) -> None:
+    """Delete the tables of a list, by default all that no :func:`own_tables` holds (perhaps all but the last), once results that read them are written."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    gone = _STAGED[since : len(_STAGED) - but_last]
-    for name in gone:
+    tables = _STAGED if tables is None else tables
+    for name in tables[: len(tables) - but_last]:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
-        _STAGED.remove(name)
+        tables.remove(name)
 
 
 def importable(spark: SparkSession) -> None:

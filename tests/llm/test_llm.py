@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridfolk.llm import ann, licenses, linededup, minhash, mixing, packing, quality, sharding, tokenids, tokens, urlrules
+from gridfolk.llm import ann, licenses, linededup, minhash, mixing, packing, quality, sharding, staging, tokenids, tokens, urlrules
 from gridfolk.llm.oracles import ORACLES
 from gridfolk.llm.queries import QUERIES
 
@@ -44,6 +44,25 @@ def test_query_gives_the_rows_of_its_sql(spark, duck, name):
     assert rows_of(QUERIES[name](spark, SF).toPandas()) == rows_of(duck.execute(ORACLES[name]).df())
 
 
+def test_mixed_rows_lie_in_equal_ranges_of_the_key(spark, odd):
+    rows = mixing.mix_sources(odd, draws=300, parts=5).withColumn("part", F.spark_partition_id()).collect()
+    assert len(rows) > 100 and {r.part for r in rows} == set(range(5))
+    assert all(r.part == r.shuffle_key * 5 // 16**15 for r in rows)
+    ends = spark.createDataFrame([(0,), (16**15 - 1,)], "k long").select(mixing.range_of(F.col("k"), 7).alias("p")).collect()
+    assert [r.p for r in ends] == [0, 6]
+
+
+def test_a_run_deletes_only_tables_of_its_own(spark, odd):
+    other = staging.staged(odd)
+    with staging.own_tables() as tables:
+        first, last = staging.staged(odd.limit(1)), staging.staged(odd.limit(2))
+        staging.clear_staged(spark, tables, but_last=True)
+        assert len(tables) == 1 and last.count() == 2 and other.count() == odd.count()
+        with pytest.raises(Exception):  # noqa: B017  its files are gone
+            first.collect()
+    assert last.count() == 2  # what is left joins the tables of all
+
+
 def test_mixing(spark, odd, docs):
     got = mixing.mix_sources(odd, {"a": 1.0, None: 3.0}, draws=40, seed=3).collect()
     assert {r["source"] for r in got} <= {"a", None} and all(1 <= r["copy"] <= r["n_copies"] for r in got)
