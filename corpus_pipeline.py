@@ -14,7 +14,7 @@ from gridfolk.llm.minhash import drop_near_duplicates
 from gridfolk.llm.mixing import mix_sources
 from gridfolk.llm.packing import pack_documents
 from gridfolk.llm.quality import keep_good
-from gridfolk.llm.staging import clear_staged, staged, staged_so_far
+from gridfolk.llm.staging import clear_staged, own_tables, staged
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +56,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     What a stage wrote for itself or read is deleted once its own result is
     written; the last stage's tables stay for whoever reads the result.
     """
-    docs, begin = spark.read.parquet(f"{sf_dir}/documents.parquet"), staged_so_far()
-    for _, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir))
-        clear_staged(spark, begin, but_last=True)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with own_tables() as tables:
+        for _, stage in STAGES[:-1]:
+            docs = staged(stage(spark, docs, sf_dir))
+            clear_staged(spark, tables, but_last=True)
+        return STAGES[-1][1](spark, docs, sf_dir)
