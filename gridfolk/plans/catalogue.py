@@ -11,7 +11,7 @@ from ..operators import density, geo, inspect, match, panel, profile, publish, r
 from ..operators.prefix import cut
 from ..sources.star import star_world
 from ..sources.world import World, describe
-from .details import ODD_QUERIES, TABLE_QUERIES, WORLD_QUERIES, odd_world
+from .details import ODD_QUERIES, TABLE_QUERIES, WORLD_QUERIES, odd_world, wide_levels
 from .details_sql import DETAIL_ORACLES
 from .star_sql import ORACLES as STAR_ORACLES
 from .tables import TABLE_FILE_QUERIES, TABLE_ORACLES, TABLE_WORLD_QUERIES
@@ -39,11 +39,12 @@ def _shares(w: World) -> DataFrame:
 
 
 def _wide(w: World) -> DataFrame:
-    return panel.panel_wide(w, geo.geo_closure(w["geo_units"]), 1).select("geo_id", "people", "mean_age", "sex:male", "sex:female", "venues:company", "occ:company", "occ:train_line", "p:balance_band=low")
+    """Some columns of every level's wide panel; ids are of one level only."""
+    return wide_levels(w).select("geo_id", "people", "mean_age", "sex:male", "sex:female", "venues:company", "occ:company", "occ:train_line", "p:balance_band=low")
 
 
 def _groups(w: World) -> DataFrame:
-    return panel.venue_rows(panel.panel_groups(panel.panel_wide(w, geo.geo_closure(w["geo_units"]), 1)))
+    return panel.venue_rows(panel.panel_groups(wide_levels(w)))
 
 
 def _homes(w: World) -> DataFrame:
@@ -85,7 +86,7 @@ def _extents(w: World) -> DataFrame:
 
 
 def _panel_extents(w: World) -> DataFrame:
-    people = panel.panel_people(w, geo.geo_closure(w["geo_units"])).filter("level = 1").select("geo_id", "people")
+    people = panel.panel_people(w, geo.geo_closure(w["geo_units"])).select("geo_id", "people")  # nations have shapes, others none
     return match.attach_extents(people, _extents(w))
 
 

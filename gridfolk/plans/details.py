@@ -198,13 +198,14 @@ def _riders_of_nations(w: World) -> DataFrame:
     return transit.riders_of_sets(riders, lines.select(F.col("geo_unit_id").alias("set"), "venue_id"))
 
 
-def _wide_levels(w: World) -> DataFrame:
-    """The wide panel of every level with all its columns."""
-    closure = cut(geo.geo_closure(w["geo_units"]))
-    properties = panel.categorical_properties(w)
-    names, out = panel.panel_names(w, properties), None
+def wide_levels(w: World) -> DataFrame:
+    """The wide panel of every level with all its columns; the people are looked at once."""
+    closure, properties = cut(geo.geo_closure(w["geo_units"])), panel.categorical_properties(w)
+    long, people = cut(panel.panel_long(w, closure, properties=properties)), cut(panel.panel_people(w, closure))
+    names, out = panel.panel_names(w, properties, long), None
     for level in sorted(w.labels_of("geo_levels")):  # a few
-        wide = panel.panel_wide(w, closure, level, properties, names).withColumn("level", F.lit(level))
+        at = F.col("level") == level
+        wide = panel.widened(long.filter(at).drop("level"), people.filter(at), names).withColumn("level", F.lit(level))
         out = wide if out is None else out.unionByName(wide)
     return out
 
@@ -221,7 +222,7 @@ WORLD_QUERIES = {
     "view_maximum": _view_maximum,
     "csr_offsets_hashed": _hashed_offsets,
     "riders_of_sets": _riders_of_nations,
-    "panel_wide_levels": _wide_levels,
+    "panel_wide_levels": wide_levels,
     "tile_rings": _rings,
     "tile_corners": _corners,
     "tile_bounds": _bounds,

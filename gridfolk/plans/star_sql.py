@@ -166,10 +166,10 @@ ORACLES = {
     "panel_wide": q(
         "select g.geo_id, coalesce(p.people, 0) as people, p.mean_age, "
         + ", ".join(f"coalesce(sum(value) filter (where family = '{f}' and key = '{k}'), 0)::bigint as \"{f}:{k}\"" for f, k in (("sex", "male"), ("sex", "female"), ("venues", "company"), ("occ", "company"), ("occ", "train_line"), ("p", "balance_band=low")))
-        + " from (select distinct geo_id from long where level = 1) g left join long l on l.geo_id = g.geo_id and l.level = 1 left join people p on p.geo_id = g.geo_id and p.level = 1 group by g.geo_id, p.people, p.mean_age", _PEOPLE + _LONG),
-    "panel_venue_groups": q("select g.geo_id, 'venues' as kind, t.label as item, coalesce(v.value, 0) as value, coalesce(o.value, 0) as occ from (select distinct geo_id from long where level = 1) g cross join types t left join long v on v.level = 1 and v.geo_id = g.geo_id and v.family = 'venues' and v.key = t.label left join long o on o.level = 1 and o.geo_id = g.geo_id and o.family = 'occ' and o.key = t.label where coalesce(v.value, 0) > 0 or coalesce(o.value, 0) > 0", _LONG),
+        + " from (select distinct level, geo_id from long) g left join long l on l.geo_id = g.geo_id and l.level = g.level left join people p on p.geo_id = g.geo_id and p.level = g.level group by g.geo_id, p.people, p.mean_age", _PEOPLE + _LONG),
+    "panel_venue_groups": q("select g.geo_id, 'venues' as kind, t.label as item, coalesce(v.value, 0) as value, coalesce(o.value, 0) as occ from (select distinct level, geo_id from long) g cross join types t left join long v on v.level = g.level and v.geo_id = g.geo_id and v.family = 'venues' and v.key = t.label left join long o on o.level = g.level and o.geo_id = g.geo_id and o.family = 'occ' and o.key = t.label where coalesce(v.value, 0) > 0 or coalesce(o.value, 0) > 0", _LONG),
     "panel_shares": q("select l.level, l.geo_id, family, key, value, round(value::double / coalesce(case when family = 'sex' then nullif(people, 0) end, sum(value) over (partition by l.level, l.geo_id, family, case when family = 'p' then split_part(key, '=', 1) end)), 9) as share from long l left join people p on p.level = l.level and p.geo_id = l.geo_id", _PEOPLE + _LONG),
-    "panel_extents": q("select p.geo_id, people, cx, cy, minx, miny, maxx, maxy from people p left join extents e on e.geo_id = p.geo_id where level = 1", _PEOPLE),
+    "panel_extents": q("select p.geo_id, people, cx, cy, minx, miny, maxx, maxy from people p left join extents e on e.geo_id = p.geo_id", _PEOPLE),
     "property_profile": q("select 'mktsegment' as property, count(distinct mktsegment) as n_distinct, false as has_json, count(distinct mktsegment) <= least(64, greatest(8, least(count(*), 4000) // 4)) as usable from population union all select 'balance_band', count(distinct balance_band), false, count(distinct balance_band) <= least(64, greatest(8, least(count(*), 4000) // 4)) from population"),
     "world_schema": q("select 'region,nation,segment' as geo_levels, 'mktsegment,balance_band' as properties, 't_alight_min,value' as leg_fields, true as has_coordinates, (select count(*) from population) as people"),
     "people_view_json": q(f"select person_id, {SEX}, balance_band, (case when person_id % 3 = 0 then 0 else 2 end)::integer as n_tags, (case when person_id % 3 = 0 then 0 else person_id % 5 + person_id % 7 end)::bigint as tag_sum, 'a' || person_id % 4 as names from population"),
