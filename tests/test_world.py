@@ -11,6 +11,7 @@ from gridfolk.functions.codes import age_band, json_array, norm_code, norm_name,
 from gridfolk.functions.display import compact, human_number, humanize, percent
 from gridfolk.functions.mercator import tile_id
 from gridfolk.operators import density, geo, inspect, match, panel, profile, publish, replicate, tiles, transit
+from gridfolk.plans.details import wide_levels
 from gridfolk.sources.files import COORDINATES, LINE_STOPS, boundary_levels, read_csv, read_features
 from gridfolk.sources.star import star_world
 from gridfolk.sources.world import World, members_of
@@ -247,3 +248,11 @@ def test_journeys_drop_unknown_units_and_repeats(spark):
     legs = spark.createDataFrame([(1, 5, 0, 7), (1, 5, 1, 8), (1, 5, 2, 99)], "person_id long, home_geo_unit long, leg_idx int, venue_id long")
     lines = spark.createDataFrame([(7, 5), (8, 6)], "venue_id long, geo_unit_id long")
     assert transit.journey_units(legs, lines).first()["units"] == [5, 6]
+
+
+def test_a_wide_panel_of_one_level_is_that_of_all_levels(spark):
+    w = star_world(spark, SF)
+    one = panel.panel_wide(w, geo.geo_closure(w["geo_units"]), 1)
+    names = sorted(one.columns)
+    rows = lambda df: sorted(tuple(map(str, r)) for r in df.select(*(F.col(f"`{c}`") for c in names)).collect())
+    assert rows(one) == rows(wide_levels(w).filter("level = 1"))
