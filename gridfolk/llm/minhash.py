@@ -30,6 +30,8 @@ BANDS, ROWS = 48, 6
 FEW = 24
 #: Shingles in a block of the smaller side and in a chunk of the whole group, and members of each, whichever is reached first.
 BLOCK, CHUNK, BLOCK_ROWS, CHUNK_ROWS = 500_000, 4_000_000, 256, 512
+#: A node with more than this part of all edges is a hub; so there are fewer hubs than this.
+HUBS = 1000
 MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 LOW_48 = np.uint64((1 << 48) - 1)
 
@@ -202,22 +204,37 @@ def links_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     return x.groupBy(*keys).cogroup(y.groupBy(*(f"y_{k}" for k in keys))).applyInPandas(linked, "a long, b long")
 
 
+def beside_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges (u, v) with ``m``, the least node that u sees, from ``least`` (u, m and n, how many edges u has).
+
+    The edges of hubs stay where they are: what hubs see is broadcast, fewer
+    than ``HUBS`` rows however large the graph is. Only the others are dealt
+    by node, so no task gets more than that part of all edges for one node.
+    """
+    most = edges.count() // HUBS
+    hubs = least.filter(F.col("n") > most).select("u", F.col("m").alias("_hub_m"))
+    known = edges.join(F.broadcast(hubs), "u", "left")
+    others = known.filter("_hub_m is null").select("u", "v").join(least.filter(F.col("n") <= most), "u")
+    return known.filter("_hub_m is not null").select("u", "v", F.col("_hub_m").alias("m")).union(others.select("u", "v", "m"))
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest node) for every node of the links (a, b).
 
     Alternates the large-star and small-star steps: each node hangs its
     larger neighbours, then its smaller ones, on the smallest it sees. The
     number of rounds grows with the logarithm of the longest path; each round
-    is two joins on links, staged in the shared folder.
+    is two joins on links, staged in the shared folder. Nodes with a large
+    part of all links are spread over tasks (:func:`beside_least`).
     """
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     seen = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        edges = staged(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct())
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        hung = edges.join(least, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        edges = staged(beside_least(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct())
+        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        hung = beside_least(edges, least)
         edges = staged(hung.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).filter("u != v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:

@@ -107,6 +107,25 @@ def test_near_duplicates(docs, k):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (len(sets[i]), part[i], part[i] == i) for i in sets}
 
 
+@pytest.mark.parametrize("hubs", [1000, 8, 1])
+def test_components_with_hubs(spark, monkeypatch, hubs):
+    """Two stars, a path, a ring, repeated links and loops, with every node a hub, a few of them, and none."""
+    monkeypatch.setattr(minhash, "HUBS", hubs)
+    links = [(0, k) for k in range(1, 60)] + [(199, k) for k in range(100, 160)] + [(k, k + 1) for k in range(300, 340)] + [(400 + k, 400 + (k + 1) % 9) for k in range(9)] + [(59, 100), (59, 100), (500, 500)]
+    got = {(r["node"], r["component"]) for r in minhash.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {(k, 0) for k in [*range(60), *range(100, 160), 199]} | {(k, 300) for k in range(300, 341)} | {(k, 400) for k in range(400, 409)}
+
+
+def test_hubs_are_not_dealt_by_node(spark):
+    """What a hub sees stands beside its edges, and hubs are fewer than their bound."""
+    edges = [(0, k) for k in range(1, 5000)] + [(k, k + 1) for k in range(10_000, 13_000)]
+    edges = spark.createDataFrame(edges, "u long, v long")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    assert least.filter(F.col("n") > edges.count() // minhash.HUBS).count() == 1
+    rows = minhash.beside_least(edges, least)
+    assert rows.filter("m = 1 and u = 0").count() == 4999 and rows.filter("u > 0 and m = v").count() == 3000 and rows.count() == 7999
+
+
 def test_near_duplicates_of_odd_rows(odd):
     got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(odd, 2).collect()}
     assert {(1, 3, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 0, 4, True), (5, 3, 1, False), (6, 1, 6, True), (7, 1, 6, False)} <= got
