@@ -17,19 +17,35 @@ def humanize(token: Column) -> Column:
     return F.when(token.isin("(none)", ""), EMPTY).otherwise(F.array_join(words, ""))
 
 
+def whole_number(n: Column) -> Column:
+    """The text of the nearest whole number, ties away from zero."""
+    return F.format_string("%.0f", F.round(n))
+
+
+def one_place(n: Column) -> Column:
+    """To one place, ties away from zero. What counts is the double's exact value, not its digits: 1.15 is less and becomes 1.1."""
+    size, sign = F.abs(n), F.when(n < 0, -1.0).otherwise(1.0)
+    part = size % 1
+    # 57 binary places hold all of a part from 1/32 on; smaller ones become 0 anyway.
+    tenths = F.shiftright((part * 2.0**57).cast("long") * 10 + 2**56, 57)
+    exact = sign * (size - part + tenths / 10)
+    return F.format_string("%.1f", F.when(size < 2.0**52, exact).otherwise(n))  # no parts beyond
+
+
 def compact(n: Column) -> Column:
-    """1234 as 1.2k, 12345 as 12k, and so on; null, NaN and infinite as a dash."""
+    """1234 as 1.2k, 12345 as 12k, and so on, ties away from zero; null, NaN and infinite as a dash."""
     out = F.when(n.isNull() | F.isnan(n) | (F.abs(n) == float("inf")), EMPTY)
     for unit, suffix in SUFFIXES:
-        short = F.when(F.abs(n) >= 10 * unit, F.format_string("%.0f" + suffix, n / unit)).otherwise(F.format_string("%.1f" + suffix, n / unit))
-        out = out.when(F.abs(n) >= unit, short)
+        short = F.when(F.abs(n) >= 10 * unit, whole_number(n / unit)).otherwise(one_place(n / unit))
+        out = out.when(F.abs(n) >= unit, F.concat(short, F.lit(suffix)))
     return out.otherwise(F.regexp_replace(F.format_number(n, 3), "\\.?0+$", ""))
 
 
 def percent(part: Column, whole: Column) -> Column:
-    """Share in percent, one decimal below 10 %; 0% of nothing."""
-    share = part / whole
-    return F.when(F.coalesce(whole, F.lit(0)) == 0, "0%").when(share >= 0.1, F.format_string("%.0f%%", 100 * share)).otherwise(F.format_string("%.1f%%", 100 * share))
+    """Share in percent, one decimal below 10 %, ties away from zero; 0% of nothing."""
+    share = 100 * part / whole
+    short = F.when(part / whole >= 0.1, whole_number(share)).otherwise(one_place(share))
+    return F.when(F.coalesce(whole, F.lit(0)) == 0, "0%").otherwise(F.concat(short, F.lit("%")))
 
 
 def number(text: Column) -> Column:

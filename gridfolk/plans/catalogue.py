@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codes import norm_code, norm_name
@@ -142,9 +142,17 @@ def _humanize(w: World) -> DataFrame:
     return w["geo_units"].select("geo_id", humanize(F.lower("name")).alias("name"), norm_code(F.col("name")).alias("code_key"), norm_name(F.col("name")).alias("name_key"))
 
 
+def _total(price: Column) -> Column:
+    """The whole sum of prices, added in whole millionths, so that it is the same in any order; as doubles, if some are no such numbers (NaN, infinite, from 1e22 on)."""
+    millionths = price * 1e6
+    parts = F.when(F.abs(price) < 1e12, F.floor(millionths + 0.5).cast("decimal(28,0)")).otherwise(millionths.try_cast("decimal(28,0)"))  # long, hence fast, where it can be
+    return F.when(F.count(parts) == F.count(price), F.round(F.sum(parts).cast("double") / 1e6)).otherwise(F.round(F.sum(price)))
+
+
 def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short total and number of orders of every customer."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    per = orders.groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 0).alias("total"), F.count("*").alias("n"))
+    per = orders.groupBy("o_custkey").agg(_total(F.col("o_totalprice")).alias("total"), F.count("*").alias("n"))
     return per.select("o_custkey", compact(F.col("total")).alias("short"), percent(F.col("n").cast("double"), F.lit(20.0)).alias("pct"), human_number(F.concat(F.col("n").cast("string"), F.lit("k"))).alias("human"))
 
 

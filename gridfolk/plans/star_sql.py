@@ -223,5 +223,6 @@ ORACLES = {
     "page_riders": q("select venue_id, person_id from (select *, row_number() over (partition by venue_id order by person_id) - 1 as n, (count(*) over (partition by venue_id) - 1) // 80 as last from riders) where n // 80 = least(1, last)"),
     "manifest_summary": q("select 'units' as section, ['region', 'nation', 'segment'][level + 1] as name, count(*) as value from geo_units group by all union all select 'peak', 'population', max(n) from (select count(*) as n from population group by geo_unit_id) union all select 'peak', 'venues', max(n) from (select count(*) as n from venues group by geo_unit_id) union all select 'peak', 'subsets', max(n) from (select count(distinct (venue_id, subset_index)) as n from members group by geo_unit_id) union all select 'peak', 'activities', max(n) from (select count(*) as n from activities group by geo_unit_id)"),
     "json_array_typing": "select source, count(*) as n_rows, count(*) filter (where v like '[%') as n_arrays, coalesce(bool_and(regexp_full_match(v, '\\[(-?[0-9]+(,-?[0-9]+)*)?\\]')) filter (where v like '[%'), false) as all_whole from (select 'props' as source, props as v from events union all select 'made', '[' || user_id % 5 || ',' || event_id % 7 || ']' from events union all select 'mixed', case when event_id % 100 = 0 then '[\"x\"]' when event_id % 3 = 0 then '' else '[' || event_id || ']' end from events) group by 1",
-    "format_numbers": "select o_custkey, case when t >= 1e9 then printf(case when t >= 1e10 then '%.0fB' else '%.1fB' end, t / 1e9) when t >= 1e6 then printf(case when t >= 1e7 then '%.0fM' else '%.1fM' end, t / 1e6) when t >= 1e3 then printf(case when t >= 1e4 then '%.0fk' else '%.1fk' end, t / 1e3) else t::bigint::varchar end as short, printf(case when n / 20 >= 0.1 then '%.0f%%' else '%.1f%%' end, 100.0 * n / 20) as pct, n * 1000 as human from (select o_custkey, round(sum(o_totalprice), 0) as t, count(*) as n from orders group by 1)",
+    # printf rounds ties to even; totals are halfway between two texts if twice (four times) the number is odd, and moved away from zero.
+    "format_numbers": "select o_custkey, case when t is null or not isfinite(t) then '—' when abs(t) < 1e3 then t::bigint::varchar when abs(v) >= 10 then printf('%.0f', v + case when abs(v * 2 % 2) = 1 then sign(v) * 0.1 else 0 end) || unit else printf('%.1f', v + case when abs(v * 4 % 2) = 1 then sign(v) * 0.01 else 0 end) || unit end as short, printf(case when n / 20 >= 0.1 then '%.0f%%' else '%.1f%%' end, 100.0 * n / 20) as pct, n * 1000 as human from (select *, case when abs(t) >= 1e9 then t / 1e9 when abs(t) >= 1e6 then t / 1e6 else t / 1e3 end as v, case when abs(t) >= 1e9 then 'B' when abs(t) >= 1e6 then 'M' else 'k' end as unit from (select o_custkey, case when count(parts) = count(o_totalprice) then round(sum(parts)::double / 1e6) else round(sum(o_totalprice)) end as t, count(*) as n from (select *, try_cast(floor(o_totalprice * 1e6 + 0.5) as decimal(28, 0)) as parts from orders) group by 1))",
 }

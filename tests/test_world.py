@@ -2,15 +2,17 @@
 
 import json
 import math
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 import pytest
-from conftest import SF
+from conftest import SF, rows_of
 from pyspark.sql import functions as F
 
 from gridfolk.functions.codes import age_band, json_array, norm_code, norm_name, registry_map, valid_point
-from gridfolk.functions.display import compact, human_number, humanize, percent
+from gridfolk.functions.display import compact, human_number, humanize, one_place, percent, whole_number
 from gridfolk.functions.mercator import tile_id
 from gridfolk.operators import density, geo, inspect, match, panel, profile, publish, replicate, tiles, transit
+from gridfolk.plans.catalogue import ORACLES, QUERIES
 from gridfolk.plans.details import wide_levels
 from gridfolk.sources.files import COORDINATES, LINE_STOPS, boundary_levels, read_csv, read_features
 from gridfolk.sources.star import star_world
@@ -111,6 +113,44 @@ def test_keys_and_texts(spark):
     assert [r[0] for r in points.select(valid_point(F.col("lat"), F.col("lon"))).collect()] == [False, False, False, True]
 
 
+def test_ties_of_short_numbers(spark, tmp_path):
+    """As the reference's toFixed: a double halfway between two texts goes up, one just below such a number (2.05, 1.15) goes down; no total hangs on the order of adding."""
+    duckdb = pytest.importorskip("duckdb")
+    nan, inf = float("nan"), float("inf")
+    prices = {
+        1: [12500.0], 2: [13500.0], 3: [1150.0], 4: [1250.0], 5: [2050000.0], 6: [3250000.0], 7: [-12500.0], 8: [-1250.0], 9: [-3.0], 10: [None], 11: [nan, 1.0], 12: [inf, 1.0], 13: [5.0, None],
+        14: [12.4e9, 0.1e9], 15: [0.1, 0.2, 0.3, 12498.9], 16: [12498.9, 0.3, 0.2, 0.1], 17: [1e25, -1e25], 18: [0.004] * 1000, 19: [2e13, -12500.5], 20: [-0.3], None: [1350.0],
+    }
+    short = {
+        1: "13k", 2: "14k", 3: "1.1k", 4: "1.3k", 5: "2.0M", 6: "3.3M", 7: "-13k", 8: "-1.3k", 9: "-3", 10: "—", 11: "—", 12: "—", 13: "5",
+        14: "13B", 15: "13k", 16: "13k", 17: "0", 18: "4", 19: "20000B", 20: "0", None: "1.4k",
+    }
+    rows = [(k, p) for k, ps in prices.items() for p in ps]
+    spark.createDataFrame(rows, "o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    found, told = QUERIES["format_numbers"](spark, str(tmp_path)).toPandas(), con.execute(ORACLES["format_numbers"]).df()
+    assert rows_of(found) == rows_of(told)
+    assert {None if k != k else int(k): v for k, v in zip(found["o_custkey"], found["short"])} == short
+
+
+def test_total_that_adds_up_to_a_half_in_one_order_only(spark, tmp_path):
+    """As doubles, these four prices are 1249999.5 in one order and a little less in the other: 1250000 or 1249999."""
+    orders = [(171174.92, 79134.9, 332481.85, 667207.83), (332481.85, 667207.83, 171174.92, 79134.9)]
+    for i, prices in enumerate(orders):
+        spark.createDataFrame([(1, p) for p in prices], "o_custkey long, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/{i}/orders.parquet")
+    assert [QUERIES["format_numbers"](spark, f"{tmp_path}/{i}").first()["short"] for i in (0, 1)] == ["1.3M", "1.3M"]
+
+
+def test_one_place_goes_by_the_exact_value(spark):
+    """Against Python's exact decimals of doubles."""
+    values = [x / 20 for x in range(-400, 401)] + [0.049999999999999996, 0.03, 1e-300, 2.0**51 + 0.5, 1e300, 1099511627776.25]
+    exact = lambda v, to: str(Decimal(v).quantize(Decimal(to), ROUND_HALF_UP, Context(prec=400)))
+    shown = spark.createDataFrame([(v,) for v in values], "v double").select("v", one_place(F.col("v")).alias("one"), whole_number(F.col("v")).alias("whole")).collect()
+    assert [(r["v"], r["one"]) for r in shown if abs(r["v"]) < 1e15] == [(v, exact(v, "0.1")) for v in values if abs(v) < 1e15]
+    assert [float(r["whole"]) for r in shown] == [float(exact(v, "1")) for v in values]
+
+
 def test_property_guard(spark):
     rows = spark.createDataFrame([(str(i), "a" if i % 2 else "b", "[1]" if i == 50 else "x") for i in range(100)], "many string, two string, json string")
     got = {r["property"]: r["usable"] for r in profile.property_profile(rows, ["many", "two", "json"]).collect()}
